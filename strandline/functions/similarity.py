@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def ratio_and_run(a: str | None, b: str | None) -> tuple[float, int]:
@@ -18,7 +19,7 @@ def ratio_and_run(a: str | None, b: str | None) -> tuple[float, int]:
     return m.ratio(), m.find_longest_match(0, len(a), 0, len(b)).size
 
 
-@pandas_udf("ratio double, run int")
+@pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("run", IntegerType())]))
 def similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([ratio_and_run(x, y) for x, y in zip(a, b)], columns=["ratio", "run"])
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import match_queries, text_queries, track_queries, window_queries  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["topk_candidates"](spark, sf_dir)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
