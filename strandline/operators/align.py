@@ -11,10 +11,9 @@ from ..functions.similarity import similarity
 
 
 def with_similarity(pairs: DataFrame, query: str, line: str) -> DataFrame:
-    """Adds ratio and run. Equal pairs of keys are compared once."""
-    s = similarity(F.col(query), F.col(line))
-    distinct = pairs.select(query, line).distinct().withColumn("_s", s)
-    return pairs.join(distinct, [query, line]).select(*pairs.columns, "_s.ratio", "_s.run")
+    """Adds ratio and run, compared in Arrow batches."""
+    compared = pairs.withColumn("_s", similarity(F.col(query), F.col(line)))
+    return compared.select(*pairs.columns, "_s.ratio", "_s.run")
 
 
 def variants(current: Column, previous: Column) -> Column:

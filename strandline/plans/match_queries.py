@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,9 +18,14 @@ from .text_queries import LONG_WORDS, PHRASES
 
 
 def corpus(spark, sf_dir):
-    """Lines whose keys are short enough to compare, with the priority source marked."""
+    """Lines whose keys are short enough to compare, with the priority source marked.
+
+    The keyed lines are the corpus index: every strategy reads them, so they are kept (on disk where memory
+    is short) and shared by all queries of a session. A stored corpus is written once by `write_index`.
+    """
     lines = V.lines(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS)
-    return lines.withColumn("source", F.when(F.col("source") == "src0", "G").otherwise(F.col("source")))
+    lines = lines.withColumn("source", F.when(F.col("source") == "src0", "G").otherwise(F.col("source")))
+    return lines.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def queries(spark, sf_dir, letters=None):
@@ -27,7 +33,9 @@ def queries(spark, sf_dir, letters=None):
     return q.select("item_id", "text", (F.col("letters") if letters is None else letters).alias("letters")).withColumnRenamed("item_id", "qid")
 
 
-_CORPUS = f"corpus AS (SELECT * REPLACE (CASE WHEN source = 'src0' THEN 'G' ELSE source END AS source) FROM lines WHERE length(letters) < {V.MOST_LETTERS})"
+_FOLD = "trim(regexp_replace(lower({0}), '[^a-zà-ÿ]+', ' ', 'g'))"
+_CORPUS = f"""corpus AS MATERIALIZED (SELECT * REPLACE (CASE WHEN source = 'src0' THEN 'G' ELSE source END AS source), ' ' || {_FOLD.format('text')} || ' ' AS folded
+  FROM lines WHERE length(letters) < {V.MOST_LETTERS})"""
 _Q = f"q AS (SELECT item_id AS qid, text, letters FROM queries_w WHERE length(letters) < {V.MOST_LETTERS})"
 _BASE = (V.LINES, _CORPUS, V.QUERIES_W, _Q)
 _COLUMNS = "l.work_id, l.line_idx, l.source, l.text, l.letters"
@@ -68,12 +76,11 @@ def join_subkey(spark, sf_dir):
     return R.subkey(queries(spark, sf_dir), corpus(spark, sf_dir)).select("part", "qid", "work_id", "line_idx", "pos")
 
 
-_FOLD = "trim(regexp_replace(lower({0}), '[^a-zà-ÿ]+', ' ', 'g'))"
 _PHRASES = f"""ph0 AS (SELECT qid, {PHRASES.format('ws')} AS ps FROM (SELECT qid, {LONG_WORDS.format('lower(text)')} AS ws FROM q)),
   ph1 AS (SELECT qid, ps[i] AS phrase, min(i) AS i FROM ph0, UNNEST(range(1, len(ps) + 1)) AS u(i) GROUP BY ALL),
   ph AS (SELECT qid, phrase, row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS part FROM ph1)"""
 _PHRASE_HITS = _hits(
-    "hp", "ph", f"contains(' ' || {_FOLD.format('l.text')} || ' ', ' ' || q.phrase || ' ')", C.PHRASE_LIMIT, "q.qid, q.part", "q.part,"
+    "hp", "ph", "contains(l.folded, ' ' || q.phrase || ' ')", C.PHRASE_LIMIT, "q.qid, q.part", "q.part,"
 )
 
 
@@ -301,8 +308,7 @@ def aligned(spark, sf_dir):
     own = V.replay_w(spark, sf_dir).where((F.col("work_id") == F.col("session")) & (F.col("window_idx") < 4))
     current = F.coalesce(F.lag("line_idx").over(order), F.lit(0))
     windows = own.select("session", "window_idx", "work_id", F.col("letters").alias("query"), current.alias("current"))
-    lines = V.lines(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS)
-    return A.align(windows, lines)
+    return A.align(windows, corpus(spark, sf_dir))
 
 
 @query(V.with_(*_ALIGNED) + "SELECT session, window_idx, line_idx, round(raw, 9) AS raw FROM aligned")
@@ -344,8 +350,7 @@ def best_line_stitched(spark, sf_dir):
         {"current": F.coalesce(F.lag("line_idx").over(order), F.lit(0)), "before": F.lag("letters", 1, "").over(order)}
     )
     each = own.select("session", "window_idx", "work_id", "current", F.inline(A.variants(F.col("letters"), F.col("before"))))
-    lines = V.lines(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS)
-    best = A.best_of_variants(A.align(each, lines), "session", "window_idx")
+    best = A.best_of_variants(A.align(each, corpus(spark, sf_dir)), "session", "window_idx")
     return best.withColumn("best_score", F.round("best_score", 9))
 
 

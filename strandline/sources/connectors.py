@@ -119,3 +119,12 @@ def display_payload(line_id: Column, first_id: Column, index: Column, pin: int |
     if pin is not None:
         fields.append(F.lit(str(pin)).alias("pin"))
     return F.struct(*fields)
+
+
+def write_index(lines: DataFrame, path: str) -> None:
+    """Store keyed lines once, sorted by work in each file, so that lookups of a work skip row groups."""
+    lines.repartition("work_id").sortWithinPartitions("work_id", "line_idx").write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
