@@ -1,18 +1,18 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Base spans (e-mail, ip, card, phone) come from whole texts by fixed patterns. Beyond them this is
-information-theoretic sanitisation: over the whole corpus, each distinct text counted once, it
-estimates for every protected entity e and every term t that stands near it
+information-theoretic sanitisation: over the whole corpus it estimates for every protected entity e and
+every term t that stands near it
 
     PMI(t; e) = log2( p(t, e) / (p(t) p(e)) ),      IC(e) = -log2 p(e)
 
-p(t, e): share of texts with t within `window` words of e; p(t), p(e): shares of texts with t, with e.
-disclosure = PMI / IC is the part of the entity's information that the term reveals. A term whose
-pair was seen in at least `support` texts and that discloses `generalise_at` or more is generalised
+p(t, e): share of documents with t within `window` words of e; p(t), p(e): shares of documents with t, with
+e. disclosure = PMI / IC is the part of the entity's information that the term reveals. A term whose
+pair was seen in at least `support` different texts (copies are no support) and that discloses `generalise_at` or more is generalised
 where it stands near the entity; at `remove_at` or more it is removed.
 
 Defined cases: null text is empty; an empty text has no spans; texts are scanned whole, in time
-linear in their length; repeated texts count once in the statistics and get equal spans; an entity in
+linear in their length; repeated texts get equal spans; an entity in
 every text has IC 0 and no term discloses it; an empty table gives an empty result; other columns are
 ignored, and kept by `sanitise`.
 """
@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import arrow_rows, prepare, table, text_or_empty
 
@@ -128,32 +130,43 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): the number of distinct texts that hold each of the terms."""
+    """(term, n_term): the number of documents that hold each of the terms, added up in each task first."""
     some = [r[0] for r in terms.limit(TERM_SET + 1).collect()]
     only = frozenset(some) if len(some) <= TERM_SET else None
 
-    def one(text):
-        here = {term_of(w) for w in set(_WORD.findall(text))}
-        here = here & only if only is not None else here - {""}
-        if here:
-            key = hashlib.sha256(text.encode()).hexdigest()
-            yield from ((key, t) for t in here)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_pydict(
+                {"term": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())}
+            )
 
-    schema = pa.schema([("key", pa.string()), ("term", pa.string())])
-    held = docs.select(text_or_empty()).mapInArrow(arrow_rows(schema, one), "key string, term string")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                here = {term_of(w) for w in set(_WORD.findall(text))}
+                count.update(here & only if only is not None else here)
+            if len(count) > 2 * TERM_SET:
+                yield out()
+                count.clear()
+        yield out()
+
+    held = docs.select(text_or_empty()).mapInArrow(run, "term string, n long")
     if only is None:
         held = held.join(terms, "term", "left_semi")
-    return held.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    return held.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, n_pair, n_term, n_entity, disclosure) of all pairs with enough support."""
-    total = found.select("key").distinct().count()
-    texts = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x"))
-    texts = texts.select("key", "x.entity", "x.term").distinct()
-    n_pair = texts.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
-    n_pair = n_pair.checkpoint()
-    n_entity = texts.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    """(entity, term, support, n_pair, n_term, n_entity, disclosure) of all pairs with enough support."""
+    total = found.count()
+    pair = F.expr("array_distinct(transform(near, x -> struct(x.entity AS entity, x.term AS term)))")
+    pairs = found.where(F.size("near") > 0).select("key", F.explode(pair).alias("x")).select("key", "x.*")
+    by_text = pairs.groupBy("key", "entity", "term").agg(F.count("*").alias("n"))
+    n_pair = by_text.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_pair"))
+    n_pair = n_pair.where(F.col("support") >= support).checkpoint()
+    n_entity = found.select(F.explode(F.expr("array_distinct(transform(near, x -> x.entity))")).alias("entity"))
+    n_entity = n_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_term = term_counts(docs, n_pair.select("term").distinct())
     pmi = F.log2(F.col("n_pair") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
@@ -236,7 +249,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kept = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if count is not None else docs
-    return joined.select(*[F.col(f"`{c}`").cast(t) for c, t in kept.dtypes], "_extra").mapInArrow(run, kept.schema)
+    schema = StructType([StructField(f.name, f.dataType, True) for f in kept.schema.fields])
+    return joined.select(*[F.col(f"`{c}`").cast(t) for c, t in kept.dtypes], "_extra").mapInArrow(run, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
