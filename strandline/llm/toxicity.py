@@ -9,9 +9,11 @@ x holds the presence of the words of the text. The labels only say clean or toxi
 documents are made from them: words that the labelled sample shows almost only in toxic documents form
 a lexicon, and a toxic document's grade rises by one at each third of the sample's lexicon counts.
 
-The model is fitted on at most `sample` labelled documents, chosen by hash, by proximal gradient steps
-with an L1 penalty (words without evidence have no weight, so length alone moves nothing). It knows at
-most `vocabulary` words, those in most sampled documents. Scoring covers all documents and whole texts.
+The model is fitted on at most `sample` labelled documents, chosen by hash and at most half of them of each
+class, weighted back to the classes' shares. Of the sample's words (at most
+`vocabulary`, those in most documents) it takes those whose log odds between toxic and clean documents
+stand `LEAST_Z` standard errors from 0 (at most `MOST_WORDS`, the clearest); others have no weight, so length alone moves nothing. Scoring
+covers all documents and whole texts.
 
 Defined cases: null texts are empty and get the severity of no words; null or missing labels, or labels of
 one class, give severity 0 to all; a document labelled twice takes the higher label; repeated rows get
@@ -34,12 +36,15 @@ from .common import prepare, table, text_or_empty
 from .quality import sigmoid
 
 SAMPLE, VOCABULARY, LEVELS, TOXIC_AT = 8_000, 50_000, 3, 0.5
-LEAST_DF, L1, STEPS = 5, 2e-4, 200
+LEAST_DF, LEAST_Z, MOST_WORDS, L2, STEPS = 5, 3.5, 400, 0.01, 60
+PREFIX = 5
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The distinct words of a text, and the beginnings (`PREFIX` letters and a star) of longer ones."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
 
 
 @dataclass
@@ -67,39 +72,69 @@ def grades(words: list[set[str]], toxic: np.ndarray, levels: int) -> np.ndarray:
     return np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
 
 
-def fit(words: list[set[str]], toxic: np.ndarray, levels: int = LEVELS, vocabulary: int = VOCABULARY) -> Model:
+def informative(words: list[str], df: Counter, bad: Counter, toxic: np.ndarray) -> list[str]:
+    """Words whose smoothed log odds between toxic and clean documents differ from 0 by LEAST_Z errors."""
+    n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
+    a = np.array([bad[w] for w in words]) + 0.5
+    b = np.array([df[w] - bad[w] for w in words]) + 0.5
+    odds = np.log(a / (n_bad + 1 - a)) - np.log(b / (n_good + 1 - b))
+    error = np.sqrt(1 / a + 1 / (n_bad + 1 - a) + 1 / b + 1 / (n_good + 1 - b))
+    z = np.abs(odds / error)
+    return [words[i] for i in np.argsort(-z, kind="stable")[:MOST_WORDS] if z[i] >= LEAST_Z]
+
+
+def fit(
+    words: list[set[str]],
+    toxic: np.ndarray,
+    levels: int = LEVELS,
+    vocabulary: int = VOCABULARY,
+    toxic_share: float | None = None,
+) -> Model:
+    """The model of a sample; `toxic_share` is that of all labelled documents, if the sample's is another."""
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(thresholds=np.full(levels, 40.0))
     grade = grades(words, toxic, levels)
     df = Counter(w for own in words for w in own)
-    known = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n >= LEAST_DF]
+    common = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n >= LEAST_DF]
+    known = informative(common, df, Counter(w for own, t in zip(words, toxic) if t for w in own), toxic)
     number = {w: i for i, w in enumerate(known)}
-    row = np.repeat(np.arange(len(words)), [len(own & number.keys()) for own in words])
-    column = np.array([number[w] for own in words for w in sorted(own & number.keys())], np.int64)
+    x = np.zeros((len(words), len(known)), np.float32)
+    for i, own in enumerate(words):
+        x[i, [number[w] for w in own & number.keys()]] = 1
     reached = (grade[:, None] >= np.arange(1, levels + 1)).astype(float)
-    share = np.clip(reached.mean(axis=0), 1e-4, 1 - 1e-4)
+    own = toxic.mean()
+    share = own if toxic_share is None else min(max(toxic_share, 1e-3), 1 - 1e-3)
+    weight = np.where(toxic == 1, share / own, (1 - share) / (1 - own))[:, None]
+    share = np.clip((weight * reached).mean(axis=0), 1e-4, 1 - 1e-4)
     w, theta = np.zeros(len(known)), np.log((1 - share) / share)
-    theta = np.maximum.accumulate(theta + 1e-3 * np.arange(levels))
-    # Steps per coordinate by AdaGrad; each threshold's event is a binary term with the shared weights.
-    seen_w, seen_t = np.full(len(known), 1e-8), np.full(levels, 1e-8)
+    # Newton steps: each threshold's event is a binary term, and all terms share w.
+    k = len(known)
     for _ in range(STEPS):
-        score = np.bincount(row, w[column], len(words)) if len(row) else np.zeros(len(words))
-        p = sigmoid(score[:, None] - theta)
-        error = (p - reached) / len(words)
-        slope = np.bincount(column, error.sum(axis=1)[row], len(known)) if len(row) else np.zeros(len(known))
-        seen_w += slope**2
-        rate = 0.5 / np.sqrt(seen_w)
-        w = w - rate * slope
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
-        tilt = -error.sum(axis=0)
-        seen_t += tilt**2
-        theta = np.maximum.accumulate(theta - 0.2 * tilt / np.sqrt(seen_t))
+        p = sigmoid((x @ w)[:, None] - theta)
+        error, slack = weight * (p - reached), weight * p * (1 - p)
+        gradient = np.concatenate([x.T @ error.sum(axis=1) + L2 * w, -error.sum(axis=0)])
+        curve = np.zeros((k + levels, k + levels))
+        curve[:k, :k] = x.T @ (x * slack.sum(axis=1)[:, None].astype(np.float32))
+        curve[:k, k:] = -(x.T @ slack)
+        curve[k:, :k] = curve[:k, k:].T
+        curve[k:, k:] = np.diag(slack.sum(axis=0))
+        curve[np.diag_indices(k + levels)] += np.append(np.full(k, L2), np.full(levels, 1e-3))
+        step = np.linalg.solve(curve, gradient)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        w, theta = w - step[:k], np.maximum.accumulate(theta - step[k:])
+        if np.abs(step).max() < 1e-4:
+            break
     return Model({known[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, levels: int = LEVELS) -> Model:
     one = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("y")).dropna()
-    one = one.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = one.groupBy("doc_id").agg(F.max("y").alias("y"))
+    total, bad = one.agg(F.count("*"), F.sum("y")).first()
+    # Half of the sample is toxic, if there are as many: it is the rare class that the words are learned from.
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    few = one.where("y > 0").orderBy(*order).limit(sample // 2)
+    one = few.union(one.where("y = 0").orderBy(*order).limit(sample - sample // 2))
     chosen = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(F.broadcast(one), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, levels: int
     # One row of a repeated doc_id; sorted, so that the fit does not depend on the order of arrival.
     got = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("doc_id").toArrow()
     words = [set(x) for x in got.column("x").to_pylist()]
-    return fit(words, got.column("y").to_numpy().astype(int), levels)
+    return fit(words, got.column("y").to_numpy().astype(int), levels, toxic_share=(bad or 0) / max(1, total))
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, toxic_at: float = TOXIC_AT) -> DataFrame:
