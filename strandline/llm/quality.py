@@ -36,6 +36,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import prepare, table, text_or_empty
 
 SAMPLE, RIDGE, KEEP_AT = 20_000, 1e-3, 0.5
+N_FEATURES = 16
 #: Prior strengths stay within these bounds.
 LEAST_K, MOST_K = 2.0, 1e6
 
@@ -49,7 +50,7 @@ def features(text: str) -> list[float]:
     data = text.encode()
     n = len(data)
     if not n:
-        return [0.0] * 16
+        return [0.0] * N_FEATURES
     byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     words = text.split()
     w = len(words)
@@ -86,7 +87,7 @@ def sigmoid(x):
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(mean, scale, weights, base log odds) of a logistic model, by Newton steps; no evidence from one class."""
     if not len(y) or y.min() == y.max():
-        width = x.shape[1] if x.ndim == 2 else 16
+        width = x.shape[1]
         return np.zeros(width), np.ones(width), np.zeros(width + 1), 0.0
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     # A doc_id that many rows repeat counts once, so the driver gets no more rows than the sample has.
     rows = chosen.mapInArrow(run, "doc_id long, x array<double>, y double").groupBy("doc_id").agg(F.first("x"), F.first("y"))
     got = rows.toArrow()
-    x = np.array(got.column(1).to_pylist(), float).reshape(len(got), -1)
+    x = np.array(got.column(1).to_pylist(), float).reshape(len(got), N_FEATURES)
     return fit(x, got.column(2).to_numpy())
 
 
@@ -132,7 +133,7 @@ def evidence(docs: DataFrame, model, keep_columns: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *columns, texts = batch.columns
-            x = np.array([features(t) for t in texts.to_pylist()], float).reshape(len(texts), -1)
+            x = np.array([features(t) for t in texts.to_pylist()], float).reshape(len(texts), N_FEATURES)
             odds = (((x - mean) / scale) @ weights[:-1] + weights[-1]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(odds, pa.float64())], schema.names)
 
