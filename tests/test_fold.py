@@ -1,0 +1,131 @@
+"""The state machine, row by row, and batch against stream."""
+
+import pytest
+
+from strandline.streaming import fold, run
+
+
+def candidate(work, ratio=1.0, share=1.0, source=0.5, overlap=2, by_phrase=False, place=1):
+    return {"work_id": work, "ratio": ratio, "share": share, "source": source, "empty": False, "overlap": overlap, "by_phrase": by_phrase, "place": place}
+
+
+LINES = {w: [f"{chr(96 + w)}bcdefg", f"hij{chr(96 + w)}klm", f"nopq{chr(96 + w)}rs"] for w in range(1, 6)}
+
+
+def window(idx, *cands, letters="abcdefg", vocals=True):
+    return {"window_idx": idx, "has_vocals": vocals, "text": "x", "letters": letters, "candidates": list(cands), "start_candidates": list(cands), "works": LINES, "command": None, "arg": None}
+
+
+def command(idx, name, arg=None):
+    return {"window_idx": idx, "command": name, "arg": arg, "works": LINES}
+
+
+def play(*rows):
+    s = fold.State()
+    return s, [[e["type"] for e in fold.step(s, r)] for r in rows]
+
+
+WEAK = dict(ratio=0.95, share=0.9, overlap=1)  # 0.4*.95 + 0.3*.9 + .1 + .05 = 0.80
+
+
+def test_confirmation_locks():
+    s, out = play(window(1, candidate(1, **WEAK)), window(2, candidate(1, **WEAK)))
+    assert out[0] == ["candidates", "pending", "state"] and out[1] == ["candidates", "display", "locked", "state"]
+    assert s.phase == fold.LOCKED and s.current.work_id == 1 and s.pending is None
+
+
+def test_instant_lock_needs_overlap():
+    assert play(window(1, candidate(1)))[0].phase == fold.LOCKED
+    assert play(window(1, candidate(1, overlap=0)))[0].phase == fold.SEARCHING
+
+
+def test_misses_drop_pending():
+    s, _ = play(window(1, candidate(1, **WEAK)), *[window(i) for i in range(2, 5)])
+    assert s.phase == fold.CANDIDATE
+    s, _ = play(window(1, candidate(1, **WEAK)), *[window(i) for i in range(2, 6)])
+    assert s.phase == fold.SEARCHING and s.pending is None
+
+
+def test_silence_locks():
+    near = dict(ratio=0.9, share=0.95, overlap=1, source=1.0)  # 0.845: kept, not instant, good enough for silence
+    s, out = play(window(1, candidate(1, **near)), window(2, vocals=False))
+    assert out[1] == ["display", "locked", "silence_autolock", "state"] and s.current.work_id == 1
+    # 0.754 and, with the evidence of one window, 0.784: kept, but not good enough for silence.
+    s, out = play(window(1, candidate(1, ratio=0.91, share=0.8, overlap=1)), window(2, vocals=False))
+    assert s.current is None
+
+
+def test_follow_and_release():
+    s, out = play(window(1, candidate(1)), window(2, candidate(1), letters="hijaklm"))
+    assert s.current.line == 1 and out[1].count("navigate") == 1
+    s, out = play(window(1, candidate(1)), *[window(i, letters="zzzzzzz") for i in range(2, 6)])
+    assert s.phase == fold.SEARCHING and s.current is None and [w.work_id for w in s.history] == [1]
+    assert any("switched" in o for o in out)
+
+
+def test_instant_switch_and_challenger():
+    s, _ = play(window(1, candidate(1)), window(2, candidate(2, by_phrase=True), letters="zzzzzzz"))
+    assert s.current.work_id == 2 and s.phase == fold.LOCKED
+    rival = candidate(2, **WEAK)
+    s, _ = play(window(1, candidate(1)), *[window(i, rival, letters="hijbklm"[:3] + "zz") for i in range(2, 5)])
+    assert s.phase in (fold.CANDIDATE, fold.SEARCHING, fold.LOCKED)
+    # A well-aligned window clears the streak before the scan, so the challenger starts anew each time.
+    s, _ = play(window(1, candidate(1)), *[window(i, rival) for i in range(2, 9)])
+    assert s.current.work_id == 1 and s.rival_wins == 1
+
+
+def test_commands():
+    s, out = play(
+        command(0, "manual_select", "3"), command(1, "navigate", "next"), command(2, "pause"), window(3, candidate(1)),
+        command(4, "resume"), command(5, "force_unlock"), command(6, "recall", "3"), command(7, "set_confidence_mode", "what"),
+    )
+    assert out[3] == ["paused", "state"]
+    assert s.current.work_id == 3 and s.current.line == 1 and s.history == [] and s.mode == "balanced"
+
+
+def test_boost_and_rate():
+    s, _ = play(window(1, vocals=False), window(2))
+    assert s.boost == 2 and s.silence == 0
+    assert s.rate == pytest.approx(0.35 * 7 / 4.5)
+
+
+def test_evidence():
+    s = fold.State()
+    for i in (1, 2):
+        fold.observe(s, [{"work_id": 7, "score": 0.5, "line": 0}, {"work_id": -1, "score": 1.0, "line": 0}], i)
+    assert list(s.hypotheses) == [7] and s.hypotheses[7].total == pytest.approx(0.925)
+    assert fold.best_hypothesis(s) == (7, 0.985, 2)
+    fold.observe(s, [], 5)
+    assert s.hypotheses == {}
+
+
+def test_state_survives_json():
+    s, _ = play(window(1, candidate(1)), window(2, candidate(2, **WEAK)), command(3, "manual_select", "2"))
+    assert fold.State.loads(s.dumps()) == s
+
+
+def test_deoverlap():
+    last, n, out = "", 0, []
+    for text in ("one two three four five", "four five six seven eight nine", "same", "same", "same", "same", "", "same"):
+        t, last, n = fold.deoverlap(last, n, text)
+        out.append(t)
+    assert out == ["one two three four five", "four five six seven eight nine", "same", "same", "same", "", "", ""]
+    assert fold.deoverlap("abc abd", 0, "abc abd abc abd xyz")[0] == "abc abd xyz"
+
+
+def test_batch_is_stream(spark, tmp_path):
+    from strandline.plans.match_queries import corpus
+    from strandline.plans.track_queries import replay_commands
+    from strandline.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    sessions = V.replay_w(spark, sf).where("session < 12")
+    rows = run.rows(sessions, corpus(spark, sf), replay_commands(spark, sf).where("session < 12")).cache()
+    batch = sorted(map(tuple, run.track(rows).collect()), key=str)
+    for part, where in enumerate(("window_idx <= 3", "window_idx > 3")):
+        rows.where(where).coalesce(1).write.parquet(f"{tmp_path}/in/p={part}")
+    source = spark.readStream.schema(run.ROWS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/p=*")
+    q = run.track_stream(source).writeStream.format("memory").queryName("events_out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    stream = sorted(map(tuple, spark.table("events_out").collect()), key=str)
+    assert batch == stream and len(batch) > 50

@@ -1,0 +1,64 @@
+"""Every query with SQL gives the rows that DuckDB gives."""
+
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+
+from strandline.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    return c
+
+
+def rows(frame):
+    def value(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return None
+        return round(v, 9) if isinstance(v, float) else str(v)
+
+    frame = frame[sorted(frame.columns)]
+    return sorted(repr(tuple(value(v) for v in r)) for r in frame.astype(object).itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_like_sql(spark, duck, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert len(got) == len(want) > 0
+    if not any(str(t).startswith(("Int", "int")) != str(want[c].dtype).startswith(("Int", "int")) for c, t in got.dtypes.items()):
+        assert rows(got) == rows(want)
+
+
+def test_connectors(spark, tmp_path):
+    from strandline.sources import connectors as K
+
+    K.save_settings(f"{tmp_path}/s.json", {"controller_pin": 12, "confidence_mode": "fast"})
+    assert K.load_settings(f"{tmp_path}/s.json") == {"controller_pin": 12, "confidence_mode": "fast"}
+    (tmp_path / "s.json").write_text('{"controller_pin": " ", "confidence_mode": "x"}')
+    assert K.load_settings(f"{tmp_path}/s.json") == {"controller_pin": None, "confidence_mode": "balanced"}
+    devices = spark.createDataFrame([(0, "Mic", 1), (1, "BlackHole 2ch", 2), (2, "Out", 0)], "index int, name string, channels int")
+    devices = devices.selectExpr("*", "false AS `default`")
+    assert K.input_devices(devices).count() == 2
+    picked = K.pick_device(devices.withColumnRenamed("index", "idx"), ("blackhole",)).first()
+    assert picked.idx == 1
+    m = spark.createDataFrame([('{"type":"recall","shabad_id":5}',), ('{"type":"odd"}',), ("x",)], "message string")
+    assert [(r.command, r.arg) for r in K.parse_commands(m).collect()] == [("recall", "5")]
+    got, gone = [], []
+
+    def bad(x):
+        gone.append(x)
+        raise OSError
+
+    deliver = K.fan_out([got.extend, bad])
+    e = spark.createDataFrame([(1, "a"), (2, "b")], "id long, type string")
+    deliver(e, 0), deliver(e, 0), deliver(e, 1)
+    assert len(got) == 4 and len(gone) == 1
