@@ -99,7 +99,7 @@ class Seeds:
     def here(self, words: list[str]) -> set[tuple]:
         found: set[tuple] = set()
         for size in self.lengths:
-            found |= self.of.keys() & set(zip(*[words[i:] for i in range(size)]))
+            found |= self.of.keys() & zip(*[words[i:] for i in range(size)])
         return found
 
     def keep(self, df: dict[tuple, int], always: int) -> None:
