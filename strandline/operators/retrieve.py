@@ -7,6 +7,7 @@ order (work_id, line_idx).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,16 +120,17 @@ def cascade(queries: DataFrame, corpus: DataFrame, start_mode: bool = False, scr
     """All strategies with their conditions, merged.
 
     Containment runs for queries with fewer than three works so far (none, in start mode), sub-keys for fewer
-    than two and more than four letters; phrases always. The conditions are semi-joins on counted works, so
-    the dear joins see only the queries that need them.
+    than two and more than four letters; phrases always. The conditions are anti-joins on counted works, so
+    the dear joins see only the queries that need them. The hits that conditions count are kept, at most
+    ten rows a query and strategy: they are read several times.
     """
     q = queries
     if start_mode:
         q = q.withColumn("letters", F.left("letters", F.lit(C.START_LETTERS)))
-    first = _tagged(prefix(q, corpus), F.lit(0), "type0")
+    first = _tagged(prefix(q, corpus), F.lit(0), "type0").persist(StorageLevel.MEMORY_AND_DISK)
     n0 = first.groupBy("qid").agg(F.countDistinct("work_id").alias("n"))
     few = q.join(n0.where(F.col("n") >= (1 if start_mode else 3)).select("qid"), "qid", "left_anti")
-    second = _tagged(contains(few, corpus), F.lit(1), "type1")
+    second = _tagged(contains(few, corpus), F.lit(1), "type1").persist(StorageLevel.MEMORY_AND_DISK)
     n01 = first.union(second).groupBy("qid").agg(F.countDistinct("work_id").alias("n"))
     fewer = q.join(n01.where("n >= 2").select("qid"), "qid", "left_anti")
     third = subkey(fewer, corpus)
