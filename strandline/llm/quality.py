@@ -36,6 +36,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import prepare, table, text_or_empty
 
 SAMPLE, RIDGE, KEEP_AT = 20_000, 1e-3, 0.5
+#: Paths up to this number, at most some 10 MB, are broadcast.
+SITE_ROWS = 50_000
 N_FEATURES = 16
 #: Prior strengths stay within these bounds.
 LEAST_K, MOST_K = 2.0, 1e6
@@ -177,7 +179,9 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
 def _judge(rows: DataFrame, sites: DataFrame, base: float) -> DataFrame:
     """Adds posterior and site means to rows with _host, _path, _log_odds and _p."""
     clip = lambda c: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c))
-    joined = rows.join(sites, ["_host", "_path"])
+    # A small table of sites goes to the rows; a large one meets them in a shuffle join.
+    small = sites.count() <= SITE_ROWS
+    joined = rows.join(F.broadcast(sites) if small else sites, ["_host", "_path"])
     site = clip(
         (F.col("_path_sum") - F.col("_p") + F.col("_k") * F.col("_prior")) / (F.col("_path_n") - 1 + F.col("_k"))
     )
