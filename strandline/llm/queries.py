@@ -17,4 +17,8 @@ QUERIES = {
     "op10_toxicity_ordinal": toxicity.op10,
 }
 
-ORACLE_SQL = {"op4_warc_archive": warc.ORACLE4}
+ORACLE_SQL = {
+    "op4_warc_archive": warc.ORACLE4,
+    "op7_secret_ledger": secrets.oracle_sql(),
+    "op8_substring_dedup": substring.ORACLE8,
+}

@@ -161,3 +161,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("path").alias("doc_id"), *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans")
     )
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def oracle_sql() -> str:
+    """The same rows for DuckDB: spans from the pieces between matches, too."""
+    words = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
+    patterns = {
+        "assign": f"({words})" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+    }
+    parts = [
+        f"""SELECT rid, '{r.name}' AS name, {i} AS rank, s, s + length(m[i]) AS e,
+          length(regexp_extract(m[i], '{patterns[r.name]}', {r.group})) >= {r.least} AS good
+        FROM (SELECT rid, m, i, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+          FROM (SELECT rid, regexp_extract_all(t, '{patterns[r.name]}') AS m,
+            string_split_regex(t, '{patterns[r.name]}') AS g FROM d) x, UNNEST(range(1, len(m) + 1)) AS u(i))"""
+        for i, r in enumerate(RULES)
+    ]
+    counts = ", ".join(f"count(*) FILTER (WHERE name = '{r.name}') AS n_{r.name}" for r in RULES)
+    names = ", ".join(f"n_{r.name}" for r in RULES)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+      f AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE good),
+      s AS (SELECT d.rid, d.doc_id, {counts}, coalesce(string_agg(name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT),
+        ',' ORDER BY s, rank), '') AS spans FROM d LEFT JOIN f ON f.rid = d.rid GROUP BY ALL)
+      SELECT doc_id, {names}, sha256(spans) AS base_sha256, spans FROM s"""
