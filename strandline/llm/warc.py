@@ -178,7 +178,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{path} holds {seen} records instead of {expected}")
                 yield _batch(rows, schema)
 
-    files = manifest.select("path", "records").repartition("path")
+    # A task per archive: dealt by size, the short rows of the manifest would all meet in one task.
+    files = manifest.select("path", "records").repartition(max(1, manifest.count()))
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return files.mapInArrow(run, ddl)
 
