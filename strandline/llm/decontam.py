@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. A seed is an n-gram of a benchmark item's words. Its document frequency is
-counted over the whole corpus, and an item keeps the seeds that are at most as frequent as its median
-seed (or `always` documents), so that common phrases start no alignment while an item that was copied
-many times keeps the seeds that are rare for it. Each place where a seed of an item occurs in a document
-opens a window as long as the item on both sides; overlapping windows of the same item join. The item
+Words are runs of letters and digits, lower-cased. A seed is an n-gram of a benchmark item's words; all
+count, however frequent, so that what is found in a document does not depend on the other documents. Each
+place where a seed of an item occurs in a document opens a window as long as the item on both sides;
+overlapping windows of the same item join. The item
 is aligned with each window by Smith-Waterman (match +2, mismatch -1, gap -1), and a document is
 contaminated by an item whose best score reaches `threshold` of the score of an exact copy.
 
+Common phrases are kept cheap without a loss: no score exceeds a match for each word that the item shares
+with the document, or with the window, repeats counted, so what stays below the threshold by this
+is not aligned; and a task aligns equal windows once.
+
 Items shorter than a seed are one seed of all their words. The benchmark goes to the tasks in blocks of
 at most `block_items` items and `block_chars` characters, one pass over the corpus per block.
 
@@ -19,7 +22,7 @@ are searched whole; an empty corpus or benchmark gives an empty result; other co
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, text_or_empty
 
-N, ALWAYS, THRESHOLD = 4, 2, 0.5
+N, THRESHOLD = 4, 0.5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Bytes of windows whose alignments a task remembers.
+REMEMBERED = 32_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 _WORD = re.compile(r"[^\W_]+")
@@ -95,6 +100,7 @@ class Seeds:
             for g in set(grams(words, n)):
                 self.of[g].append(k)
         self.lengths = sorted({len(g) for g in self.of})
+        self.distinct = [frozenset(words) for words in self.words]
 
     def here(self, words: list[str]) -> set[tuple]:
         found: set[tuple] = set()
@@ -102,39 +108,6 @@ class Seeds:
             found |= self.of.keys() & zip(*[words[i:] for i in range(size)])
         return found
 
-    def keep(self, df: dict[tuple, int], always: int) -> None:
-        """Leave each item its rarer half of seeds."""
-        rare: dict[tuple, list[int]] = defaultdict(list)
-        for k, words in enumerate(self.words):
-            own = set(grams(words, self.n))
-            if own:
-                limit = max(always, float(np.median([df.get(g, 0) for g in own])))
-                for g in own:
-                    if df.get(g, 0) <= limit:
-                        rare[g].append(k)
-        self.of = dict(rare)
-        self.lengths = sorted({len(g) for g in self.of})
-
-
-def _frequencies(docs: DataFrame, seeds: Seeds) -> dict[tuple, int]:
-    """Document frequency of the block's seeds over all documents, added up in each task first."""
-    order = {g: i for i, g in enumerate(seeds.of)}
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, order))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number = shared.value
-        count: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                count.update(number[g] for g in own.here(words_of(text)))
-        yield pa.RecordBatch.from_pydict(
-            {"seed": pa.array(list(count), pa.int32()), "n": pa.array(list(count.values()), pa.int64())}
-        )
-
-    sums = docs.select(text_or_empty()).mapInArrow(run, "seed int, n long").groupBy("seed").agg(F.sum("n"))
-    back = list(order)
-    return {back[r[0]]: r[1] for r in sums.toLocalIterator()}
-
 
 def windows(places: list[int], reach: int, n: int, total: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
@@ -147,28 +120,64 @@ def windows(places: list[int], reach: int, n: int, total: int) -> list[tuple[int
     return [tuple(x) for x in out]
 
 
-def matches(seeds: Seeds, text: str, threshold: float) -> list[tuple]:
+class Aligner:
+    """Aligns items with windows; equal windows of an item once."""
+
+    def __init__(self, seeds: Seeds):
+        self.seeds = seeds
+        self.coded: dict[int, tuple[dict, np.ndarray, np.ndarray]] = {}
+        self.known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        self.held = 0
+
+    def score(self, k: int, words: list[str], threshold: float) -> tuple[int, int, int]:
+        """`align` of item k with the words; score 0 where it cannot reach the threshold."""
+        if k not in self.coded:
+            number = {w: i for i, w in enumerate(dict.fromkeys(self.seeds.words[k]))}
+            coded = np.array([number[w] for w in self.seeds.words[k]])
+            self.coded[k] = number, coded, np.bincount(coded)
+        number, item, count = self.coded[k]
+        text = np.array([number.get(w, -1) for w in words])
+        shared = np.minimum(count, np.bincount(text + 1, minlength=len(count) + 1)[1:]).sum()
+        if shared < threshold * len(item):
+            return 0, 0, 0
+        key = k, text.tobytes()
+        if key not in self.known:
+            if self.held > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[key] = align(item, text)
+            self.held += len(key[1])
+        return self.known[key]
+
+
+def matches(aligner: Aligner, text: str, threshold: float) -> list[tuple]:
     """(item_id, score, start word, end word, item words) of the items found in a text."""
-    words = words_of(text)
+    seeds, words = aligner.seeds, words_of(text)
+    found = seeds.here(words)
+    if not found:
+        return []
+    present, able = set(words), set()
+    for k in {k for g in found for k in seeds.of[g]}:
+        m, own = len(seeds.words[k]), seeds.distinct[k]
+        if len(own & present) + m - len(own) >= threshold * m:
+            able.add(k)
+    opens = {g: own for g in found if (own := [k for k in seeds.of[g] if k in able])}
     places: dict[int, list[int]] = defaultdict(list)
-    if seeds.here(words):
-        for size in seeds.lengths:
-            for at, g in enumerate(zip(*[words[i:] for i in range(size)])):
-                for k in seeds.of.get(g, ()):
-                    places[k].append(at)
+    for size in {len(g) for g in opens}:
+        for at, g in enumerate(zip(*[words[i:] for i in range(size)])):
+            for k in opens.get(g, ()):
+                places[k].append(at)
     out = []
     for k, at in places.items():
-        item = seeds.words[k]
-        number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-        coded = np.array([number[w] for w in item])
+        m = len(seeds.words[k])
         best = (0, 0, 0)
-        for a, b in windows(at, len(item), seeds.n, len(words)):
-            score, s, e = align(coded, np.array([number.get(w, -1) for w in words[a:b]]))
+        for a, b in windows(at, m, seeds.n, len(words)):
+            score, s, e = aligner.score(k, words[a:b], threshold)
             if score > best[0]:
                 best = (score, a + s, a + e)
-        share = best[0] / (MATCH * len(item))
+        share = best[0] / (MATCH * m)
         if share >= threshold:
-            out.append((seeds.ids[k], share, best[1], best[2], len(item)))
+            out.append((seeds.ids[k], share, best[1], best[2], m))
     return out
 
 
@@ -181,9 +190,7 @@ _SCHEMA = pa.schema(
 )
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, always: int = ALWAYS
-) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and benchmark item that it holds a copy, or an edited copy, of."""
     spark = prepare(docs.sparkSession)
     found = None
@@ -191,15 +198,15 @@ def contaminated(
         seeds = Seeds(items, n)
         if not seeds.of:
             continue
-        seeds.keep(_frequencies(docs, seeds), always)
         shared = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            aligner = Aligner(shared.value)
             for batch in batches:
                 rows = [
                     (doc_id, *hit)
                     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for hit in matches(shared.value, text, threshold)
+                    for hit in matches(aligner, text, threshold)
                 ]
                 columns = list(zip(*rows)) if rows else [[] for _ in _SCHEMA]
                 yield pa.RecordBatch.from_arrays(

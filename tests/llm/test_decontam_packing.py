@@ -61,6 +61,22 @@ def test_contaminated(spark):
     assert D.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_copies_in_many_documents(spark):
+    """An edited copy and a half copy are found however many documents hold them."""
+    r = random.Random(11)
+    items = [(i, " ".join(words(r, 30, "q"))) for i in range(4)]
+    edited = lambda i: [w if j not in (4, 11, 18, 25) else "changed" for j, w in enumerate(items[i][1].split()) if j != 14]
+    passages = [(0, edited(0), 3), (1, edited(1), 1000), (2, items[2][1].split()[:16], 3), (3, items[3][1].split()[:16], 1000)]
+    rows, want = [], set()
+    for item, passage, copies in passages:
+        for _ in range(copies):
+            want.add((len(rows), item))
+            rows.append((len(rows), " ".join(words(r, 20) + passage + words(r, 20))))
+    rows += [(5000 + i, " ".join(words(r, 60) + items[2][1].split()[:8])) for i in range(50)]
+    got = D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_ITEMS", 1)
     r = random.Random(2)
