@@ -17,15 +17,22 @@ from .registry import query
 from .text_queries import LONG_WORDS, PHRASES
 
 
-def corpus(spark, sf_dir):
-    """Lines whose keys are short enough to compare, with the priority source marked.
+def _marked(spark, sf_dir):
+    return V.lines(spark, sf_dir).withColumn("source", F.when(F.col("source") == "src0", "G").otherwise(F.col("source")))
+
+
+def every_line(spark, sf_dir):
+    """All keyed lines, with the priority source marked: the corpus index of the queries without SQL.
 
-    The keyed lines are the corpus index: every strategy reads them, so they are kept (on disk where memory
-    is short) and shared by all queries of a session. A stored corpus is written once by `write_index`.
+    Every strategy reads the index, so it is kept (on disk where memory is short) and shared by all such
+    queries of a session. A stored corpus is written once by `write_index`.
     """
-    lines = V.lines(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS)
-    lines = lines.withColumn("source", F.when(F.col("source") == "src0", "G").otherwise(F.col("source")))
-    return lines.persist(StorageLevel.MEMORY_AND_DISK)
+    return _marked(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def corpus(spark, sf_dir):
+    """The lines whose keys are short enough for the recursive SQL to compare; kept like `every_line`."""
+    return _marked(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def queries(spark, sf_dir, letters=None):
@@ -350,7 +357,7 @@ def best_line_stitched(spark, sf_dir):
         {"current": F.coalesce(F.lag("line_idx").over(order), F.lit(0)), "before": F.lag("letters", 1, "").over(order)}
     )
     each = own.select("session", "window_idx", "work_id", "current", F.inline(A.variants(F.col("letters"), F.col("before"))))
-    best = A.best_of_variants(A.align(each, corpus(spark, sf_dir)), "session", "window_idx")
+    best = A.best_of_variants(A.align(each, every_line(spark, sf_dir)), "session", "window_idx")
     return best.withColumn("best_score", F.round("best_score", 9))
 
 

@@ -129,3 +129,28 @@ def test_batch_is_stream(spark, tmp_path):
     q.awaitTermination()
     stream = sorted(map(tuple, spark.table("events_out").collect()), key=str)
     assert batch == stream and len(batch) > 50
+
+
+def test_long_lines_are_tracked(spark, tmp_path):
+    """A line with a key of 200 letters or more is in the index, and the lines after it keep their place."""
+    import random
+
+    from strandline.operators import retrieve
+    from strandline.plans.match_queries import every_line
+    from strandline.queries import QUERIES
+    from strandline.sources import views as V
+
+    r = random.Random(8)
+    said = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(5)) for _ in range(n))
+    docs = [(d, ". ".join(said(300 if i == 1 else 12) for i in range(8)), f"src{d % 3}") for d in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    index = every_line(spark, str(tmp_path))
+    assert {(x.work_id, len(x["keys"])) for x in run.work_keys(index).collect()} == {(d, 8) for d in range(6)}
+    long = index.where("line_idx = 1 AND work_id = 4").selectExpr("7 AS qid", "left(letters, 40) AS letters", "text")
+    assert {(x.work_id, x.line_idx) for x in retrieve.prefix(long, index).collect()} == {(4, 1)}
+    spoken = {(x.session, x.window_idx): (x.work_id, x.line_idx) for x in V.replay_w(spark, str(tmp_path)).where("window_idx < 4").collect()}
+    aligned = QUERIES["track_fold"](spark, str(tmp_path)).where("type = 'aligned' AND window_idx < 4").collect()
+    assert len(aligned) >= 6
+    assert all((x.work_id, x.line) == spoken[x.session, x.window_idx] for x in aligned)
+    best = QUERIES["best_line_stitched"](spark, str(tmp_path)).where("variant = 'current'").collect()
+    assert best and all(x.best_idx == spoken[x.session, x.window_idx][1] for x in best)
