@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql.types import StructField, StructType
 from .common import arrow_rows, prepare, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, REACH, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 240, 3, 0.5, 0.8
+WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 3, 0.5, 0.8
 #: Candidate terms up to this number go to the tasks as a set; more are joined by a shuffle.
 TERM_SET = 100_000
 
@@ -92,17 +93,21 @@ def term_of(word: str) -> str:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within WINDOW words, and REACH characters, of each base span."""
+    """(entity, term, start, end) of the terms within WINDOW words of each base span."""
+    if not spans:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     out = []
     for start, kind, end, entity in spans:
         name = f"{KINDS[kind]}:{entity}"
-        a = max(0, start - REACH)
-        left = [(m.start() + a, m[0]) for m in _WORD.finditer(text[a:start]) if m.start() or not a]
-        b = end + REACH
-        right = [(m.start() + end, m[0]) for m in _WORD.finditer(text[end:b]) if m.end() + end < b]
-        for at, word in left[-WINDOW:] + right[:WINDOW]:
+        i, j = bisect_left(starts, start), bisect_right(ends, end)
+        near = [(a, min(b, start)) for a, b in words[max(0, i - WINDOW) : i]]
+        near += [(max(a, end), b) for a, b in words[j : j + WINDOW]]
+        for a, b in near:
+            word = text[a:b]
             core = word.strip(_EDGE)
-            s = at + word.find(core)
+            s = a + word.find(core)
             e = s + len(core)
             if len(core) >= 3 and all(e <= x[0] or s >= x[2] for x in spans):
                 out.append((name, term_of(word), s, e))
@@ -112,19 +117,21 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[st
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 _NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("key", pa.string()), ("base", pa.list_(_SPAN)), ("near", pa.list_(_NEAR))]
-)
-FOUND = "doc_id long, key string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"
+    [("doc_id", pa.int64()), ("key", pa.string()), ("base", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)),
+     ("held", pa.list_(pa.string()))]
+)
+FOUND = "doc_id long, key string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>, held array<string>"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, near) of every row; key is the SHA-256 of the text."""
+    """(doc_id, key, base, near, held) of every row; key is the SHA-256 of the text, held its distinct entities."""
 
     def one(doc_id, text):
         spans = base_spans(text)
         key = hashlib.sha256(text.encode()).hexdigest()
         near = [dict(zip(("entity", "term", "start", "end"), x)) for x in contexts(text, spans)]
-        yield doc_id, key, [{"start": s, "kind": k, "end": e} for s, k, e, _ in spans], near
+        held = list(dict.fromkeys(f"{KINDS[k]}:{entity}" for _, k, _, entity in spans))
+        yield doc_id, key, [{"start": s, "kind": k, "end": e} for s, k, e, _ in spans], near, held
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(arrow_rows(_FOUND, one), FOUND)
 
@@ -165,7 +172,7 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Da
     by_text = pairs.groupBy("key", "entity", "term").agg(F.count("*").alias("n"))
     n_pair = by_text.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_pair"))
     n_pair = n_pair.where(F.col("support") >= support).checkpoint()
-    n_entity = found.select(F.explode(F.expr("array_distinct(transform(near, x -> x.entity))")).alias("entity"))
+    n_entity = found.select(F.explode("held").alias("entity"))
     n_entity = n_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_term = term_counts(docs, n_pair.select("term").distinct())
     pmi = F.log2(F.col("n_pair") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))

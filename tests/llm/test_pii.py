@@ -68,3 +68,15 @@ def test_terms_joined_when_too_many(spark, monkeypatch):
     for bound in (10, 1):
         monkeypatch.setattr(P, "TERM_SET", bound)
         assert {tuple(x) for x in P.term_counts(docs, terms).collect()} == {("b", 2), ("c", 2)}
+
+
+def test_long_words_do_not_shorten_the_context(spark):
+    url = "https://example.org/" + "x" * 500
+    text = f"zorro42 {url} joe@mail.example.com {url} nickname77"
+    assert [x[1] for x in P.contexts(text, P.base_spans(text))] == ["zorro42", url, url, "nickname77"]
+    text = " ".join(f"w{i}ab" for i in range(20)) + " (joe@mail.example.com), " + " ".join(f"v{i}ab" for i in range(20))
+    assert [x[1] for x in P.contexts(text, P.base_spans(text))] == [f"w{i}ab" for i in range(13, 20)] + [f"v{i}ab" for i in range(7)]
+    rows = [(i, f"filler{i} zorro42 {url} joe@mail.example.com") for i in range(4)] + [(9, "joe@mail.example.com")]
+    docs = spark.createDataFrame(rows + [(20 + i, f"plain{i}") for i in range(20)], "doc_id long, text string")
+    told = P.disclosures(docs, P.detect(docs)).where("term = 'zorro42'").first()
+    assert (told.n_pair, told.n_entity) == (4, 5)
