@@ -26,7 +26,9 @@ def auto_gain(samples: Column, target: float = 0.7, quiet: float = 0.005, most:
     """Amplified to the target peak unless near silent or loud enough, clipped to 1."""
     p = peak(samples)
     gain = F.least(F.lit(target) / F.greatest(p, F.lit(1e-12)), F.lit(most))
-    loud = F.transform(samples, lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x.cast("double") * gain)))
+    # The gain comes from all samples, so it stands outside the lambda, which runs for each.
+    gains = F.array_repeat(gain, F.size(samples))
+    loud = F.zip_with(samples, gains, lambda x, g: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x.cast("double") * g)))
     plain = F.transform(samples, lambda x: x.cast("double"))
     return F.when((p >= quiet) & (gain > least), loud).otherwise(plain)
 

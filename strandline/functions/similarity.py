@@ -1,31 +1,120 @@
-"""Similarity of letter keys."""
+"""Similarity of letter keys: Ratcliff and Obershelp's matched share, and the longest common run.
+
+Pairs are compared in Arrow batches. The recursion (longest common run, then the same to its left and right)
+goes level by level over all pairs of a batch at once, as array operations on the letters.
+"""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+#: From this length on the matcher of the standard library leaves out letters that are frequent in the second key.
+FREQUENT_FROM = 200
+#: Cells that are looked at together; bounds the memory of a batch.
+CELLS = 1 << 19
+
 
 def ratio_and_run(a: str | None, b: str | None) -> tuple[float, int]:
     """(matched share 2M/T, longest common run) of two strings, in this order of arguments."""
     if not a or not b:
         return 0.0, 0
     m = SequenceMatcher(None, a, b)
+    # The whole matching is kept by the matcher; the first call finds the longest run of all.
     return m.ratio(), m.find_longest_match(0, len(a), 0, len(b)).size
 
 
+def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters of all keys as numbers, where each key begins)."""
+    start = np.cumsum([0] + [len(k) for k in keys])
+    return np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32), start
+
+
+def _longest(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, end in a, end in b) of the longest common run of each row of `at`: a's range, then b's range.
+
+    Of equally long runs the one that ends first in a counts, and of these the one that ends first in b.
+    """
+    n, wide = len(at), int((at[:, 3] - at[:, 2]).max())
+    place = np.arange(wide)
+    inside = place < (at[:, 3] - at[:, 2])[:, None]
+    right = np.where(inside, b[np.minimum(at[:, 2:3] + place, len(b) - 1)], -1)
+    run = np.zeros((n, wide + 1), np.int16)
+    size, end_a, end_b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    high = at[:, 1] - at[:, 0]
+    for i in range(int(high.max())):
+        left = np.where(i < high, a[np.minimum(at[:, 0] + i, len(a) - 1)], -2)
+        run[:, 1:] = np.where(right == left[:, None], run[:, :-1] + 1, 0)
+        best = run.max(axis=1)
+        more = np.flatnonzero(best > size)
+        if len(more):
+            size[more], end_a[more] = best[more], at[more, 0] + i + 1
+            end_b[more] = at[more, 2] + run[more].argmax(axis=1)
+    return size, end_a, end_b
+
+
+def compare(keys_a: list[str], keys_b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio, run) of pairs of keys that are not empty and whose second ones are shorter than FREQUENT_FROM."""
+    a, from_a = _codes(keys_a)
+    b, from_b = _codes(keys_b)
+    matched, run = np.zeros(len(keys_a), np.int64), np.zeros(len(keys_a), np.int64)
+    pair = np.arange(len(keys_a))
+    at = np.column_stack([from_a[:-1], from_a[1:], from_b[:-1], from_b[1:]])
+    first = True
+    while len(pair):
+        # Rows of about the same size are looked at together.
+        order = np.lexsort((at[:, 1] - at[:, 0], at[:, 3] - at[:, 2]))
+        pair, at = pair[order], at[order]
+        wide = at[:, 3] - at[:, 2]
+        found, begin = [], 0
+        while begin < len(pair):
+            end = min(len(pair), begin + max(1, CELLS // int(wide[min(len(pair), begin + CELLS // int(wide[begin])) - 1])))
+            found.append(_longest(a, b, at[begin:end]))
+            begin = end
+        size, end_a, end_b = (np.concatenate(x) for x in zip(*found))
+        np.add.at(matched, pair, size)
+        if first:
+            run[pair], first = size, False
+        hit = size > 0
+        pair, at, size, end_a, end_b = pair[hit], at[hit], size[hit], end_a[hit], end_b[hit]
+        left = np.column_stack([at[:, 0], end_a - size, at[:, 2], end_b - size])
+        right = np.column_stack([end_a, at[:, 1], end_b, at[:, 3]])
+        pair, at = np.concatenate([pair, pair]), np.concatenate([left, right])
+        some = (at[:, 1] > at[:, 0]) & (at[:, 3] > at[:, 2])
+        pair, at = pair[some], at[some]
+    total = np.diff(from_a) + np.diff(from_b)
+    return 2.0 * matched / np.maximum(total, 1), run
+
+
+def ratios_and_runs(keys_a: list[str | None], keys_b: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """`ratio_and_run` of many pairs; equal pairs are compared once."""
+    number: dict[tuple, int] = {}
+    place = [number.setdefault((x or "", y or ""), len(number)) for x, y in zip(keys_a, keys_b)]
+    ratio, run = np.zeros(len(number)), np.zeros(len(number), np.int64)
+    pairs = list(number)
+    short = [i for i, (x, y) in enumerate(pairs) if x and y and len(y) < FREQUENT_FROM]
+    if short:
+        ratio[short], run[short] = compare([pairs[i][0] for i in short], [pairs[i][1] for i in short])
+    for i, (x, y) in enumerate(pairs):
+        if len(y) >= FREQUENT_FROM:
+            ratio[i], run[i] = ratio_and_run(x, y)
+    return ratio[place], run[place]
+
+
 @pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("run", IntegerType())]))
 def similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([ratio_and_run(x, y) for x, y in zip(a, b)], columns=["ratio", "run"])
+    ratio, run = ratios_and_runs(a.tolist(), b.tolist())
+    return pd.DataFrame({"ratio": ratio, "run": run.astype(np.int32)})
 
 
 def longest_run(a: Column, b: Column) -> Column:
-    """Longest common substring's length in array functions, for keys under 200 letters."""
+    """Longest common substring's length in array functions, for keys of one line."""
     n = F.char_length(a)
     one = lambda i: F.array_max(
         F.filter(F.sequence(F.lit(0), n - i + 1), lambda k: F.contains(b, F.substr(a, i, k)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Script:
-    """letter: class of a key letter; initial: class of a corpus word's first character; word: characters of
+    """letter: characters of a key letter; initial: those of a corpus word's first character; word: those of
     folded words; fold and canon: pairs of strings for translate()."""
 
     name: str
@@ -29,22 +29,25 @@ def _block(first: int) -> str:
 # Letters of the Gurmukhi block, the Devanagari block folded onto it, and the vowel carriers.
 INDIC = Script(
     "indic",
-    letter="[ਅ-ਹੜੴ]",
-    initial="[਀-੿]",
+    letter="ਅ-ਹੜੴ",
+    initial="਀-੿",
     word="਀-੿",
     fold=(_block(0x0900), _block(0x0A00)),
     canon=("ਆਇਈਏਐਉਊਔ", "ਅੲੲੲੲੳੳੳ"),
 )
-LATIN = Script("latin", letter="[a-zà-ÿ]", initial="[a-zà-ÿ]", word="a-zà-ÿ", lower=True)
+LATIN = Script("latin", letter="a-zà-ÿ", initial="a-zà-ÿ", word="a-zà-ÿ", lower=True)
+
+#: White space of any script, as characters of a class.
+SPACE = r"\s\x85\p{Z}"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def words(text: Column) -> Column:
     """Words between any white space; none of an empty text."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
 def _folded(text: Column, script: Script) -> Column:
@@ -58,19 +61,15 @@ def _canon(letter: Column, script: Script) -> Column:
 
 def first_letters(text: Column, script: Script = LATIN) -> Column:
     """Key of a query: each word's first letter, folded and in its canonical form; words without one are left out."""
-    found = F.transform(
-        words(_folded(text, script)), lambda w: _canon(F.regexp_extract(w, script.letter, 0), script)
-    )
-    return F.array_join(F.filter(found, lambda x: x != ""), "")
+    first = f"(?:^|[{SPACE}])[^{SPACE}{script.letter}]*+([{script.letter}])"
+    return _canon(F.array_join(F.regexp_extract_all(_folded(text, script), F.lit(first), F.lit(1)), ""), script)
 
 
 def first_letters_corpus(text: Column, script: Script = LATIN) -> Column:
     """Key of a corpus line: only a word's first character counts, and it is not folded."""
     text = F.lower(text) if script.lower else text
-    found = F.transform(
-        words(text), lambda w: _canon(F.regexp_extract(F.substring(w, 1, 1), script.initial, 0), script)
-    )
-    return F.array_join(F.filter(found, lambda x: x != ""), "")
+    first = f"(?:^|[{SPACE}])([{script.initial}])"
+    return _canon(F.array_join(F.regexp_extract_all(text, F.lit(first), F.lit(1)), ""), script)
 
 
 def script_fold(text: Column, script: Script = INDIC) -> Column:
@@ -104,9 +103,11 @@ def phrases(text: Column, start_mode: bool = False, script: Script = LATIN) -> C
 
 def dedup_words(text: Column) -> Column:
     """Words without immediate repeats."""
+    # The words are named outside the lambda: inside, they would be made anew for every word.
     w = words(text)
-    kept = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), x)), lambda x: x.isNotNull())
-    return F.array_join(kept, " ")
+    before = F.concat(F.array(F.lit(None).cast("string")), w)
+    kept = F.zip_with(w, F.slice(before, 1, F.size(w)), lambda x, last: F.when(last.isNull() | (x != last), x))
+    return F.array_join(F.array_compact(kept), " ")
 
 
 # What marks a transcript segment as garbage, in Java's syntax.
@@ -126,13 +127,8 @@ VALID = "਀-੿ऀ-ॿ؀-ۿA-z"
 
 
 def repeats_prefix(text: Column) -> Column:
-    """The text begins with 1 to 10 characters three times over."""
-    return F.exists(
-        F.sequence(F.lit(1), F.lit(10)),
-        lambda n: (F.char_length(text) >= 3 * n)
-        & (~F.contains(F.left(text, n), F.lit("\n")))
-        & F.startswith(text, F.repeat(F.left(text, n), F.lit(3))),
-    )
+    """The text begins with 1 to 10 characters of one line three times over."""
+    return text.rlike(r"(?d)^(.{1,10})\1\1")
 
 
 def is_valid(text: Column) -> Column:

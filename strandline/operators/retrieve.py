@@ -67,14 +67,16 @@ def subkey(queries: DataFrame, corpus: DataFrame, limit: int = C.SUBKEY_LIMIT) -
 
 def bigrams(text: Column, script: T.Script = T.LATIN) -> Column:
     """Distinct pairs of neighbouring folded words."""
-    w = F.split(T.script_fold(text, script), " ")
-    n = F.size(w)
-    return F.when(
-        n >= 2,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    return word_pairs(T.script_fold(text, script))
+
+
+def word_pairs(folded: Column) -> Column:
+    """`bigrams` of a text that is folded already."""
+    # The words are named outside the lambda: inside, they would be made anew for every pair.
+    w = F.split(folded, " ")
+    rest = F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(w, 1, F.size(rest)), rest, lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.array_distinct(pairs)
 
 
 def phrase(
@@ -83,12 +85,10 @@ def phrase(
     """Each phrase of the transcript occurs in the line as whole words; adds `part`, the phrase's number."""
     q = queries.select("qid", F.posexplode(T.phrases(F.col("text"), start_mode, script)).alias("part", "phrase"))
     q = q.withColumn("k", F.substring_index("phrase", " ", 2))
-    c = _line(
-        corpus,
-        F.concat(F.lit(" "), T.script_fold(F.col("text"), script), F.lit(" ")).alias("_folded"),
-        F.explode(bigrams(F.col("text"), script)).alias("k"),
-    )
-    hits = c.join(q, "k").where(F.contains("_folded", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    folded = T.script_fold(F.col("text"), script).alias("_folded")
+    c = _line(corpus, folded).select(*_LINE, "_folded", F.explode(word_pairs(F.col("_folded"))).alias("k"))
+    inside = F.contains(F.concat(F.lit(" "), "_folded", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    hits = c.join(q, "k").where(inside)
     hits = hits.select(F.struct("qid", "part").alias("qid"), *_LINE)
     return _top(hits, limit).select(F.col("qid.part").alias("part"), F.col("qid.qid").alias("qid"), *_LINE, "pos")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..streaming.ordered import fold
 
 
 def tumble(levels: DataFrame, blocks: int) -> DataFrame:
@@ -49,23 +50,17 @@ def vocal_breaks(levels: DataFrame) -> DataFrame:
 def speech_rate(windows: DataFrame, seconds: float = 10.0) -> DataFrame:
     """Smoothed letters per second of each window, by a fold over the session's ordered windows."""
     seconds = max(seconds, 0.1)
-    alpha = F.lit(min(0.99, max(0.01, C.RATE_ALPHA)))
-    item = F.struct("window_idx", "silent", F.char_length("letters").alias("n"))
-    fold = F.aggregate(
-        F.array_sort(F.col("w")),
-        F.struct(F.lit(0.0).alias("r"), F.expr("cast(array() AS array<struct<window_idx:bigint,rate:double>>)").alias("out")),
-        lambda acc, x: _next(acc, x, F.when(x["silent"], acc["r"] * C.SILENT_RATE).otherwise(
-            (1 - alpha) * acc["r"] + alpha * (x["n"] / F.lit(seconds))
-        )),
-        lambda acc: acc["out"],
-    )
-    each = windows.groupBy("session").agg(F.collect_list(item).alias("w")).select("session", F.explode(fold).alias("x"))
-    return each.select("session", "x.window_idx", "x.rate")
-
-
-def _next(acc, x, rate):
-    row = F.struct(x["window_idx"].cast("bigint").alias("window_idx"), rate.alias("rate"))
-    return F.struct(rate.alias("r"), F.concat(acc["out"], F.array(row)).alias("out"))
+    alpha = min(0.99, max(0.01, C.RATE_ALPHA))
+
+    def step(state: dict, row: dict):
+        r = state["r"]
+        state["r"] = r * C.SILENT_RATE if row["silent"] else (1 - alpha) * r + alpha * (row["n"] / seconds)
+        yield row["session"], row["window_idx"], state["r"]
+
+    rows = windows.select(
+        F.col("session").cast("long"), F.col("window_idx").cast("long"), "silent", F.char_length("letters").alias("n")
+    )
+    return fold(rows, "session", ["window_idx"], lambda: {"r": 0.0}, step, "session long, window_idx long, rate double")
 
 
 def with_profile(windows: DataFrame, mode: str = "mode") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import score as S
-from ..functions.similarity import longest_run
+from ..functions.similarity import FREQUENT_FROM, longest_run
 from ..operators import align as A
 from ..operators import rank as K
 from ..operators import retrieve as R
@@ -17,33 +17,30 @@ from .registry import query
 from .text_queries import LONG_WORDS, PHRASES
 
 
-def _marked(spark, sf_dir):
-    return V.lines(spark, sf_dir).withColumn("source", F.when(F.col("source") == "src0", "G").otherwise(F.col("source")))
-
-
-def every_line(spark, sf_dir):
-    """All keyed lines, with the priority source marked: the corpus index of the queries without SQL.
+def corpus(spark, sf_dir):
+    """All keyed lines, with the priority source marked: the corpus index.
 
-    Every strategy reads the index, so it is kept (on disk where memory is short) and shared by all such
+    Every strategy reads the index, so it is kept (on disk where memory is short) and shared by all
     queries of a session. A stored corpus is written once by `write_index`.
     """
-    return _marked(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = F.when(F.col("source") == "src0", "G").otherwise(F.col("source"))
+    return V.lines(spark, sf_dir).withColumn("source", marked).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def corpus(spark, sf_dir):
-    """The lines whose keys are short enough for the recursive SQL to compare; kept like `every_line`."""
-    return _marked(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS).persist(StorageLevel.MEMORY_AND_DISK)
+def queries(spark, sf_dir):
+    return V.queries_w(spark, sf_dir).withColumnRenamed("item_id", "qid")
 
 
-def queries(spark, sf_dir, letters=None):
-    q = V.queries_w(spark, sf_dir).where(F.char_length("letters") < V.MOST_LETTERS)
-    return q.select("item_id", "text", (F.col("letters") if letters is None else letters).alias("letters")).withColumnRenamed("item_id", "qid")
+def spoken(spark, sf_dir):
+    """The windows of the replay as queries with whole keys, each of which a line of the corpus has."""
+    w = V.replay_w(spark, sf_dir).where(~F.col("silent"))
+    return w.select((F.col("session") * 1000 + F.col("window_idx")).alias("qid"), "letters", "text")
 
 
 _FOLD = "trim(regexp_replace(lower({0}), '[^a-zà-ÿ]+', ' ', 'g'))"
 _CORPUS = f"""corpus AS MATERIALIZED (SELECT * REPLACE (CASE WHEN source = 'src0' THEN 'G' ELSE source END AS source), ' ' || {_FOLD.format('text')} || ' ' AS folded
-  FROM lines WHERE length(letters) < {V.MOST_LETTERS})"""
-_Q = f"q AS (SELECT item_id AS qid, text, letters FROM queries_w WHERE length(letters) < {V.MOST_LETTERS})"
+  FROM lines)"""
+_Q = "q AS (SELECT item_id AS qid, text, letters FROM queries_w)"
 _BASE = (V.LINES, _CORPUS, V.QUERIES_W, _Q)
 _COLUMNS = "l.work_id, l.line_idx, l.source, l.text, l.letters"
 
@@ -58,16 +55,17 @@ _CONTAINS_ON = f"length(q.letters) >= {C.MIN_LETTERS} AND contains(l.letters, q.
 _HIT = "qid, work_id, line_idx, CAST(pos AS INTEGER) AS pos"
 
 
-@query(V.with_(*_BASE, "k AS (SELECT qid, left(letters, 4) AS letters FROM q)", _hits("h", "k", _PREFIX_ON, C.PREFIX_LIMIT)) + f"SELECT {_HIT} FROM h")
+_SPOKEN = "k AS (SELECT session * 1000 + window_idx AS qid, letters FROM replay_w WHERE NOT silent)"
+
+
+@query(V.with_(V.LINES, _CORPUS, V.REPLAY_W, _SPOKEN, _hits("h", "k", _PREFIX_ON, C.PREFIX_LIMIT)) + f"SELECT {_HIT} FROM h")
 def join_prefix(spark, sf_dir):
-    q = queries(spark, sf_dir, F.left("letters", F.lit(4)))
-    return R.prefix(q, corpus(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
+    return R.prefix(spoken(spark, sf_dir), corpus(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
 
 
-@query(V.with_(*_BASE, "k AS (SELECT qid, left(letters, 6) AS letters FROM q)", _hits("h", "k", _CONTAINS_ON, C.CONTAINS_LIMIT)) + f"SELECT {_HIT} FROM h")
+@query(V.with_(V.LINES, _CORPUS, V.REPLAY_W, _SPOKEN, _hits("h", "k", _CONTAINS_ON, C.CONTAINS_LIMIT)) + f"SELECT {_HIT} FROM h")
 def join_contains(spark, sf_dir):
-    q = queries(spark, sf_dir, F.left("letters", F.lit(6)))
-    return R.contains(q, corpus(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
+    return R.contains(spoken(spark, sf_dir), corpus(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
 
 
 def _subkeys(source: str) -> str:
@@ -138,18 +136,39 @@ def dedup_merge(spark, sf_dir):
 
 
 # Similarity in SQL: the longest common run of a and b, and the matched letters by recursion on both sides of it.
-_RUN = """coalesce(list_max(list_transform(range(1, length({a}) + 1), lambda i: list_max(list_filter(
-  range(0, length({a}) - i + 2), lambda k: contains({b}, substr({a}, i, k)))))), 0)""".format(a="a", b="b")
-SIMILAR = f"""seg AS (
-  SELECT qa, lb, qa AS a, lb AS b, true AS whole FROM pairs
+# In a key of 200 letters or more a run is looked for without the letters that are more than a hundredth of it and
+# one (`m` is b with these masked); what is found grows by equal letters of any kind. The letters are those of the
+# Latin profile, so a class of them needs no escapes.
+_RUN = """coalesce(list_max(list_transform(range(1, length(a) + 1), lambda i: list_max(list_filter(
+  range(0, length(a) - i + 2), lambda k: contains(m, substr(a, i, k)))))), 0)"""
+_FREQUENT = """array_to_string(list_filter(list_distinct(string_split(lb, '')),
+  lambda c: length(lb) - length(replace(lb, c, '')) > length(lb) // 100 + 1), '')"""
+
+
+def _matched(source: str) -> str:
+    """Rows of `source` (qa, lb, a, b, m, whole) with the run: its length k, its places i and j."""
+    return f"""(SELECT * EXCLUDE (k0, i0, j0, x, y), x + k0 + y AS k, i0 - x AS i, j0 - x AS j FROM (
+      SELECT *, CASE WHEN m = b THEN 0 ELSE coalesce(list_max(list_filter(range(1, least(i0, j0)),
+          lambda t: right(substr(a, 1, i0 - 1), t) = right(substr(b, 1, j0 - 1), t))), 0) END AS x,
+        CASE WHEN m = b THEN 0 ELSE coalesce(list_max(list_filter(range(1, least(length(a) - i0 - k0, length(b) - j0 - k0) + 2),
+          lambda t: substr(a, i0 + k0, t) = substr(b, j0 + k0, t))), 0) END AS y
+      FROM (SELECT *, CASE WHEN k0 > 0 THEN instr(m, substr(a, i0, k0)) ELSE 1 END AS j0 FROM (
+        SELECT *, CASE WHEN k0 > 0 THEN list_filter(range(1, length(a) - k0 + 2), lambda i: contains(m, substr(a, i, k0)))[1] ELSE 1 END AS i0
+        FROM (SELECT *, {_RUN} AS k0 FROM {source} WHERE a <> '' AND b <> '')))))"""
+
+
+SIMILAR = f"""masked AS (
+  SELECT qa, lb, CASE WHEN f = '' THEN lb ELSE regexp_replace(lb, '[' || f || ']', chr(1), 'g') END AS mb
+  FROM (SELECT qa, lb, CASE WHEN length(lb) < 200 THEN '' ELSE {_FREQUENT} END AS f FROM pairs)
+), seg AS (
+  SELECT qa, lb, qa AS a, lb AS b, mb AS m, true AS whole FROM masked
   UNION ALL
-  SELECT qa, lb, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)]), false
-  FROM (SELECT *, instr(b, substr(a, i, k)) AS j FROM (
-    SELECT *, list_filter(range(1, length(a) - k + 2), lambda i: contains(b, substr(a, i, k)))[1] AS i FROM (
-      SELECT *, {_RUN} AS k FROM seg WHERE a <> '' AND b <> '') WHERE k > 0))
-), sized AS (SELECT qa, lb, whole, {_RUN} AS k FROM seg),
-sim AS (SELECT qa, lb, 2.0::DOUBLE * sum(k) / (length(qa) + length(lb)) AS ratio, CAST(max(CASE WHEN whole THEN k END) AS INTEGER) AS run
-  FROM sized GROUP BY qa, lb)"""
+  SELECT qa, lb, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)]),
+    unnest([substr(m, 1, j - 1), substr(m, j + k)]), false
+  FROM {_matched("seg")} WHERE k > 0
+), sized AS (SELECT qa, lb, whole, k FROM {_matched("seg")} UNION ALL SELECT qa, lb, whole, 0 FROM seg WHERE a = '' OR b = ''),
+sim AS (SELECT qa, lb, CASE WHEN length(qa) + length(lb) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * sum(k) / (length(qa) + length(lb)) END AS ratio,
+  CAST(max(CASE WHEN whole THEN k END) AS INTEGER) AS run FROM sized GROUP BY qa, lb)"""
 _SCORED = (
     *_CASCADE,
     "pairs AS (SELECT DISTINCT q.letters AS qa, m.letters AS lb FROM merged m JOIN q ON q.qid = m.qid)",
@@ -187,11 +206,13 @@ def seq_ratio(spark, sf_dir):
 
 @query(_scored_query("run, round(run / greatest(length(query), 1), 9) AS run_ratio"))
 def lcs_ratio(spark, sf_dir):
-    """The longest common run in array functions alone."""
+    """The longest common run in array functions alone; long keys, where frequent letters don't count, by the matcher."""
     q = queries(spark, sf_dir)
     pairs = R.cascade(q, corpus(spark, sf_dir)).join(q.select("qid", F.col("letters").alias("query")), "qid")
-    run = longest_run(F.col("query"), F.col("letters")).cast("int")
-    pairs = pairs.select("qid", "work_id", "query", run.alias("run"))
+    long = F.char_length("letters") >= FREQUENT_FROM
+    run = longest_run(F.col("query"), F.col("letters")).cast("int").alias("run")
+    compared = A.with_similarity(pairs.where(long), "query", "letters").select("qid", "work_id", "query", "run")
+    pairs = pairs.where(~long).select("qid", "work_id", "query", run).union(compared)
     share = F.col("run") / F.greatest(F.char_length("query"), F.lit(1))
     return pairs.select("qid", "work_id", "run", F.round(share, 9).alias("run_ratio"))
 
@@ -301,7 +322,7 @@ _ALIGNED = (
     V.LINES,
     V.REPLAY_W,
     "win AS (SELECT session, window_idx, work_id, letters AS query, CAST(coalesce(lag(line_idx) OVER (PARTITION BY session ORDER BY window_idx), 0) AS INTEGER) AS current FROM replay_w WHERE work_id = session AND window_idx < 4)",
-    f"al AS (SELECT w.*, l.line_idx, l.letters AS line FROM win w JOIN lines l ON l.work_id = w.work_id AND length(l.letters) < {V.MOST_LETTERS})",
+    "al AS (SELECT w.*, l.line_idx, l.letters AS line FROM win w JOIN lines l ON l.work_id = w.work_id)",
     "pairs AS (SELECT DISTINCT query AS qa, line AS lb FROM al)",
     SIMILAR,
     "raws AS (SELECT al.*, 0.5::DOUBLE * ratio + 0.5::DOUBLE * (run / greatest(length(query), 1)) AS raw FROM al JOIN sim ON qa = query AND lb = line)",
@@ -357,7 +378,7 @@ def best_line_stitched(spark, sf_dir):
         {"current": F.coalesce(F.lag("line_idx").over(order), F.lit(0)), "before": F.lag("letters", 1, "").over(order)}
     )
     each = own.select("session", "window_idx", "work_id", "current", F.inline(A.variants(F.col("letters"), F.col("before"))))
-    best = A.best_of_variants(A.align(each, every_line(spark, sf_dir)), "session", "window_idx")
+    best = A.best_of_variants(A.align(each, corpus(spark, sf_dir)), "session", "window_idx")
     return best.withColumn("best_score", F.round("best_score", 9))
 
 

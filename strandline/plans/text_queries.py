@@ -44,7 +44,7 @@ def first_letters(spark, sf_dir):
 @query(
     V.with_(_VALUES)
     + f"""SELECT CAST(id AS BIGINT) AS id, array_to_string(list_filter(list_transform(string_split_regex({_FOLDED}, '\\s+'),
-    lambda w: {_sql_translate("regexp_extract(w, '" + T.INDIC.letter + "')", T.INDIC.canon)}), lambda x: x <> ''), '') AS first_letters
+    lambda w: {_sql_translate("regexp_extract(w, '[" + T.INDIC.letter + "]')", T.INDIC.canon)}), lambda x: x <> ''), '') AS first_letters
     FROM scripts"""
 )
 def first_letters_indic(spark, sf_dir):

@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 LINE_BREAK = r"[.!?\n]+\s*"
-MOST_LETTERS = 200
+#: Keys of the lines that the replay speaks: long enough to be searched, short enough for one window.
+SPOKEN_LETTERS = (6, 199)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in at least as many tasks as there are cores.
+
+    A table of one small file is one task, however much is made of each row; only such tables are dealt out.
+    A scan that already has a task per core, as every large table's, is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _keyed(text: Column) -> Column:
@@ -105,7 +116,7 @@ REPLAY_BLOCK = 64
 def replay_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, window_idx, silent, work_id, line_idx, text, letters): four lines of a work, a silent window, four
     lines of the next work that qualifies in its block of ids (the first follows the last)."""
-    fit = lines(spark, sf_dir).where(F.char_length("letters").between(6, MOST_LETTERS - 1))
+    fit = lines(spark, sf_dir).where(F.char_length("letters").between(*SPOKEN_LETTERS))
     place = W.partitionBy("work_id").orderBy("line_idx")
     head = (
         fit.withColumn("n", F.row_number().over(place))
@@ -142,7 +153,7 @@ def replay_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLAY_W = f"""
 fit AS (
   SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY line_idx) AS n FROM lines
-  WHERE length(letters) BETWEEN 6 AND {MOST_LETTERS - 1}
+  WHERE length(letters) BETWEEN {SPOKEN_LETTERS[0]} AND {SPOKEN_LETTERS[1]}
 ), good AS (
   SELECT work_id, lead(work_id) OVER (PARTITION BY work_id // {REPLAY_BLOCK} ORDER BY work_id) AS after,
          min(work_id) OVER (PARTITION BY work_id // {REPLAY_BLOCK}) AS first_id

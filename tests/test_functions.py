@@ -1,5 +1,6 @@
 """Text, score and signal functions against hand-derived cases."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -99,3 +100,49 @@ def test_signal(spark):
 
 def test_profiles():
     assert C.profile("fast").lock_windows == 1 and C.profile("odd") is C.BALANCED and C.profile(None) is C.BALANCED
+
+
+def test_similarity_of_many_pairs():
+    """The array operations give what the standard library's matcher gives, pair by pair; SQL gives it too."""
+    import duckdb
+
+    from strandline.functions.similarity import ratio_and_run, ratios_and_runs
+    from strandline.plans.match_queries import SIMILAR
+
+    r = random.Random(1)
+    word = lambda k, n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzà"[:k]) for _ in range(n))
+    pairs = {("", "abc"), ("abc", ""), ("", ""), ("aaa", "aaaa"), ("abcabc", "abc"), ("a", "a")}
+    pairs |= {(word(k, r.randint(0, 20)), word(k, r.randint(0, 30))) for k in (2, 5, 26) for _ in range(400)}
+    for _ in range(80):  # long keys, whose frequent letters begin no match
+        b = word(r.choice([5, 26]), r.choice([199, 200, 230, 400]))
+        b = b[:50] + "zqjx" + b[50:] if r.random() < 0.5 else b
+        at = r.choice([0, r.randint(0, len(b) - 12)])
+        pairs.add((b[at : at + 12] + word(26, 3), b))
+    ordered = sorted(pairs)
+    want = [ratio_and_run(*p) for p in ordered]
+    ratio, run = ratios_and_runs([a for a, _ in ordered] + [None], [b for _, b in ordered] + ["x"])
+    assert ratio.tolist() == [x for x, _ in want] + [0.0] and run.tolist() == [x for _, x in want] + [0]
+    some = [p for p in ordered if p[0] and p[1] and (len(p[1]) > 100 or r.random() < 0.3)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pairs (qa VARCHAR, lb VARCHAR)")
+    c.executemany("INSERT INTO pairs VALUES (?, ?)", some)
+    got = {(a, b): (x, y) for a, b, x, y in c.sql("WITH RECURSIVE " + SIMILAR + " SELECT qa, lb, ratio, run FROM sim").fetchall()}
+    for p in some:
+        x, y = ratio_and_run(*p)
+        assert abs(got[p][0] - x) < 1e-12 and got[p][1] == y
+
+
+def test_time_is_linear(spark):
+    """Expressions over all words, pairs or samples of a row take time in proportion to its length."""
+    import time
+
+    from strandline.functions import signal as G
+    from strandline.operators.retrieve import bigrams
+
+    spark.range(10).selectExpr("1").collect()
+    text = spark.createDataFrame([(n, " ".join(f"w{i % 977}" for i in range(n))) for n in (30_000,)], "n long, text string")
+    block = spark.createDataFrame([([0.01 * (i % 50) for i in range(160_000)],)], "x array<double>")
+    t = time.perf_counter()
+    text.select(F.size(F.split(T.dedup_words(F.col("text")), " ")), F.size(bigrams(F.col("text"))), T.is_valid(F.col("text"))).collect()
+    block.select(G.peak(G.auto_gain(F.col("x")))).collect()
+    assert time.perf_counter() - t < 20  # quadratic forms take minutes
