@@ -90,15 +90,17 @@ ODD = ["ΑΣ ΣΑΣ. İstanbul", "it's I'LL can't. don't,x", "a\x1cb  c d　e",
 
 
 def test_encoder(monkeypatch):
-    e = P.Encoder(P.vocabulary_path())
+    from tokenizers import Tokenizer
+
+    e, plain = P.Encoder(P.vocabulary_path()), Tokenizer.from_file(P.vocabulary_path())
     r = random.Random(3)
-    texts = ODD + [" ".join(words(r, 200)) for _ in range(5)]
+    texts = ODD + ["hello <|endoftext|> world", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|> <|endoftext"] + [" ".join(words(r, 200)) for _ in range(5)]
     for bound in (600_000, 50):
         monkeypatch.setattr(P, "REMEMBERED", bound)
         e.known.clear(), e.known_parts.clear()
         for _ in range(2):
             for t, ids in zip(texts, e.encode(texts)):
-                assert np.frombuffer(ids, "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids
+                assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def slow_sum_of_squares(sizes, capacity):
