@@ -7,10 +7,15 @@ every term t that stands near it
     PMI(t; e) = log2( p(t, e) / (p(t) p(e)) ),      IC(e) = -log2 p(e)
 
 p(t, e): share of documents with t within `window` words of e; p(t), p(e): shares of documents with t, with
-e. disclosure = PMI / IC is the part of the entity's information that the term reveals. A term whose
+e. disclosure = PMI / IC is the part of the entity's information that the term reveals; it is 1 at most, as
+each document that counts for a pair counts for its term and its entity. A term whose
 pair was seen in at least `support` different texts (copies are no support) and that discloses `generalise_at` or more is generalised
 where it stands near the entity; at `remove_at` or more it is removed.
 
+Words are those of the text with its base spans blanked out, so `email:x@y.z` holds the word `email:`, next to
+the address. A term is a word without the punctuation around it, of three characters or more. One function
+makes the words for both sides, those near an entity and those counted.
+
 Defined cases: null text is empty; an empty text has no spans; texts are scanned whole, in time
 linear in their length; repeated texts get equal spans; an entity in
 every text has IC 0 and no term discloses it; an empty table gives an empty result; other columns are
@@ -92,25 +97,34 @@ def term_of(word: str) -> str:
     return word.strip(_EDGE).translate(_LOWER)
 
 
+def blanked(text: str, spans: list[tuple[int, int, int, str]]) -> str:
+    """The text with spaces in place of its base spans; all other characters keep their places."""
+    out, at = [], 0
+    for start, _, end, _ in spans:
+        if end > at:
+            start = max(start, at)
+            out += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*out, text[at:]]) if out else text
+
+
 def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the terms within WINDOW words of each base span."""
     if not spans:
         return []
-    words = [m.span() for m in _WORD.finditer(text)]
+    plain = blanked(text, spans)
+    words = [m.span() for m in _WORD.finditer(plain)]
     starts, ends = [a for a, _ in words], [b for _, b in words]
     out = []
     for start, kind, end, entity in spans:
         name = f"{KINDS[kind]}:{entity}"
-        i, j = bisect_left(starts, start), bisect_right(ends, end)
-        near = [(a, min(b, start)) for a, b in words[max(0, i - WINDOW) : i]]
-        near += [(max(a, end), b) for a, b in words[j : j + WINDOW]]
-        for a, b in near:
-            word = text[a:b]
+        i, j = bisect_right(ends, start), bisect_left(starts, end)
+        for a, b in words[max(0, i - WINDOW) : i] + words[j : j + WINDOW]:
+            word = plain[a:b]
             core = word.strip(_EDGE)
-            s = a + word.find(core)
-            e = s + len(core)
-            if len(core) >= 3 and all(e <= x[0] or s >= x[2] for x in spans):
-                out.append((name, term_of(word), s, e))
+            if len(core) >= 3:
+                s = a + word.find(core)
+                out.append((name, term_of(word), s, s + len(core)))
     return out
 
 
@@ -139,10 +153,11 @@ def detect(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n_term): the number of documents that hold each of the terms, added up in each task first."""
     some = [r[0] for r in terms.limit(TERM_SET + 1).collect()]
-    only = frozenset(some) if len(some) <= TERM_SET else None
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(some) if len(some) <= TERM_SET else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
+        only = shared.value
 
         def out():
             return pa.RecordBatch.from_pydict(
@@ -151,7 +166,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                here = {term_of(w) for w in set(_WORD.findall(text))}
+                here = {term_of(w) for w in set(_WORD.findall(blanked(text, base_spans(text))))}
                 count.update(here & only if only is not None else here)
             if len(count) > 2 * TERM_SET:
                 yield out()
@@ -159,7 +174,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         yield out()
 
     held = docs.select(text_or_empty()).mapInArrow(run, "term string, n long")
-    if only is None:
+    if len(some) > TERM_SET:
         held = held.join(terms, "term", "left_semi")
     return held.groupBy("term").agg(F.sum("n").alias("n_term"))
 
@@ -239,8 +254,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with their texts redacted; n_chars, if there, follows the text."""
     _, extra = plan(docs)
     names = docs.columns
-    keyed = docs.withColumns({"_key": F.sha2(text_or_empty().cast("binary"), 256)})
-    joined = keyed.join(extra.withColumnsRenamed({"key": "_key", "extra": "_extra"}), "_key", "left")
+    # Names that no column of the documents has.
+    key, more = (next(n for i in range(len(names) + 1) if (n := f"{base}{i}") not in names) for base in ("_key", "_extra"))
+    keyed = docs.withColumn(key, F.sha2(text_or_empty().cast("binary"), 256))
+    joined = keyed.join(extra.withColumnsRenamed({"key": key, "extra": more}), key, "left")
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +274,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     kept = docs.withColumn("n_chars", F.col("n_chars").cast("long")) if count is not None else docs
     schema = StructType([StructField(f.name, f.dataType, True) for f in kept.schema.fields])
-    return joined.select(*[F.col(f"`{c}`").cast(t) for c, t in kept.dtypes], "_extra").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`").cast(t) for c, t in kept.dtypes], more).mapInArrow(run, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

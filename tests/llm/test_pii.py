@@ -1,8 +1,11 @@
 """Personal data: spans against the plain patterns, disclosure, redaction."""
 
 import hashlib
+import math
 import random
 import re
+import string
+from collections import Counter
 
 from strandline.llm import pii as P
 
@@ -80,3 +83,53 @@ def test_long_words_do_not_shorten_the_context(spark):
     docs = spark.createDataFrame(rows + [(20 + i, f"plain{i}") for i in range(20)], "doc_id long, text string")
     told = P.disclosures(docs, P.detect(docs)).where("term = 'zorro42'").first()
     assert (told.n_pair, told.n_entity) == (4, 5)
+
+
+def slow_disclosures(rows):
+    """(entity, term) -> (n_pair, n_term, n_entity, support) by the definitions, document by document."""
+    pair, term, entity = {}, Counter(), Counter()
+    core = lambda w: w[0].strip(string.punctuation).lower()
+    for _, text in rows:
+        text = text or ""
+        spans, rest = plain(text), list(text)
+        for s, _, e in spans:
+            rest[s:e] = " " * (e - s)
+        words = list(re.finditer(r"[^ \t\n\x0b\x0c\r]+", "".join(rest)))
+        term.update({core(w) for w in words})
+        named = [(f"{P.KINDS[k]}:{text[s:e].lower()}", s, e) for s, k, e in spans]
+        entity.update({n for n, _, _ in named})
+        here = set()
+        for name, s, e in named:
+            near = [w for w in words if w.end() <= s][-8:] + [w for w in words if w.start() >= e][:8]
+            here |= {(name, core(w)) for w in near if len(core(w)) >= 3}
+        for x in here:
+            pair.setdefault(x, []).append(text)
+    return {x: (len(t), term[x[1]], entity[x[0]], len(set(t))) for x, t in pair.items()}
+
+
+def test_disclosures_like_brute_force(spark):
+    """Counts and shares by the definitions; labelled values, whose word touches the entity, among them."""
+    r = random.Random(9)
+    mails = ["joe@x.com", "amy@y.org", "Amy@Y.org", "10.0.0.7"]
+    forms = ["contact:{}", "mailbox:{}", "email={}; name", "<{}>", "tel {} office", "({})"]
+    say = lambda: [f"w{r.randint(0, 30)}" for _ in range(r.randint(0, 12))]
+    rows = [(i, " ".join(say() + [r.choice(forms).format(r.choice(mails))] + say() + ([r.choice(forms).format(r.choice(mails))] if i % 3 == 0 else []))) for i in range(80)]
+    rows += [(100 + i, " ".join(say())) for i in range(40)] + [(200, None), (201, "")] + [(300 + i, rows[0][1]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x: v for x, v in slow_disclosures(rows).items() if v[3] >= 3}
+    got = {(x.entity, x.term): x for x in P.disclosures(docs, P.detect(docs)).collect()}
+    assert got.keys() == want.keys() and any(t == "mailbox" for _, t in got)
+    for k, (n_pair, n_term, n_entity, support) in want.items():
+        x = got[k]
+        assert (x.n_pair, x.n_term, x.n_entity, x.support) == (n_pair, n_term, n_entity, support)
+        assert n_pair <= min(n_term, n_entity)
+        share = math.log2(n_pair * len(rows) / (n_term * n_entity)) / math.log2(len(rows) / n_entity)
+        assert abs(x.disclosure - share) < 1e-9 and x.disclosure <= 1 + 1e-9
+
+
+def test_sanitise_keeps_clashing_columns(spark):
+    text = "zorro42 joe@mail.example.com"
+    docs = spark.createDataFrame([(1, text, "k", "e", "n"), (2, None, None, None, None)], "doc_id long, text string, _key0 string, _extra0 string, near string")
+    got = {x.doc_id: x for x in P.sanitise(docs).collect()}
+    assert tuple(got[1])[2:] == ("k", "e", "n") and "[EMAIL]" in got[1].text and tuple(got[2])[1:] == (None,) * 4
+    assert P.sanitise(docs.limit(0)).columns == docs.columns
