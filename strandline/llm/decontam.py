@@ -2,27 +2,33 @@
 
 Words are runs of letters and digits, lower-cased. A seed is an n-gram of a benchmark item's words; all
 count, however frequent, so that what is found in a document does not depend on the other documents. Each
-place where a seed of an item occurs in a document opens a window as long as the item on both sides;
-overlapping windows of the same item join. The item
-is aligned with each window by Smith-Waterman (match +2, mismatch -1, gap -1), and a document is
-contaminated by an item whose best score reaches `threshold` of the score of an exact copy.
+place where a seed of an item occurs in a document opens a window of twice the item's length on both sides, as
+no alignment that counts is longer; overlapping windows of the same item join. The item is aligned with
+each window by Smith-Waterman (match +2, mismatch -1, gap -1), and a document is contaminated by an item
+whose best score reaches `threshold` of the score of an exact copy.
+
+Seeds have `n` words, those of items under `short` words two, and items of fewer words are one seed. So a copy
+with some three quarters of its words left nearly always has a seed; one that is edited at least at every
+third word (second, of short items) throughout has none and is not found.
 
 Common phrases are kept cheap without a loss: no score exceeds a match for each word that the item shares
 with the document, or with the window, repeats counted, so what stays below the threshold by this
 is not aligned; and a task aligns equal windows once.
 
-Items shorter than a seed are one seed of all their words. The benchmark goes to the tasks in blocks of
-at most `block_items` items and `block_chars` characters, one pass over the corpus per block.
+The seeds are a sorted table of hashes with the items of each, some 20 bytes a word. It goes to the tasks in
+blocks of at most `block_items` items and `block_chars` characters, which bounds it to some 60 MB, and is
+joined there with the hashes of the documents' n-grams: one pass over the corpus per block, and no shuffle of
+it. Equal hashes of different words only open a window for nothing.
 
 Defined cases: null or empty texts, and items without words, match nothing; items with equal words are
-all reported; of equal scores the leftmost alignment is reported; null ids are kept in reports; texts
-are searched whole; an empty corpus or benchmark gives an empty result; other columns are ignored.
+all reported; of equal scores the leftmost alignment is reported; null ids are kept in reports; rows that
+repeat a doc_id are reported each; texts are searched whole; an empty corpus or benchmark gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,23 +38,47 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, text_or_empty
 
-N, THRESHOLD = 4, 0.5
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
-#: Bytes of windows whose alignments a task remembers.
-REMEMBERED = 32_000_000
+N, SHORT, THRESHOLD = 3, 12, 0.5
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
+#: Words whose hashes, and bytes of windows whose alignments, a task remembers.
+REMEMBERED_WORDS, REMEMBERED = 500_000, 32_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 _WORD = re.compile(r"[^\W_]+")
+_P = np.uint64(0x9E3779B97F4A7C15)  # odd, of no further meaning
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams(words: list[str], n: int) -> Iterator[tuple[str, ...]]:
-    if 0 < len(words) < n:
-        return iter([tuple(words)])
-    return zip(*[words[i:] for i in range(n)])
+class Words:
+    """Hashes of words."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        import xxhash
+
+        known = self.known
+        new = set(words) - known.keys()
+        if new:
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+                new = set(words)
+            digest = xxhash.xxh64_intdigest
+            known.update((w, digest(w)) for w in new)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of a sequence of words' hashes, one for each place where n words begin."""
+    total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            total = (total ^ (total >> np.uint64(31))) * _P + hashes[i : i + len(total)]
+    return total
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -89,30 +119,46 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 class Seeds:
-    """The n-grams of a block of items, and which items have them."""
+    """The n-grams of a block of items by their hashes, and which items have them."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n = n
+    def __init__(self, items: list[tuple[int, str]], n: int, short: int = SHORT):
+        words = Words()
         self.ids = [i for i, _ in items]
-        self.words = [words_of(t) for _, t in items]
-        self.of: dict[tuple, list[int]] = defaultdict(list)
-        for k, words in enumerate(self.words):
-            for g in set(grams(words, n)):
-                self.of[g].append(k)
-        self.lengths = sorted({len(g) for g in self.of})
-        self.distinct = [frozenset(words) for words in self.words]
-
-    def here(self, words: list[str]) -> set[tuple]:
-        found: set[tuple] = set()
-        for size in self.lengths:
-            found |= self.of.keys() & zip(*[words[i:] for i in range(size)])
-        return found
-
-
-def windows(places: list[int], reach: int, n: int, total: int) -> list[tuple[int, int]]:
+        self.words = [words.hashes(words_of(t)) for _, t in items]
+        self.distinct = [np.unique(w) for w in self.words]
+        by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, own in enumerate(self.words):
+            size = min(len(own), n if len(own) >= short else 2)
+            if size:
+                by_size.setdefault(size, []).append((np.unique(grams(own, size)), k))
+        #: size -> (sorted hashes, where the owners of each begin, owners)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, parts in by_size.items():
+            key = np.concatenate([g for g, _ in parts])
+            owner = np.repeat([k for _, k in parts], [len(g) for g, _ in parts]).astype(np.int32)
+            order = np.argsort(key, kind="stable")
+            distinct, first = np.unique(key[order], return_index=True)
+            self.tables[size] = distinct, np.append(first, len(key)), owner[order]
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of every seed in a sequence of hashes."""
+        items, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for size, (key, first, owner) in self.tables.items():
+            here = grams(hashes, size)
+            at = np.minimum(np.searchsorted(key, here), len(key) - 1)
+            hit = np.flatnonzero(key[at] == here)
+            low = first[at[hit]]
+            count = first[at[hit] + 1] - low
+            total = int(count.sum())
+            items.append(owner[np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)])
+            places.append(np.repeat(hit, count))
+        return np.concatenate(items), np.concatenate(places)
+
+
+def windows(places: list[int], reach: int, total: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for p in sorted(places):
-        a, b = max(0, p - reach), min(total, p + n + reach)
+        a, b = max(0, p - reach), min(total, p + reach)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -124,19 +170,23 @@ class Aligner:
     """Aligns items with windows; equal windows of an item once."""
 
     def __init__(self, seeds: Seeds):
-        self.seeds = seeds
-        self.coded: dict[int, tuple[dict, np.ndarray, np.ndarray]] = {}
+        self.seeds, self.words = seeds, Words()
+        self.coded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         self.held = 0
 
-    def score(self, k: int, words: list[str], threshold: float) -> tuple[int, int, int]:
-        """`align` of item k with the words; score 0 where it cannot reach the threshold."""
+    def code(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of an item's words in a sequence of hashes, -1 for others."""
+        own = self.seeds.distinct[k]
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        return np.where(own[at] == hashes, at, -1)
+
+    def score(self, k: int, text: np.ndarray, threshold: float) -> tuple[int, int, int]:
+        """`align` of item k with numbered words; score 0 where it cannot reach the threshold."""
         if k not in self.coded:
-            number = {w: i for i, w in enumerate(dict.fromkeys(self.seeds.words[k]))}
-            coded = np.array([number[w] for w in self.seeds.words[k]])
-            self.coded[k] = number, coded, np.bincount(coded)
-        number, item, count = self.coded[k]
-        text = np.array([number.get(w, -1) for w in words])
+            coded = self.code(k, self.seeds.words[k])
+            self.coded[k] = coded, np.bincount(coded)
+        item, count = self.coded[k]
         shared = np.minimum(count, np.bincount(text + 1, minlength=len(count) + 1)[1:]).sum()
         if shared < threshold * len(item):
             return 0, 0, 0
@@ -152,27 +202,23 @@ class Aligner:
 
 def matches(aligner: Aligner, text: str, threshold: float) -> list[tuple]:
     """(item_id, score, start word, end word, item words) of the items found in a text."""
-    seeds, words = aligner.seeds, words_of(text)
-    found = seeds.here(words)
-    if not found:
-        return []
-    present, able = set(words), set()
-    for k in {k for g in found for k in seeds.of[g]}:
-        m, own = len(seeds.words[k]), seeds.distinct[k]
-        if len(own & present) + m - len(own) >= threshold * m:
-            able.add(k)
-    opens = {g: own for g in found if (own := [k for k in seeds.of[g] if k in able])}
-    places: dict[int, list[int]] = defaultdict(list)
-    for size in {len(g) for g in opens}:
-        for at, g in enumerate(zip(*[words[i:] for i in range(size)])):
-            for k in opens.get(g, ()):
-                places[k].append(at)
+    seeds = aligner.seeds
+    hashes = aligner.words.hashes(words_of(text))
+    items, places = seeds.places(hashes)
     out = []
-    for k, at in places.items():
-        m = len(seeds.words[k])
+    for k in np.unique(items).tolist():
+        m, own = len(seeds.words[k]), seeds.distinct[k]
+        coded = aligner.code(k, hashes)
+        # Each word that the item has twice may match twice.
+        spare = m - len(own)
+        if len(np.unique(coded[coded >= 0])) + spare < threshold * m:
+            continue
+        held = np.concatenate([[0], np.cumsum(coded >= 0)])
         best = (0, 0, 0)
-        for a, b in windows(at, m, seeds.n, len(words)):
-            score, s, e = aligner.score(k, words[a:b], threshold)
+        for a, b in windows(places[items == k].tolist(), 2 * m, len(hashes)):
+            if held[b] - held[a] < threshold * m:
+                continue
+            score, s, e = aligner.score(k, coded[a:b], threshold)
             if score > best[0]:
                 best = (score, a + s, a + e)
         share = best[0] / (MATCH * m)
@@ -196,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     found = None
     for items in _blocks(benchmark):
         seeds = Seeds(items, n)
-        if not seeds.of:
+        if not seeds.tables:
             continue
         shared = spark.sparkContext.broadcast(seeds)
 

@@ -86,6 +86,39 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in got} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_recall_of_edited_copies(spark):
+    """All pairs that whole Smith-Waterman accepts, by the share of words that are edited, whatever the number of copies."""
+    r = random.Random(21)
+    items = [(i, words(r, r.choice([5, 8, 20, 40]), "q")) for i in range(24)]
+    rows, copies_of = [], {}
+    for i, own in items:
+        share = (0.0, 0.1, 0.2, 0.3)[i % 4]
+        passage = []
+        for w in own:
+            kind = r.choice(["change", "drop", "insert"]) if r.random() < share else "keep"
+            passage += {"keep": [w], "change": ["x" + w], "drop": [], "insert": [w, "y" + w]}[kind]
+        for _ in range((1, 3, 10, 100)[i // 4 % 4]):
+            copies_of[len(rows)] = i
+            rows.append((len(rows), " ".join(words(r, 15) + passage + words(r, 15))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in D.contaminated(docs, bench).collect()}
+    want = {}
+    for doc_id, text in rows:
+        for i, own in items:
+            number = {w: k for k, w in enumerate(own)}
+            score = slow_align([number[w] for w in own], [number.get(w, -1) for w in text.split()]) / (D.MATCH * len(own))
+            if score >= D.THRESHOLD:
+                want[doc_id, i] = score
+    assert got.keys() <= want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    recall = len(got) / len(want)
+    assert len(want) > 300 and recall >= 0.97, recall
+    # A document is found or not whatever the number of copies.
+    for i, _ in items:
+        mine = [d for d, k in copies_of.items() if k == i]
+        assert len({(d, i) in got for d in mine}) == 1
+
+
 ODD = ["ΑΣ ΣΑΣ. İstanbul", "it's I'LL can't. don't,x", "a\x1cb  c d　e", "x́ 한국어 12a3 ½ ǅ", "<|endoftext|> <|x|", "", "..,, |a| a| ||", "ﬀ ŉ ß ẞ", "a​b ﻿"]
 
 
