@@ -59,6 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids up to this number, at most some 16 MB, go to all tasks; more meet the documents in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among `ids`; rows without an id stay. Texts move only if ids are many."""
+    gone = ids.where("doc_id IS NOT NULL").distinct().checkpoint()
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

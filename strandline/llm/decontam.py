@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, text_or_empty
+from .common import prepare, table, text_or_empty, without_ids
 
 N, SHORT, THRESHOLD = 3, 12, 0.5
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
@@ -270,5 +270,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item; documents without an id stay."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct().checkpoint()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
