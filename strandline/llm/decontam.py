@@ -62,7 +62,7 @@ class Words:
         import xxhash
 
         known = self.known
-        new = set(words) - known.keys()
+        new = set(words).difference(known)  # a view of the keys would be gone through whole
         if new:
             if len(known) > REMEMBERED_WORDS:
                 known.clear()
