@@ -59,6 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(docs: DataFrame, base: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{base}{i}").lower() not in taken)
+
+
 #: Ids up to this number, at most some 16 MB, go to all tasks; more meet the documents in a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import arrow_rows, prepare, table, text_or_empty
+from .common import arrow_rows, free_name, prepare, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 3, 0.5, 0.8
@@ -254,8 +254,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with their texts redacted; n_chars, if there, follows the text."""
     _, extra = plan(docs)
     names = docs.columns
-    # Names that no column of the documents has.
-    key, more = (next(n for i in range(len(names) + 1) if (n := f"{base}{i}") not in names) for base in ("_key", "_extra"))
+    key, more = free_name(docs, "_key"), free_name(docs, "_extra")
     keyed = docs.withColumn(key, F.sha2(text_or_empty().cast("binary"), 256))
     joined = keyed.join(extra.withColumnsRenamed({"key": key, "extra": more}), key, "left")
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None

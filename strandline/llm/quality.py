@@ -9,14 +9,15 @@ probabilities give every host (source) and path (source and language) a posterio
 
 k_host and k_path are estimated from the spread of the means over what sampling alone would give (method
 of moments), so sparse or uninformative sites shrink to the prior above them. A document's own
-probability is left out of the sums it is judged by. Evidence and path mean add up as log odds; a
-document is kept at `keep_at` or more.
+probability is left out of all three sums it is judged by, those of its path, its host and the corpus; a corpus of
+one document has the mean 0.5. Evidence and path mean add up as log odds; a document is kept at `keep_at` or more.
 
 The model is fitted on at most `sample` labelled documents, chosen by hash, whose feature rows (not
 texts) come to the driver; everything else covers all documents.
 
 Defined cases: null texts are empty, and an empty text is rejected only on its features; null source or
-lang is a group of its own; missing, null or one-sided labels give no evidence, and then all documents
+lang is a group of its own, apart from the empty string; rows that repeat a doc_id are judged each, and the first
+in order of their features is that of its label; missing, null or one-sided labels give no evidence, and then all documents
 are kept; a document labelled twice is good only if all its labels say so; documents of any length are
 read whole; an empty table gives an empty result; other columns are ignored, and kept by `keep_good`.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, table, text_or_empty
+from .common import BROADCAST_IDS, free_name, prepare, table, text_or_empty
 
 SAMPLE, RIDGE, KEEP_AT = 20_000, 1e-3, 0.5
 #: Paths up to this number, at most some 10 MB, are broadcast.
@@ -119,18 +120,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "y"])
 
     # A doc_id that many rows repeat counts once, so the driver gets no more rows than the sample has.
-    rows = chosen.mapInArrow(run, "doc_id long, x array<double>, y double").groupBy("doc_id").agg(F.first("x"), F.first("y"))
+    rows = chosen.mapInArrow(run, "doc_id long, x array<double>, y double").groupBy("doc_id").agg(F.min("x"), F.min("y"))
     got = rows.toArrow()
     x = np.array(got.column(1).to_pylist(), float).reshape(len(got), N_FEATURES)
     return fit(x, got.column(2).to_numpy())
 
 
-def evidence(docs: DataFrame, model, keep_columns: bool = False) -> DataFrame:
-    """Adds `_log_odds`, the model's log odds, to docs, or to doc_id, source and lang alone."""
+def _group(column: str) -> F.Column:
+    """A key of equal values; null is a value of its own."""
+    value = F.col(column).cast("string")
+    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), value))
+
+
+def evidence(docs: DataFrame, model, carry: list[F.Column]) -> DataFrame:
+    """The columns `carry`, the site (_host, _path), and `_log_odds`, the model's log odds, of each document."""
     mean, scale, weights, _ = model
-    site = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string")]
-    plain = docs if keep_columns else docs.select(*site)
-    schema = StructType([*plain.schema.fields, StructField("_log_odds", DoubleType())])
+    plain = docs.select(*carry, _group("source").alias("_host"), _group("lang").alias("_path"))
+    fields = [StructField(f.name, f.dataType, True) for f in plain.schema.fields]
+    schema = StructType([*fields, StructField("_log_odds", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +146,8 @@ def evidence(docs: DataFrame, model, keep_columns: bool = False) -> DataFrame:
             odds = (((x - mean) / scale) @ weights[:-1] + weights[-1]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(odds, pa.float64())], schema.names)
 
-    return docs.select(*(["*"] if keep_columns else site), text_or_empty().alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*carry, _group("source"), _group("lang"), text_or_empty()).mapInArrow(run, schema)
+    return rows.withColumn("_p", 1 / (1 + F.exp(-F.col("_log_odds"))))
 
 
 def _strength(groups: DataFrame, total: str, n: str, prior: str) -> float:
@@ -160,49 +168,48 @@ def _strength(groups: DataFrame, total: str, n: str, prior: str) -> float:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(_host, _path, _host_n, _path_n, _path_sum, _prior, _k) by path, and the global mean.
+    """By path: its and its host's sums and numbers, those of the corpus, the prior strengths and the host's mean `_prior`;
+    and the global mean.
 
     `scored` has _host, _path and _p. Sums are aggregated before the shuffle, so a hot host is a few rows.
     """
     path = scored.groupBy("_host", "_path").agg(F.count("*").alias("_path_n"), F.sum("_p").alias("_path_sum")).checkpoint()
-    whole = path.agg(F.sum("_path_sum"), F.sum("_path_n")).first()
-    if not whole[1]:
-        return path.withColumns({"_prior": F.lit(0.5), "_k": F.lit(LEAST_K)}), 0.5
-    mean = whole[0] / whole[1]
+    total, n = path.agg(F.sum("_path_sum"), F.sum("_path_n")).first()
+    total, n = total or 0.0, n or 0
+    mean = total / n if n else 0.5
     host = path.groupBy("_host").agg(F.sum("_path_n").alias("_host_n"), F.sum("_path_sum").alias("_host_sum"))
     k_host = _strength(host.withColumn("_g", F.lit(mean)), "_host_sum", "_host_n", "_g")
     host = host.withColumn("_prior", (F.col("_host_sum") + k_host * mean) / (F.col("_host_n") + k_host))
-    both = path.join(host.select("_host", "_prior"), "_host").checkpoint()
-    return both.withColumn("_k", F.lit(_strength(both, "_path_sum", "_path_n", "_prior"))), mean
+    both = path.join(host, "_host").checkpoint()
+    k_path = _strength(both, "_path_sum", "_path_n", "_prior")
+    fixed = {"_sum": float(total), "_n": float(n), "_k_host": k_host, "_k_path": k_path}
+    return both.withColumns({c: F.lit(v) for c, v in fixed.items()}), mean
+
 
+def site_mean() -> F.Column:
+    """The path's posterior mean without the document's own probability, at any level."""
+    p = F.col("_p")
+    mean = F.when(F.col("_n") > 1, (F.col("_sum") - p) / (F.col("_n") - 1)).otherwise(0.5)
+    host = (F.col("_host_sum") - p + F.col("_k_host") * mean) / (F.col("_host_n") - 1 + F.col("_k_host"))
+    return (F.col("_path_sum") - p + F.col("_k_path") * host) / (F.col("_path_n") - 1 + F.col("_k_path"))
 
-def _judge(rows: DataFrame, sites: DataFrame, base: float) -> DataFrame:
+
+def _judge(rows: DataFrame, sites: DataFrame, base: float, small: bool) -> DataFrame:
     """Adds posterior and site means to rows with _host, _path, _log_odds and _p."""
-    clip = lambda c: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c))
     # A small table of sites goes to the rows; a large one meets them in a shuffle join.
-    small = sites.count() <= SITE_ROWS
     joined = rows.join(F.broadcast(sites) if small else sites, ["_host", "_path"])
-    site = clip(
-        (F.col("_path_sum") - F.col("_p") + F.col("_k") * F.col("_prior")) / (F.col("_path_n") - 1 + F.col("_k"))
-    )
-    joined = joined.withColumn("_site", site)
+    joined = joined.withColumn("_site", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), site_mean())))
     odds = F.col("_log_odds") - F.lit(base) + F.log(F.col("_site") / (1 - F.col("_site")))
     return joined.withColumn("_posterior", 1 / (1 + F.exp(-odds)))
 
 
-def _with_sites(rows: DataFrame) -> DataFrame:
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    path = F.concat_ws("/", host, F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    return rows.withColumns({"_host": host, "_path": path, "_p": 1 / (1 + F.exp(-F.col("_log_odds")))})
-
-
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_at: float = KEEP_AT) -> DataFrame:
     """(doc_id, p_document, p_site, quality, keep) of every document."""
     prepare(docs.sparkSession)
     model = train(docs, labels, sample)
-    scored = _with_sites(evidence(docs, model)).select("doc_id", "_host", "_path", "_log_odds", "_p").checkpoint()
+    scored = evidence(docs, model, [F.col("doc_id").cast("long").alias("doc_id")]).checkpoint()
     sites, _ = site_posteriors(scored)
-    return _judge(scored, sites, model[3]).select(
+    return _judge(scored, sites, model[3], sites.count() <= SITE_ROWS).select(
         "doc_id",
         F.col("_p").alias("p_document"),
         F.col("_site").alias("p_site"),
@@ -212,13 +219,27 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_at:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that are kept, with their own columns. Texts are read twice and never shuffled for it."""
+    """The documents that are kept, with their own columns.
+
+    Texts are read twice. While sites are few, the second reading judges where it reads, and no text is shuffled. If they
+    are many, narrow rows meet the sites, and what is rejected goes by a digest of text and site, never by the site, so
+    that a large site does not gather in a task.
+    """
     prepare(docs.sparkSession)
     model = train(docs, labels, sample)
-    sites, _ = site_posteriors(_with_sites(evidence(docs, model)).select("_host", "_path", "_p"))
-    rows = _with_sites(evidence(docs, model, keep_columns=True))
-    good = _judge(rows, sites, model[3]).where(F.col("_posterior") >= keep_at)
-    return good.select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.sha2(F.concat_ws("\x00", F.sha2(text_or_empty(), 256), _group("source"), _group("lang")), 256)
+    narrow = evidence(docs, model, [digest.alias("_digest")])
+    sites, _ = site_posteriors(narrow)
+    if sites.count() > SITE_ROWS:
+        bad = _judge(narrow, sites, model[3], False).where(F.col("_posterior") < keep_at).select("_digest").distinct().checkpoint()
+        few = bad.count() <= BROADCAST_IDS
+        bad = bad.toDF(free := free_name(docs, "_digest"))
+        kept = docs.withColumn(free, digest).join(F.broadcast(bad) if few else bad, free, "left_anti")
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The documents' columns under numbers, which no name in here clashes with.
+    carry = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    good = _judge(evidence(docs, model, carry), sites, model[3], True).where(F.col("_posterior") >= keep_at)
+    return good.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,49 @@ def test_shrinkage(spark):
     assert abs(prior["c/0"] - mean) < abs(prior["c/0"] - 0.0)
 
 
+def test_posteriors_leave_the_document_out(spark, monkeypatch):
+    """The closed form at all three levels, document by document; null and empty sources are different sites."""
+    r = random.Random(8)
+    rows = [(i, word(r), r.choice(["en", None, ""]), r.choice(["a", "b", None, ""]), 1) for i in range(40)]
+    rows += [(50, "alone", "en", "single", 1), (51, None, "fr", "single2", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    x = np.random.default_rng(1).normal(size=(60, Q.N_FEATURES))
+    model = Q.fit(x, (x[:, 0] > 0).astype(float))
+    monkeypatch.setattr(Q, "train", lambda *_: model)
+    for bound in (50_000, 0):
+        monkeypatch.setattr(Q, "SITE_ROWS", bound)
+        got = {d.doc_id: d for d in Q.classify(docs, docs.selectExpr("doc_id", "1 AS quality")).collect()}
+        p = {i: got[i].p_document for i, *_ in rows}
+        site, host = {i: (s, l) for i, _, l, s, _ in rows}, {i: s for i, _, _, s, _ in rows}
+        scored = Q.evidence(docs, model, [F.col("doc_id")])
+        k = Q.site_posteriors(scored)[0].select("_k_host", "_k_path").first()
+        for i in p:
+            rest = [j for j in p if j != i]
+            mean = np.mean([p[j] for j in rest])
+            own = [p[j] for j in rest if host[j] == host[i]]
+            up = (sum(own) + k[0] * mean) / (len(own) + k[0])
+            own = [p[j] for j in rest if site[j] == site[i]]
+            assert abs(got[i].p_site - (sum(own) + k[1] * up) / (len(own) + k[1])) < 1e-9
+    assert abs(Q.classify(docs.where("doc_id = 50"), docs.selectExpr("doc_id", "1 AS quality")).first().p_site - 0.5) < 1e-9
+
+
+def test_keep_good_keeps_columns(spark, tables, monkeypatch):
+    """Both ways to join the sites keep the same rows, whatever other columns are called."""
+    docs, labels, _ = tables
+    odd = docs.union(spark.createDataFrame([(None, None, None, None, None), (900, "", "en", "src0", 0)], DOCS))
+    odd = odd.withColumns({"_host": F.lit("h"), "_path": F.lit("p"), "_p": F.lit("q"), "_digest0": F.lit("d"), "c0": F.lit("c")})
+    kept = []
+    for bound in (50_000, 0):
+        monkeypatch.setattr(Q, "SITE_ROWS", bound)
+        got = Q.keep_good(odd, labels)
+        assert got.columns == odd.columns
+        rows = got.collect()
+        assert all(tuple(x)[5:] == ("h", "p", "q", "d", "c") for x in rows)
+        kept.append(sorted(map(str, rows)))
+    assert kept[0] == kept[1] and 300 < len(kept[0]) < 400
+    assert Q.keep_good(odd.limit(0), labels).count() == 0
+
+
 def test_toxicity_held_out(spark, tables):
     docs, labels, _ = tables
     docs = docs.union(spark.createDataFrame([(900, None, None, None, None), (901, "", "en", "s", 0)], DOCS)).withColumn("grade", F.lit(1))
