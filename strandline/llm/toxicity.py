@@ -5,44 +5,63 @@ thresholds theta_1 < theta_2 < ...:
 
     P(grade >= k) = sigmoid(w . x - theta_k),    expected severity = sum over k of P(grade >= k)
 
-x holds the presence of the words of the text. The labels only say clean or toxic, so the grades of toxic
-documents are made from them: words that the labelled sample shows almost only in toxic documents form
-a lexicon, and a toxic document's grade rises by one at each third of the sample's lexicon counts.
+x holds the presence of the words of the text. w and the thresholds maximise the likelihood of the grades,
+the sum of log(P(grade >= y) - P(grade >= y + 1)), less a ridge on w; the thresholds are a first one
+and positive steps, so their order needs no force.
+
+The labels only say clean or toxic. A toxic document's grade comes from how often it has telling words, repeats
+included, which the presence of words does not hold: words that the other half of the sample shows almost only
+in toxic documents are telling, and a grade rises by one at each `levels`-th of the numbers. No document takes
+part in the list that grades it.
 
 The model is fitted on at most `sample` labelled documents, chosen by hash and at most half of them of each
-class, weighted back to the classes' shares. Of the sample's words (at most
-`vocabulary`, those in most documents) it takes those whose log odds between toxic and clean documents
-stand `LEAST_Z` standard errors from 0 (at most `MOST_WORDS`, the clearest); others have no weight, so length alone moves nothing. Scoring
-covers all documents and whole texts.
+class, weighted back to the classes' shares. Words are counted in Spark; every word of `LEAST_DF` documents of the
+sample or more whose log odds between toxic and clean documents stand `LEAST_Z` standard errors from 0 gets a
+weight, whatever their number; others have none, so length alone moves nothing. The driver gets these words, and of each
+document of the sample the numbers of those it holds. Scoring covers all documents and whole texts.
 
 Defined cases: null texts are empty and get the severity of no words; null or missing labels, or labels of
-one class, give severity 0 to all; a document labelled twice takes the higher label; repeated rows get
-equal results; an empty table gives an empty result; other columns are ignored.
+one class, give severity 0 to all; a document labelled twice takes the higher label; rows that repeat a
+doc_id are scored each, and the one with the smallest list of words is that of the label; numbers that tie have the
+same grade; of equally likely grades the lowest is reported; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, text_or_empty
 from .quality import sigmoid
 
-SAMPLE, VOCABULARY, LEVELS, TOXIC_AT = 8_000, 50_000, 3, 0.5
-LEAST_DF, LEAST_Z, MOST_WORDS, L2, STEPS = 5, 3.5, 400, 0.01, 60
+SAMPLE, LEVELS, TOXIC_AT = 8_000, 3, 0.5
+LEAST_DF, LEAST_Z, L2, STEPS = 5, 3.5, 0.01, 300
+#: Words that grade: so many times as frequent in toxic documents, and in at least this share of them.
+TELLING, LEAST_SHARE = 50, 0.02
 PREFIX = 5
 _WORD = re.compile(r"[^\W_]+")
 
 
+def counted(text: str) -> Counter:
+    """How often a text has each word, and each beginning (`PREFIX` letters and a star) of longer ones."""
+    words = Counter(_WORD.findall(text.lower()))
+    starts = Counter()
+    for w, n in words.items():
+        if len(w) > PREFIX:
+            starts[w[:PREFIX] + "*"] += n
+    return words + starts
+
+
 def words_of(text: str) -> set[str]:
-    """The distinct words of a text, and the beginnings (`PREFIX` letters and a star) of longer ones."""
+    """The features of a text: its distinct words, and the beginnings of longer ones."""
     words = set(_WORD.findall(text.lower()))
     return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
 
@@ -58,76 +77,130 @@ class Model:
         return sigmoid(sum(self.weights[w] for w in sorted(own)) - self.thresholds)
 
 
-def grades(words: list[set[str]], toxic: np.ndarray, levels: int) -> np.ndarray:
-    """Ordered grades of labelled documents, from a lexicon that the labels give."""
-    bad, good = Counter(), Counter()
-    for own, t in zip(words, toxic):
-        (bad if t else good).update(own)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    lexicon = {
-        w for w, n in bad.items() if n >= LEAST_DF and n / n_bad >= 50 * (good[w] + 0.5) / n_good and n / n_bad >= 0.02
-    }
-    hits = np.array([len(own & lexicon) for own in words])
-    cuts = np.quantile(hits[toxic == 1], np.arange(1, levels) / levels)
-    return np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-
-
-def informative(words: list[str], df: Counter, bad: Counter, toxic: np.ndarray) -> list[str]:
-    """Words whose smoothed log odds between toxic and clean documents differ from 0 by LEAST_Z errors."""
-    n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
-    a = np.array([bad[w] for w in words]) + 0.5
-    b = np.array([df[w] - bad[w] for w in words]) + 0.5
-    odds = np.log(a / (n_bad + 1 - a)) - np.log(b / (n_good + 1 - b))
-    error = np.sqrt(1 / a + 1 / (n_bad + 1 - a) + 1 / b + 1 / (n_good + 1 - b))
-    z = np.abs(odds / error)
-    return [words[i] for i in np.argsort(-z, kind="stable")[:MOST_WORDS] if z[i] >= LEAST_Z]
-
-
-def fit(
-    words: list[set[str]],
-    toxic: np.ndarray,
-    levels: int = LEVELS,
-    vocabulary: int = VOCABULARY,
-    toxic_share: float | None = None,
-) -> Model:
-    """The model of a sample; `toxic_share` is that of all labelled documents, if the sample's is another."""
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Model(thresholds=np.full(levels, 40.0))
-    grade = grades(words, toxic, levels)
-    df = Counter(w for own in words for w in own)
-    common = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n >= LEAST_DF]
-    known = informative(common, df, Counter(w for own, t in zip(words, toxic) if t for w in own), toxic)
-    number = {w: i for i, w in enumerate(known)}
-    x = np.zeros((len(words), len(known)), np.float32)
-    for i, own in enumerate(words):
-        x[i, [number[w] for w in own & number.keys()]] = 1
-    reached = (grade[:, None] >= np.arange(1, levels + 1)).astype(float)
-    own = toxic.mean()
-    share = own if toxic_share is None else min(max(toxic_share, 1e-3), 1 - 1e-3)
-    weight = np.where(toxic == 1, share / own, (1 - share) / (1 - own))[:, None]
-    share = np.clip((weight * reached).mean(axis=0), 1e-4, 1 - 1e-4)
-    w, theta = np.zeros(len(known)), np.log((1 - share) / share)
-    # Newton steps: each threshold's event is a binary term, and all terms share w.
-    k = len(known)
-    for _ in range(STEPS):
-        p = sigmoid((x @ w)[:, None] - theta)
-        error, slack = weight * (p - reached), weight * p * (1 - p)
-        gradient = np.concatenate([x.T @ error.sum(axis=1) + L2 * w, -error.sum(axis=0)])
-        curve = np.zeros((k + levels, k + levels))
-        curve[:k, :k] = x.T @ (x * slack.sum(axis=1)[:, None].astype(np.float32))
-        curve[:k, k:] = -(x.T @ slack)
-        curve[k:, :k] = curve[:k, k:].T
-        curve[k:, k:] = np.diag(slack.sum(axis=0))
-        curve[np.diag_indices(k + levels)] += np.append(np.full(k, L2), np.full(levels, 1e-3))
-        step = np.linalg.solve(curve, gradient)
-        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
-        w, theta = w - step[:k], np.maximum.accumulate(theta - step[k:])
-        if np.abs(step).max() < 1e-4:
+# -- the likelihood -----------------------------------------------------------------------------
+
+
+def _log_sigmoid(x: np.ndarray) -> np.ndarray:
+    return -np.logaddexp(0.0, -x)
+
+
+@dataclass
+class Rows:
+    """A sparse matrix of ones: the features of row i are index[start[i]:start[i + 1]]."""
+
+    index: np.ndarray
+    start: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], width: int) -> Rows:
+        start = np.cumsum([0] + [len(r) for r in rows])
+        return cls(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), start, width)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0.0], np.cumsum(w[self.index])])[self.start])
+
+    def transposed_dot(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.index, np.repeat(v, np.diff(self.start)), self.width)
+
+
+def thresholds_of(z: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the steps."""
+    return z[0] + np.concatenate([[0.0], np.cumsum(np.exp(z[1:]))])
+
+
+def loss(params: np.ndarray, x: Rows, grade: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Negative weighted log likelihood of the grades with a ridge on the weights, and its gradient."""
+    w, z = params[: x.width], params[x.width :]
+    theta, levels = thresholds_of(z), len(z)
+    eta = x.dot(w)
+    low, high = grade > 0, grade < levels
+    a, b = eta - theta[np.maximum(grade - 1, 0)], eta - theta[np.minimum(grade, levels - 1)]
+    both = low & high
+    # sigmoid(a) - sigmoid(b) = sigmoid(a) sigmoid(-b) (1 - exp(b - a)), each factor only where it has a bound.
+    step = np.where(both, np.minimum(b - a, -1e-12), -np.inf)
+    gap = np.exp(step)
+    ll = np.where(low, _log_sigmoid(a), 0.0) + np.where(high, _log_sigmoid(-b), 0.0) + np.log1p(-gap)
+    by_a = np.where(low, sigmoid(-a), 0.0) + gap / (1 - gap)
+    by_b = np.where(high, -sigmoid(b), 0.0) - gap / (1 - gap)
+    by_eta = -weight * (by_a + by_b)
+    by_theta = np.bincount(grade[low] - 1, (weight * by_a)[low], levels) + np.bincount(grade[high], (weight * by_b)[high], levels)
+    # theta_k moves with z_0 and with every step up to it.
+    tail = np.cumsum(by_theta[::-1])[::-1]
+    by_z = np.concatenate([[tail[0]], tail[1:] * np.exp(z[1:])])
+    value = -(weight * ll).sum() + 0.5 * l2 * (w @ w) + 0.5e-3 * (z[1:] @ z[1:])
+    return float(value), np.concatenate([x.transposed_dot(by_eta) + l2 * w, by_z + 1e-3 * np.append(0.0, z[1:])])
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, kept: int = 10) -> np.ndarray:
+    """Limited-memory quasi-Newton steps, each halved until the value falls enough."""
+    value, gradient = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(gradient).max() < 1e-5:
             break
-    return Model({known[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
+        q, coefficients = gradient.copy(), []
+        for s, y, rho in reversed(past):
+            c = rho * (s @ q)
+            coefficients.append(c)
+            q -= c * y
+        if past:
+            s, y, rho = past[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, rho), c in zip(past, reversed(coefficients)):
+            q += s * (c - rho * (y @ q))
+        slope = gradient @ q
+        size = 1.0 if past else min(1.0, 1.0 / np.abs(gradient).sum())
+        while True:
+            new = x - size * q
+            new_value, new_gradient = f(new)
+            if new_value <= value - 1e-4 * size * slope or size < 1e-12:
+                break
+            size /= 2
+        s, y = new - x, new_gradient - gradient
+        if size < 1e-12:
+            break
+        if s @ y > 1e-12:
+            past = [*past[1 - kept :], (s, y, 1.0 / (s @ y))]
+        x, value, gradient = new, new_value, new_gradient
+    return x
+
+
+def fit(x: Rows, grade: np.ndarray, levels: int, weight: np.ndarray, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the cumulative-link model."""
+    share = np.clip([(weight * (grade >= k)).sum() / weight.sum() for k in range(1, levels + 1)], 1e-4, 1 - 1e-4)
+    theta = np.log((1 - share) / share)
+    z = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 0.05))])
+    best = minimise(lambda p: loss(p, x, grade, weight, l2), np.concatenate([np.zeros(x.width), z]))
+    return best[: x.width], thresholds_of(best[x.width :])
+
+
+# -- the sample ---------------------------------------------------------------------------------
+
+
+def grades(told: np.ndarray, toxic: np.ndarray, levels: int) -> np.ndarray:
+    """0 of clean documents; of toxic ones 1 and one more for each `levels`-th of the numbers that theirs is above."""
+    if not toxic.any():
+        return np.zeros(len(toxic), np.int64)
+    cuts = np.quantile(told[toxic == 1], np.arange(1, levels) / levels)
+    return np.where(toxic == 1, 1 + (told[:, None] > cuts).sum(axis=1), 0)
+
+
+def _informative(bad: Column, df: Column, n_bad: int, n_good: int) -> Column:
+    """The smoothed log odds between toxic and clean documents differ from 0 by LEAST_Z errors."""
+    a, b = bad + 0.5, df - bad + 0.5
+    odds = F.log(a / (n_bad + 1 - a)) - F.log(b / (n_good + 1 - b))
+    error = F.sqrt(1 / a + 1 / (n_bad + 1 - a) + 1 / b + 1 / (n_good + 1 - b))
+    return (df >= LEAST_DF) & (F.abs(odds / error) >= LEAST_Z)
+
+
+def _telling(bad: Column, df: Column, n_bad: int, n_good: int) -> Column:
+    share = bad / max(1, n_bad)
+    return (bad >= LEAST_DF) & (share >= LEAST_SHARE) & (share >= TELLING * (df - bad + 0.5) / max(1, n_good))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, levels: int = LEVELS) -> Model:
+    none = Model(thresholds=np.full(levels, 40.0))
     one = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("double").alias("y")).dropna()
     one = one.groupBy("doc_id").agg(F.max("y").alias("y"))
     total, bad = one.agg(F.count("*"), F.sum("y")).first()
@@ -137,22 +210,62 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, levels: int
     one = few.union(one.where("y = 0").orderBy(*order).limit(sample - sample // 2))
     chosen = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(F.broadcast(one), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [sorted(counted(t).items()) for t in batch.column(1).to_pylist()]
+            words, times = [[w for w, _ in x] for x in each], [[n for _, n in x] for x in each]
+            columns = [pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "y", "words", "times"])
+
+    rows = chosen.select("doc_id", "text", "y").mapInArrow(count, "doc_id long, y double, words array<string>, times array<long>")
+    # One row of a repeated doc_id.
+    one_each = F.min(F.struct("words", "times", "y")).alias("x")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    rows = rows.groupBy("doc_id").agg(one_each).select("doc_id", half, "x.*").checkpoint()
+    sizes = {(r.half, int(r.y)): r.n for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
+    n = [[sizes.get((h, y), 0) for y in (0, 1)] for h in (0, 1)]
+    n_good, n_bad = n[0][0] + n[1][0], n[0][1] + n[1][1]
+    if not n_good or not n_bad:
+        return none
+    sums = [F.sum((F.col("half") == h).cast("long") * (F.col("y") if y else F.lit(1))).alias(f"{k}{h}") for h in (0, 1) for k, y in (("df", 0), ("bad", 1))]
+    by_word = rows.select("half", "y", F.explode("words").alias("word")).groupBy("word").agg(*sums)
+    both = [F.col("bad0") + F.col("bad1"), F.col("df0") + F.col("df1")]
+    flags = [_informative(*both, n_bad, n_good).alias("feature")]
+    flags += [_telling(F.col(f"bad{h}"), F.col(f"df{h}"), n[h][1], n[h][0]).alias(f"told{h}") for h in (0, 1)]
+    found = by_word.select("word", *flags).where("feature OR ((told0 OR told1) AND word NOT LIKE '%*')").orderBy("word").collect()
+    features = [r.word for r in found if r.feature]
+    if not features:
+        return none
+    number = {w: i for i, w in enumerate(features)}
+    lists = [frozenset(r.word for r in found if r[f"told{h}"] and r.word[-1] != "*") for h in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast((number, lists))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, lists = shared.value
         for batch in batches:
-            x = [sorted(words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.string())), batch.column(2)], ["doc_id", "x", "y"])
+            own, told = [], []
+            for half, words, times in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                own.append([number[w] for w in words if w in number])
+                told.append(sum(n for w, n in zip(words, times) if w in lists[1 - half]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(4), pa.array(own, pa.list_(pa.int64())), pa.array(told, pa.int64())], ["doc_id", "y", "x", "told"]
+            )
 
-    rows = chosen.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<string>, y double")
-    # One row of a repeated doc_id; sorted, so that the fit does not depend on the order of arrival.
-    got = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("doc_id").toArrow()
-    words = [set(x) for x in got.column("x").to_pylist()]
-    return fit(words, got.column("y").to_numpy().astype(int), levels, toxic_share=(bad or 0) / max(1, total))
+    narrow = rows.select("doc_id", "half", "words", "times", "y")
+    got = narrow.mapInArrow(index, "doc_id long, y double, x array<long>, told long").orderBy("doc_id").toArrow()
+    toxic = got.column("y").to_numpy().astype(int)
+    grade = grades(got.column("told").to_numpy(), toxic, levels)
+    own, share = toxic.mean(), min(max((bad or 0) / max(1, total), 1e-3), 1 - 1e-3)
+    weight = np.where(toxic == 1, share / own, (1 - share) / (1 - own))
+    x = Rows.of([np.array(i, np.int64) for i in got.column("x").to_pylist()], len(features))
+    w, theta = fit(x, grade, levels, weight)
+    return Model({features[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, toxic_at: float = TOXIC_AT) -> DataFrame:
     """(doc_id, expected_severity, grade, p_toxic, toxic) of every document; grade is the likeliest one."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(train(docs, labels, sample))  # at most VOCABULARY words
+    shared = spark.sparkContext.broadcast(train(docs, labels, sample))  # bounded by the words of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

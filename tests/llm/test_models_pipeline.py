@@ -128,14 +128,66 @@ def test_toxicity_held_out(spark, tables):
     assert T.severity(docs.limit(0), labels).count() == 0
 
 
-def test_thresholds_ordered():
-    r = random.Random(3)
-    words = [{word(r) for _ in range(20)} | set(BAD[: i % 4]) for i in range(200)]
-    toxic = np.array([int(i % 4 > 0) for i in range(200)])
-    m = T.fit(words, toxic)
-    assert (np.diff(m.thresholds) >= 0).all()
-    p = m.at_least(" ".join(BAD))
-    assert (np.diff(p) <= 0).all() and p[0] > 0.9
+def plain_loss(params, rows, width, grade, weight, l2):
+    """The cumulative-link likelihood as it is defined, row by row."""
+    w, z = params[:width], params[width:]
+    theta = [-np.inf, z[0], *(z[0] + np.cumsum(np.exp(z[1:]))), np.inf]
+    at_least = lambda x, t: 1.0 if t == -np.inf else 0.0 if t == np.inf else 1 / (1 + np.exp(t - x))
+    out = 0.5 * l2 * sum(w * w) + 0.5e-3 * sum(z[1:] ** 2)
+    for own, y, v in zip(rows, grade, weight):
+        eta = sum(w[i] for i in own)
+        out -= v * np.log(at_least(eta, theta[y]) - at_least(eta, theta[y + 1]))
+    return out
+
+
+def test_cumulative_link_likelihood():
+    """Value, gradient and optimum against the definition."""
+    r = np.random.default_rng(4)
+    width, levels = 4, 3
+    rows = [np.flatnonzero(r.random(width) < 0.4) for _ in range(150)]
+    eta = np.array([sum(np.array([2.0, 1.0, -1.0, 0.0])[i]) for i in rows]) + r.logistic(size=150)
+    grade = np.searchsorted([0.0, 1.0, 2.5], eta)
+    weight = r.uniform(0.5, 2, 150)
+    x = T.Rows.of(rows, width)
+    for _ in range(5):
+        p = r.normal(size=width + levels)
+        value, gradient = T.loss(p, x, grade, weight, 0.1)
+        plain = lambda q: plain_loss(q, rows, width, grade, weight, 0.1)
+        assert abs(value - plain(p)) < 1e-8
+        numeric = [(plain(p + 1e-6 * e) - plain(p - 1e-6 * e)) / 2e-6 for e in np.eye(len(p))]
+        assert np.allclose(gradient, numeric, atol=1e-4)
+    w, theta = T.fit(x, grade, levels, weight, 0.1)
+    assert (np.diff(theta) > 0).all() and w[0] > w[1] > w[2]
+    best = np.concatenate([w, theta[:1], np.log(np.diff(theta))])
+    # No step in any of many directions is better.
+    for _ in range(200):
+        assert plain(best) <= plain(best + r.normal(size=len(best)) * r.choice([1e-3, 1e-2, 0.3])) + 1e-9
+
+
+def test_grades_are_ordered():
+    share = np.array([0.0, 0.1, 0.2, 0.3, 0.3, 0.9, 0.5])
+    toxic = np.array([0, 1, 1, 1, 1, 1, 0])
+    g = T.grades(share, toxic, 3)
+    assert g[0] == g[6] == 0 and (np.diff(g[1:6]) >= 0).all() and g[1] == 1 and g[5] == 3 and g[3] == g[4]
+    assert T.grades(share, np.zeros(7), 3).tolist() == [0] * 7
+
+
+def test_every_informative_word_counts(spark):
+    """No bound on the number of words: each of 600 rare toxic words, learned in a few documents, is known."""
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = i % 2
+        own = [f"bad{(i // 2) % 600}x", f"bad{(i // 2 + 1) % 600}x"] if toxic else []
+        rows.append((i, " ".join([f"w{i % 97}", f"v{i % 89}", *own])))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    old = T.LEAST_Z
+    T.LEAST_Z = 1.2
+    try:
+        model = T.train(docs, labels)
+    finally:
+        T.LEAST_Z = old
+    assert sum(w.startswith("bad") and v > 0 for w, v in model.weights.items()) >= 600
 
 
 @pytest.fixture(scope="module")
