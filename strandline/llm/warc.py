@@ -1,17 +1,18 @@
 """WARC archives: one gzip member per record, written in the shared folder and read back sequentially.
 
-Each task writes one archive under a name of its own and reports it in a manifest. The manifest is
+Each task writes archives of about `roll` bytes under names of their own and reports them in a manifest. The manifest is
 checkpointed before anything reads, so archives of failed attempts are never read and a lost executor
 changes nothing. The reader streams an archive in blocks, inflates one gzip member at a time with an
 incremental zlib object, frames the record by its Content-Length and verifies block and payload digests.
 
 Of records with equal payloads of at least `least_bytes` bytes, the one with the largest page_id is the
-response and the others are revisits that refer to it.
+response and the others are revisits that refer to it. This is decided on digests and ids alone; payloads are never
+dealt by content, so a page with very many copies is written by many tasks.
 
 Defined cases: null html is an empty payload; page_id is the record's identity, and rows that repeat the
 largest page_id of their payload are all responses; null page_ids are never referred to unless all of
 the group are null, and then all are responses; an empty table gives an empty result; extra columns are
-ignored; a damaged archive fails the read.
+ignored; pages of any length are one record, of which a task holds one at a time; a damaged archive fails the read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare, shared_dir, table
 
-LEAST_BYTES, BLOCK, LEVEL = 1000, 1 << 16, 4
+LEAST_BYTES, BLOCK, LEVEL, ROLL = 1000, 1 << 16, 4, 1 << 30
+#: Revisits up to this number, at most some 60 MB, go to all tasks; more meet the pages in a shuffle by id and digest.
+BROADCAST_REVISITS = 1_000_000
 
 
 def _open(path: str, mode: str):
@@ -113,36 +116,44 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return head, http, payload
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, roll: int = ROLL) -> DataFrame:
     """Write archives under `folder`; the checkpointed manifest (path, records, bytes)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         html.alias("payload"),
-        F.sha2(html, 256).alias("content"),
+        F.unhex(F.sha2(html, 256)).alias("content"),
     )
-    again = (
-        rows.where(F.octet_length("payload") >= least_bytes)
-        .groupBy("content")
-        .agg(F.max("page_id").alias("latest"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("content", "latest")
-    )
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("latest")), None).otherwise(F.col("latest"))
-    decided = rows.join(again, "content", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    large = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "content")
+    each = large.groupBy("content", "page_id").agg(F.count("*").alias("n")).checkpoint()
+    again = each.groupBy("content").agg(F.max("page_id").alias("latest"), F.sum("n").alias("n")).where("n > 1").select("content", "latest")
+    revisits = each.join(again, "content").where(~F.col("page_id").eqNullSafe(F.col("latest")))
+    revisits = revisits.select(F.col("page_id").alias("of"), F.col("content").alias("with"), F.col("latest").alias("refers_to")).checkpoint()
+    small = revisits.count() <= BROADCAST_REVISITS
+    same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("content") == F.col("with"))
+    decided = rows.join(F.broadcast(revisits) if small else revisits, same, "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, out, records, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        path, out, records, size = "", None, 0, 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
+
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
-                out = out or _open(path, "w")
+                if out and size >= roll:
+                    yield done()
+                    out, records, size = None, 0, 0
+                if not out:
+                    path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                    out = _open(path, "w")
                 member = record(*values)
                 out.write(member)
                 records, size = records + 1, size + len(member)
         if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
+            yield done()
 
     return decided.mapInArrow(run, "path string, records long, bytes long").checkpoint()
 
