@@ -6,7 +6,11 @@ blobs of the history, drops the pairs that the ledger has, runs the remaining ru
 each blob, appends to the ledger and joins the findings back to every path that holds the blob.
 
 Spans are code points, end exclusive. They come from the pieces between and the matches of a rule's
-pattern: a match starts after all the pieces and matches before it.
+pattern: a match starts after all the pieces and matches before it, which a running sum over the rows of a blob's
+matches adds up, in time linear in their number.
+
+`Ledger` keeps the entries of all scans in a folder, Parquet by rule and version, so another process goes on where one
+ended. A scan that fails adds nothing.
 
 Defined cases: null text is the empty blob; an empty text has no findings; copies are scanned once and
 reported for every path; null paths are kept; repeated rows are reported each; texts are scanned whole;
@@ -15,12 +19,14 @@ an empty table gives an empty result and an empty ledger; other columns are igno
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, table, text_or_empty
+from .common import prepare, shared_dir, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,7 @@ RULES = (
 )
 SPANS = "array<struct<start:int,rank:int,name:string,end:int>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
+PIECES = "array<struct<gap:int,size:int,tested:int>>"
 
 
 def history(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,8 +59,8 @@ def history(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(path).cast("long").alias("path"), F.sha2(value.cast("binary"), 256).alias("blob"), value.alias("text"))
 
 
-def spans(rule: Rule, rank: int) -> F.Column:
-    """All spans of a rule in column `text`, in order."""
+def pieces(rule: Rule) -> F.Column:
+    """(gap, size, tested) of all matches of a rule in column `text`, in order: lengths, no text."""
     pattern = F.lit(rule.pattern)
     # The arrays are short: a text without a match has none, and nothing of it is copied.
     hits = F.regexp_extract_all("text", pattern, F.lit(0))
@@ -63,33 +70,7 @@ def spans(rule: Rule, rank: int) -> F.Column:
         F.char_length(x["hit"]).alias("size"),
         F.char_length(F.regexp_extract(x["hit"], rule.pattern, rule.group)).alias("tested"),
     ))
-    none = F.expr("cast(array() AS array<struct<start:int,end:int,tested:int>>)")
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        (acc["at"] + x["gap"] + x["size"]).alias("end"),
-                        x["tested"].alias("tested"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    good = F.filter(placed, lambda x: x["tested"] >= rule.least)
-    found = F.transform(
-        good,
-        lambda x: F.struct(
-            x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.name).alias("name"), x["end"].alias("end")
-        ),
-    )
-    return F.when(F.col("text").rlike(rule.pattern), found).otherwise(F.lit(None)).cast(SPANS)
+    return F.when(F.col("text").rlike(rule.pattern), lengths).otherwise(F.lit(None)).cast(PIECES)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -115,17 +96,24 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     entries = [
         F.when(
             F.array_contains("due", rule.name),
-            F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), spans(rule, i).alias("spans")),
+            F.struct(
+                F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), F.lit(i).alias("rank"),
+                F.lit(rule.least).alias("least"), pieces(rule).alias("pieces"),
+            ),
         )
         for i, rule in enumerate(rules)
-    ]
+    ]
     scanned = copy.select("blob", F.array_compact(F.array(*entries)).alias("entries"))
     # A path may repeat with the same text; one entry per blob and rule stays.
-    one = scanned.groupBy("blob").agg(F.first("entries").alias("entries"))
-    empty = F.expr(f"cast(array() AS {SPANS})")
-    return one.select("blob", F.explode("entries").alias("x")).select(
-        "blob", "x.rule", "x.version", F.coalesce("x.spans", empty).alias("spans")
-    )
+    one = scanned.groupBy("blob").agg(F.first("entries").alias("entries")).select("blob", F.explode("entries").alias("x"))
+    each = one.select("blob", "x.rule", "x.version", "x.rank", "x.least", F.posexplode_outer("x.pieces").alias("at", "m"))
+    # The rows of a blob are together already, so neither the sum nor the grouping shuffles.
+    before = W.partitionBy("blob", "rule", "version").orderBy("at")
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(before).cast("int")
+    placed = each.withColumn("end", end)
+    span = F.struct((F.col("end") - F.col("m.size")).alias("start"), "rank", F.col("rule").alias("name"), "end")
+    good = F.when(F.col("m.tested") >= F.col("least"), span)
+    return placed.groupBy("blob", "rule", "version").agg(F.sort_array(F.collect_list(good)).cast(SPANS).alias("spans"))
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -152,8 +140,31 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     return findings(versions, whole, rules), whole
 
 
+class Ledger:
+    """The entries of all scans, in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = prepare(spark), folder
+
+    def entries(self) -> DataFrame | None:
+        """LEDGER of all scans so far; None before the first."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.folder)
+        except AnalysisException:  # nothing written yet
+            return None
+
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scan what is unseen, add it, and give `findings` of the documents."""
+        versions = history(docs)
+        new = scan(versions, self.entries(), rules)
+        new.sortWithinPartitions("rule", "version", "blob").write.mode("append").partitionBy("rule", "version").parquet(self.folder)
+        return findings(versions, self.spark.read.schema(LEDGER).parquet(self.folder), rules)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = update(table(spark, sf_dir, "documents"))
+    found = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}").update(table(spark, sf_dir, "documents"))
     counts = [
         F.expr(f"size(filter(spans, x -> x.name = '{r.name}'))").cast("long").alias(f"n_{r.name}") for r in RULES
     ]
