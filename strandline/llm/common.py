@@ -46,10 +46,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset and all is one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if "local" not in _shipped:
         _shipped["local"] = "file://" + tempfile.mkdtemp(prefix="shared-")
     return _shipped["local"]
