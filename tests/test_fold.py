@@ -158,3 +158,56 @@ def test_long_lines_are_tracked(spark, tmp_path):
     assert all((x.work_id, x.line) == spoken[x.session, x.window_idx] for x in aligned)
     best = QUERIES["best_line_stitched"](spark, str(tmp_path)).where("variant = 'current'").collect()
     assert best and all(x.best_idx == spoken[x.session, x.window_idx][1] for x in best)
+
+
+def plain_events(rows):
+    """Events in the plain model's terms: those that it has, without what only tells what came in."""
+    import json
+
+    out = {}
+    for x in sorted(rows, key=lambda x: (x.session, x.window_idx, x.seq)):
+        d = json.loads(x.detail)
+        shown = {
+            "display": (x.work_id,), "locked": (x.work_id, x.score), "candidates": (x.work_id, x.score), "pending": (x.work_id, x.score),
+            "aligned": (x.work_id, x.line, x.score, d.get("variant")), "navigate": (x.work_id, d.get("direction")),
+            "switched": (x.work_id, d.get("old_id"), d.get("reason")), "challenger": (x.work_id, x.score), "paused": (),
+            "silence_autolock": (x.work_id, x.score),
+        }.get(x.type)
+        assert x.type != "error", d
+        if shown is not None:
+            out.setdefault(x.session, []).append((x.window_idx, x.type, *shown))
+    return out
+
+
+def test_like_the_plain_model(spark):
+    """All sessions of the smallest tables: the set-based plan and the fold give what one loop over windows gives."""
+    import plain_tracker as P
+
+    from strandline.plans.match_queries import corpus
+    from strandline.plans.track_queries import replay_commands
+    from strandline.queries import QUERIES
+    from strandline.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    lines = [(x.work_id, x.line_idx, x.source, x.text, x.letters) for x in corpus(spark, sf).collect()]
+    plain = P.Corpus(lines)
+    sessions = {}
+    for x in V.replay_w(spark, sf).collect():
+        sessions.setdefault(x.session, []).append((x.window_idx, x.silent, x.text))
+    told = {}
+    for x in replay_commands(spark, sf).collect():
+        told.setdefault(x.session, []).append((x.window_idx, x.command, x.arg))
+    for name, commands in (("track_fold", {}), ("commands_replay", told)):
+        got = plain_events(QUERIES[name](spark, sf).collect())
+        want = {s: P.play(plain, w, commands.get(s, ())) for s, w in sessions.items()}
+        assert got.keys() == {s for s, w in want.items() if w}
+        for s, events in got.items():
+            assert events == want[s], (name, s)
+    kinds = {e[1] for events in want.values() for e in events}
+    assert {"locked", "aligned", "navigate", "candidates", "switched", "paused"} <= kinds
+    # The silent lock: a first line without its first words, then silence, in the mode that locks last.
+    heard = {s: [(i, q, " ".join(t.split()[(len(t.split()) + 3) // 6 :])) for i, q, t in w if i == 0] for s, w in sessions.items()}
+    mode = [(0, "set_confidence_mode", "conservative")]
+    want = {s: [e for e in P.play(plain, [*w, (1, True, "")], mode) if e[1] == "silence_autolock"] for s, w in heard.items()}
+    got = plain_events(QUERIES["silence_autolock"](spark, sf).collect())
+    assert got == {s: e for s, e in want.items() if e} and got
