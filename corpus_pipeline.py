@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its predecessor
 kept. All but the last return the columns of documents.
+
+Defined cases: null and empty texts go through like others (the quality stage may reject them, the last one packs
+their closing id); documents without an id are never removed as copies or as contaminated; rows that repeat a doc_id are
+judged together where documents are compared, and stay or go together; further columns, whatever their names, are
+carried to the last stage; empty tables of documents, labels or benchmark give results of the usual columns.
 """
 
 from __future__ import annotations
