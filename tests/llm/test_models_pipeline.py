@@ -204,6 +204,29 @@ def sf_dir(spark, tmp_path_factory):
     return str(path)
 
 
+def test_pipeline_defined_cases(spark, tmp_path):
+    """Nulls in any column, repeated ids, ties, further columns with the names used inside, and empty tables."""
+    names = ["_key0", "_extra0", "fp", "component_id", "_host", "_p", "key", "item_id", "c0"]
+    docs, labels, bench = make(5, 60)
+    docs += [(None, None, None, None, None), (None, docs[0][1], "en", "src0", 1), (900, "", "en", "src0", 0), (1, docs[2][1], None, "", 3), (7, docs[7][1], "en", "src2", 9)]
+    rows = spark.createDataFrame(docs, DOCS).withColumns({n: F.lit(n) for n in names})
+    rows.write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame(labels, LABELS).union(spark.createDataFrame([(None, None, None), (3, None, 1)], LABELS)).write.parquet(f"{tmp_path}/some/labels.parquet")
+    items = spark.createDataFrame([*bench, (None, None), (8, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/some/benchmark.parquet")
+    stage_docs = rows
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage_docs = stage(spark, stage_docs, f"{tmp_path}/some")
+        assert stage_docs.columns == rows.columns
+        assert all(tuple(x)[5:] == tuple(names) for x in stage_docs.collect())
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert out.count() > 30
+    for name, like in (("documents", rows), ("labels", spark.createDataFrame(labels, LABELS)), ("benchmark", items)):
+        like.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
 def test_pipeline(spark, sf_dir):
     docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = []
