@@ -72,6 +72,15 @@ def first_letters_corpus(text: Column, script: Script = LATIN) -> Column:
     return _canon(F.array_join(F.regexp_extract_all(text, F.lit(first), F.lit(1)), ""), script)
 
 
+# Key letters of the Gurmukhi block and the Latin letters that stand for them.
+ROMAN = ("ਅੲੳਸਹਕਖਗਘਙਚਛਜਝਞਟਠਡਢਣਤਥਦਧਨਪਫਬਭਮਯਰਲਵੜੴ", "aiushkkgggccjjjttddnttddnppbbmyrlvro")
+
+
+def roman_letters(key: Column) -> Column:
+    """A key in Latin letters, for searches by romanised or English first letters; both are compared in lower case."""
+    return F.lower(F.translate(key, *ROMAN))
+
+
 def script_fold(text: Column, script: Script = INDIC) -> Column:
     """Text of one script with single spaces; all other characters separate."""
     return F.trim(F.regexp_replace(_folded(text, script), f"[^{script.word}]+", " "))

@@ -51,6 +51,17 @@ def first_letters_indic(spark, sf_dir):
     return scripts(spark).select("id", T.first_letters(F.col("text"), T.INDIC).alias("first_letters"))
 
 
+@query(
+    V.with_(_VALUES)
+    + f"""SELECT CAST(id AS BIGINT) AS id, lower(translate(array_to_string(list_filter(list_transform(string_split_regex({_FOLDED}, '\\s+'),
+    lambda w: {_sql_translate("regexp_extract(w, '[" + T.INDIC.letter + "]')", T.INDIC.canon)}), lambda x: x <> ''), ''), '{T.ROMAN[0]}', '{T.ROMAN[1]}')) AS roman
+    FROM scripts"""
+)
+def roman_letters(spark, sf_dir):
+    """Keys as searches by romanised first letters have them."""
+    return scripts(spark).select("id", T.roman_letters(T.first_letters(F.col("text"), T.INDIC)).alias("roman"))
+
+
 @query(
     V.with_(V.LINES)
     + """SELECT work_id, line_idx, array_to_string(list_transform(string_split_regex(lower(text), '\\s+'),

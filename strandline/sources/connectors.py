@@ -64,13 +64,13 @@ def save_settings(path: str, settings: dict) -> None:
 
 
 COMMANDS = ("manual_select", "navigate", "recall", "pause", "resume", "set_controller_pin", "force_unlock", "set_confidence_mode")
-COMMAND_SCHEMA = "type string, shabad_id bigint, direction string, pin string, mode string"
+COMMAND_SCHEMA = "type string, shabad_id bigint, direction string, controller_pin string, mode string"
 
 
 def parse_commands(messages: DataFrame, column: str = "message") -> DataFrame:
     """Command rows (command, arg) of JSON messages; unknown types are dropped."""
     m = messages.withColumn("m", F.from_json(column, COMMAND_SCHEMA)).where(F.col("m.type").isin(*COMMANDS))
-    arg = F.coalesce(F.col("m.shabad_id").cast("string"), "m.direction", "m.pin", "m.mode")
+    arg = F.coalesce(F.col("m.shabad_id").cast("string"), "m.direction", "m.controller_pin", "m.mode")
     return m.select("*", F.col("m.type").alias("command"), arg.alias("arg")).drop("m")
 
 
@@ -84,15 +84,30 @@ def to_messages(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
 
 
-def fan_out(send: Sequence[Callable[[list[str]], None]]) -> Callable[[DataFrame, int], None]:
+def fan_out(send: Sequence[Callable[[list[str]], None]], delivered: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that gives each batch's messages to all clients and drops clients that fail.
 
-    A batch id that was delivered is not sent again, so a replayed batch does no harm.
+    A batch id that was delivered is not sent again, so a replayed batch does no harm. With a folder
+    `delivered`, next to the stream's checkpoint, this holds after a restart too.
     """
     clients, done = list(send), set()
+    read = False
+
+    def known(spark: SparkSession) -> set:
+        nonlocal read
+        if delivered and not read:
+            from pyspark.errors import AnalysisException
+
+            try:
+                done.update(r[0] for r in spark.read.schema("batch long").parquet(delivered).distinct().collect())
+            except AnalysisException:  # nothing delivered yet
+                pass
+            read = True
+        return done
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in done:
+        spark = batch.sparkSession
+        if batch_id in known(spark):
             return
         # A display's batch is the few events of a moment; they are streamed through, not collected at once.
         for row in to_messages(batch).toLocalIterator():
@@ -102,6 +117,8 @@ def fan_out(send: Sequence[Callable[[list[str]], None]]) -> Callable[[DataFrame,
                 except Exception:  # a client that is gone
                     clients.remove(client)
         done.add(batch_id)
+        if delivered:
+            spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("append").parquet(delivered)
 
     return deliver
 

@@ -55,6 +55,8 @@ def test_connectors(spark, tmp_path):
     assert picked.idx == 1
     m = spark.createDataFrame([('{"type":"recall","shabad_id":5}',), ('{"type":"odd"}',), ("x",)], "message string")
     assert [(r.command, r.arg) for r in K.parse_commands(m).collect()] == [("recall", "5")]
+    m = spark.createDataFrame([('{"type":"set_controller_pin","controller_pin":"12"}',), ('{"type":"set_controller_pin","controller_pin":null}',)], "message string")
+    assert [(r.command, r.arg) for r in K.parse_commands(m).collect()] == [("set_controller_pin", "12"), ("set_controller_pin", None)]
     got, gone = [], []
 
     def bad(x):
@@ -65,3 +67,52 @@ def test_connectors(spark, tmp_path):
     e = spark.createDataFrame([(1, "a"), (2, "b")], "id long, type string")
     deliver(e, 0), deliver(e, 0), deliver(e, 1)
     assert len(got) == 4 and len(gone) == 1
+    # A new process that knows the folder does not send again what was delivered.
+    for _ in range(2):
+        K.fan_out([got.extend], f"{tmp_path}/sent")(e, 7)
+    assert len(got) == 6
+
+
+def test_roman_search(spark):
+    """First letters in Latin letters, of either case, begin the romanised keys of lines."""
+    from strandline.functions import text as T
+    from strandline.operators import retrieve as R
+
+    lines = [(1, "ਹਰਿ ਜੀ ਕ੍ਰਿਪਾ ਨਿਧਾਨ"), (2, "ਸਤਿਗੁਰ ਦਇਆਲ ਗੋਪਾਲ ਜੀ"), (3, "ਮੇਰੇ ਹਰਿ ਮੋਹਨ ਲਾਲ")]
+    corpus = spark.createDataFrame([(i, 0, "G", t) for i, t in lines], "work_id long, line_idx int, source string, text string")
+    corpus = corpus.withColumn("letters", T.roman_letters(T.first_letters(T.F.col("text"), T.INDIC)))
+    asked = spark.createDataFrame([(1, "hjkn"), (2, "sDgj"), (3, "MHML"), (4, "zzz")], "qid long, letters string")
+    found = R.prefix(asked.withColumn("letters", T.roman_letters(T.F.col("letters"))), corpus)
+    assert {(r.qid, r.work_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_controller(spark):
+    from strandline.sources import control as K
+
+    up, sent = {7002}, []
+
+    def get(url):
+        if int(url.rsplit(":", 1)[1]) not in up:
+            raise OSError
+        return 200
+
+    def post(url, payload):
+        get(url.split("/api")[0])
+        sent.append((url, payload["verseId"], payload["lineCount"], payload.get("pin")))
+        return 200
+
+    c = K.Controller((7001, 7002, 7003), lambda w: [w * 10 + 1, w * 10 + 2] if w < 9 else [], "/api/x", 5, get, post)
+    assert c.connect() and c.address == "http://localhost:7002" and not c.navigate("next")
+    events = [(1, 0, 3, "display", 4, "{}"), (1, 2, 1, "navigate", 4, '{"direction": "prev"}'), (1, 1, 1, "navigate", 4, '{"direction": "next"}'), (1, 1, 2, "state", 4, '{"phase": "locked"}')]
+    events = spark.createDataFrame(events, "session long, window_idx long, seq int, type string, work_id long, detail string").withColumn("line", K.F.lit(0))
+    K.control_sink(c)(events, 0)
+    assert [x[1:] for x in sent] == [(41, 1, "5"), (42, 2, "5"), (41, 1, "5")]
+    # Elsewhere after a failure; an unknown work has the id 1.
+    up.clear(), up.add(7003)
+    assert c.display(9) and sent[-1] == ("http://localhost:7003/api/x", 1, 1, "5")
+    up.clear()
+    assert not c.navigate("next") and c.work == 9
+    assert [(r.session, r.work_id) for r in K.snapshot(events).collect()] == [(1, 4)]
+    lines = spark.createDataFrame([(4, 1, "b"), (4, 0, "a"), (5, 0, "x")], "work_id long, line_idx int, text string")
+    assert K.read_lines(lines, 4).first().lines == ["a", "b"] and K.read_lines(lines, 6).first().lines == []
+    assert K.stop_all(spark) == 0
