@@ -27,6 +27,18 @@ def _line(corpus: DataFrame, *more: Column) -> DataFrame:
     return corpus.select(*_LINE, *more)
 
 
+#: Distinct keys of queries up to this number, at most some 30 MB, go to the corpus first, so that only postings with such
+#: a key leave their task.
+BROADCAST_KEYS = 1_000_000
+
+
+def _asked(postings: DataFrame, q: DataFrame) -> DataFrame:
+    """The postings whose key `k` some query has, where the queries' keys are few enough to be broadcast; else all."""
+    keys = q.select("k").distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return postings.join(F.broadcast(keys), "k", "left_semi") if few else postings
+
+
 def prefix(queries: DataFrame, corpus: DataFrame, limit: int = C.PREFIX_LIMIT) -> DataFrame:
     """The query's letters begin the line's: an equi-join on the shortest key, then the rest."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
@@ -50,7 +62,7 @@ def contains(queries: DataFrame, corpus: DataFrame, limit: int = C.CONTAINS_LIMI
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
         "qid", F.col("letters").alias("query"), F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")
     )
-    c = _line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k"))
+    c = _asked(_line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k")), q)
     return _top(c.join(q, "k").where(F.contains("letters", "query")).select("qid", *_LINE), limit)
 
 
@@ -87,6 +99,7 @@ def phrase(
     q = q.withColumn("k", F.substring_index("phrase", " ", 2))
     folded = T.script_fold(F.col("text"), script).alias("_folded")
     c = _line(corpus, folded).select(*_LINE, "_folded", F.explode(word_pairs(F.col("_folded"))).alias("k"))
+    c = _asked(c, q)
     inside = F.contains(F.concat(F.lit(" "), "_folded", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
     hits = c.join(q, "k").where(inside)
     hits = hits.select(F.struct("qid", "part").alias("qid"), *_LINE)

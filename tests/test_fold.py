@@ -211,3 +211,31 @@ def test_like_the_plain_model(spark):
     want = {s: [e for e in P.play(plain, [*w, (1, True, "")], mode) if e[1] == "silence_autolock"] for s, w in heard.items()}
     got = plain_events(QUERIES["silence_autolock"](spark, sf).collect())
     assert got == {s: e for s, e in want.items() if e} and got
+    # Evidence without locks.
+    want = set()
+    for s, windows in sessions.items():
+        t = P.Tracker(plain)
+        for i, silent, text in sorted(windows):
+            t.now, text = i, "" if silent else P.clean(text, t.heard)
+            if len(P.letters(text)) >= 3:
+                t.observe(t.score(P.letters(text), text, False)[:5])
+                want |= {(s, i, r, w, round(h["total"], 6), h["n"], round(t.strength(h), 6)) for r, (w, h) in enumerate(t.evidence.items(), 1)}
+    got = QUERIES["hyp_evidence"](spark, sf).collect()
+    assert {(x.session, x.window_idx, x.rank, x.work_id, x.total, x.stability, x.evidence) for x in got} == want and len(got) == len(want)
+    # The best line by the key of the window and by both keys of two windows.
+    want, own = {}, {}
+    for x in V.replay_w(spark, sf).where("work_id = session AND window_idx < 4").collect():
+        own.setdefault(x.session, []).append((x.window_idx, x.line_idx, x.letters))
+    for s, windows in own.items():
+        t, line, before = P.Tracker(plain), 0, ""
+        t.keys = plain.keys[s]
+        for i, at, key in sorted(windows):
+            t.line, best = line, None
+            for name, q in (("current", key), ("prev_current", before + key), ("current_prev", key + before))[: 3 if before else 1]:
+                values = [t.line_value(q, k) for k in range(len(t.keys))]
+                if best is None or max(values) > best[1]:
+                    best = (values.index(max(values)) if max(values) > 0 else 0, max(values), name)
+            want[s, i] = (best[0], round(best[1], 9), best[2])
+            line, before = at, key
+    got = QUERIES["best_line_stitched"](spark, sf).collect()
+    assert {(x.session, x.window_idx): (x.best_idx, x.best_score, x.variant) for x in got} == want
