@@ -135,6 +135,69 @@ def test_batch_is_stream(spark, tmp_path):
     assert batch == stream and len(batch) > 50
 
 
+def test_windows_and_commands_as_streams(spark, tmp_path):
+    """From files of windows and commands to events: the two streams give what the batch gives."""
+    from strandline.plans.match_queries import corpus
+    from strandline.plans.track_queries import replay_commands
+    from strandline.sources import connectors as K
+    from strandline.sources import control
+    from strandline.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    index = corpus(spark, sf)
+    windows = V.replay_w(spark, sf).where("session < 8").select("session", "window_idx", "silent", "text", "letters").cache()
+    told = replay_commands(spark, sf).where("session < 8").cache()
+    batch = run.track(run.rows(windows, index, told))
+    both = run.with_commands(windows, told)
+    for part, where in enumerate(("window_idx <= 4", "window_idx > 4")):
+        both.where(where).coalesce(1).write.mode("append").parquet(f"{tmp_path}/said/p{part}")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
+    stream = K.event_stream(spark, f"{tmp_path}/said/p*", schema)
+    run.prepare_batches(stream, index, f"{tmp_path}/rows", f"{tmp_path}/c1").start().awaitTermination()
+    rows = spark.readStream.schema(run.ROWS).parquet(f"{tmp_path}/rows/batch=*")
+    q = run.track_stream(rows).writeStream.format("memory").queryName("heard").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.table("heard").collect()), key=str)
+    assert got == sorted(map(tuple, batch.collect()), key=str) and len(got) > 50
+    # Newly locked works come with their lines; a new client gets the last state of each session.
+    shown = run.with_lines(batch, index).where("type = 'locked'").collect()
+    texts = {}
+    for x in index.collect():
+        texts.setdefault(x.work_id, {})[x.line_idx] = x.text
+    assert shown and all({y.line_idx: y.text for y in x.lines} == texts[x.work_id] for x in shown)
+    assert control.snapshot(batch).count() == windows.select("session").distinct().count()
+    idle = K.event_stream(spark, f"{tmp_path}/said/p*", schema).writeStream.format("memory").queryName("idle").start()
+    assert control.stop_all(spark) == 1 and not idle.isActive
+
+
+def test_a_bad_row_is_an_error_event():
+    bad = window(1, candidate(1))
+    bad["candidates"] = [{"work_id": 1}]
+    s, out = play(bad, window(2, candidate(1)))
+    assert out[0] == ["error", "state"] and s.current.work_id == 1
+
+
+def test_transcribe(spark):
+    from strandline.sources.transcribe import transcribe
+
+    def load():
+        def decode(x, language):
+            if language == "xx":
+                raise ValueError("unknown language")
+            if len(x) == 3:
+                raise RuntimeError("broken")
+            return [(0.0, 1.0, f" {len(x)} {language} {abs(x).max():.1f} "), (1.0, 2.0, "  ")]
+
+        return decode
+
+    rows = [(1, 0, [0.1] * 8), (1, 1, [0.0] * 8), (1, 2, [0.5, -0.5, 0.5]), (1, 3, None), (2, 0, [])]
+    windows = spark.createDataFrame(rows, "session int, window_idx int, samples array<float>").coalesce(1)
+    for language, shown in (("pa", "pa"), ("xx", "None")):
+        got = {(x.session, x.window_idx): (x.silent, [s.text for s in x.segments]) for x in transcribe(windows, load, language).collect()}
+        assert got[1, 0] == (False, [f"8 {shown} 0.7"]) and got[1, 1] == (True, []) and got[1, 2] == (False, []) and got[2, 0] == (True, [])
+        assert got[1, 3][1] == []
+
+
 def test_long_lines_are_tracked(spark, tmp_path):
     """A line with a key of 200 letters or more is in the index, and the lines after it keep their place."""
     import random
