@@ -41,6 +41,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SUPPORT, GENERALISE_AT, REMOVE_AT = 8, 3, 0.5, 0.8
 #: Candidate terms up to this number go to the tasks as a set; more are joined by a shuffle.
 TERM_SET = 100_000
+#: Texts with added spans up to this number, and ten times as many spans, go to the tasks: at most some 30 MB.
+FEW_TEXTS = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -251,12 +253,18 @@ def redact(text: str, extra: list[tuple[int, int, float]]) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with their texts redacted; n_chars, if there, follows the text."""
+    """The documents with their texts redacted; n_chars, if there, follows the text.
+
+    The added spans go to all tasks where they are few; where they are many, texts and spans meet in a shuffle.
+    """
     _, extra = plan(docs)
+    texts, spans = extra.agg(F.count("*"), F.sum(F.size("extra"))).first()
+    few = texts <= FEW_TEXTS and (spans or 0) <= 10 * FEW_TEXTS
     names = docs.columns
     key, more = free_name(docs, "_key"), free_name(docs, "_extra")
     keyed = docs.withColumn(key, F.sha2(text_or_empty().cast("binary"), 256))
-    joined = keyed.join(extra.withColumnsRenamed({"key": key, "extra": more}), key, "left")
+    extra = extra.withColumnsRenamed({"key": key, "extra": more})
+    joined = keyed.join(F.broadcast(extra) if few else extra, key, "left")
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

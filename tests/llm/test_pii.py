@@ -133,3 +133,11 @@ def test_sanitise_keeps_clashing_columns(spark):
     got = {x.doc_id: x for x in P.sanitise(docs).collect()}
     assert tuple(got[1])[2:] == ("k", "e", "n") and "[EMAIL]" in got[1].text and tuple(got[2])[1:] == (None,) * 4
     assert P.sanitise(docs.limit(0)).columns == docs.columns
+
+
+def test_few_and_many_spans_redact_alike(spark, monkeypatch):
+    rows = [(i, f"filler{i} talk about zorro42 joe@mail.example.com today number {i}") for i in range(6)] + [(None, None), (9, "")]
+    docs = spark.createDataFrame(rows + [(20 + i, f"plain words {i}") for i in range(40)], "doc_id long, text string")
+    few = sorted(map(str, P.sanitise(docs).collect()))
+    monkeypatch.setattr(P, "FEW_TEXTS", 0)
+    assert sorted(map(str, P.sanitise(docs).collect())) == few and not any("zorro42" in x for x in few)
