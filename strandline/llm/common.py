@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of the Arrow batches that Python workers get.
-BATCH_BYTES = 8 * 1024 * 1024
-BATCH_ROWS = 2000
+BATCH_BYTES = 4 * 1024 * 1024
+BATCH_ROWS = 1000
 
 _shipped: dict[str, str] = {}
 

@@ -41,7 +41,7 @@ from .common import prepare, table, text_or_empty, without_ids
 N, SHORT, THRESHOLD = 3, 12, 0.5
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
 #: Words whose hashes, and bytes of windows whose alignments, a task remembers.
-REMEMBERED_WORDS, REMEMBERED = 500_000, 32_000_000
+REMEMBERED_WORDS, REMEMBERED = 100_000, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 _WORD = re.compile(r"[^\W_]+")
