@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.views import spread
+
 #: Upper bound of the Arrow batches that Python workers get.
 BATCH_BYTES = 4 * 1024 * 1024
 BATCH_ROWS = 1000
@@ -58,7 +60,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by its name; texts and pages of fewer splits than there are cores are dealt out once."""
+    rows = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def free_name(docs: DataFrame, base: str) -> str:
