@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, packing, pii, quality, secrets, simhash, substring, toxicity, warc
+from . import audio, decontam, lloyd, merkle, packing, pii, quality, records, secrets, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_simhash_bktree": simhash.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_substring_dedup": substring.op8,
     "op9_quality_bayes": quality.op9,
     "op10_toxicity_ordinal": toxicity.op10,
+    "op11_delta_lloyd": lloyd.op11,
+    "op12_token_records": records.op12,
+    "op13_merkle_manifest": merkle.op13,
 }
 
 ORACLE_SQL = {
     "op4_warc_archive": warc.ORACLE4,
     "op7_secret_ledger": secrets.oracle_sql(),
     "op8_substring_dedup": substring.ORACLE8,
+    "op11_delta_lloyd": lloyd.oracle_sql(),
+    "op13_merkle_manifest": merkle.ORACLE13,
 }

@@ -36,13 +36,15 @@ BROADCAST_REVISITS = 1_000_000
 
 
 def _open(path: str, mode: str):
-    """A stream on any file system that the workers know; plain paths are local."""
+    """A stream on any file system that the workers know ('w' to write, 'r' to read on, 'at' to seek); plain paths are local."""
     from pyarrow import fs
 
     where, inner = fs.FileSystem.from_uri(path if urlsplit(path).scheme else "file://" + path)
     if mode == "w":
         where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         return where.open_output_stream(inner, compression=None)
+    if mode == "at":
+        return where.open_input_file(inner)
     return where.open_input_stream(inner, compression=None)
 
 
