@@ -1,25 +1,28 @@
 """Substring de-duplication with a log-structured index of window fingerprints.
 
-A window is `width` consecutive words. Its fingerprint is a polynomial of hashes of its words, cut to a width that
-follows the corpus (`key_bits`); its check is made the same way of independent hashes, so that an equal
-fingerprint alone removes nothing. An `Index` is a folder of immutable runs, each sorted by fingerprint and split into
+A window is `width` consecutive words. Its fingerprint and its check are polynomials of two independent halves of a cryptographic
+hash of each word; the fingerprint is cut to a width that follows the corpus (`key_bits`). An equal fingerprint alone removes
+nothing: the check must be equal too. An `Index` is a folder of immutable runs, each sorted by fingerprint and split into
 shards by ranges of fingerprints, and a manifest of the runs that count. A batch of documents goes through it so:
 
-1. The documents are packed into compressed blocks, which are checkpointed: every later pass sees the
-   same blocks, and texts move in this compact form only.
-2. Each block is written as one sorted run per shard: distinct fingerprints with their checks and the smallest doc_id of each.
+1. The documents are packed into compressed blocks, which are written once, bucketed by block: every later pass sees the
+   same blocks, and no pass moves texts.
+2. Each block gives one sorted run per shard: distinct fingerprints with their checks and the smallest doc_id of each.
    A window that a third of all documents share is a few bytes in each run.
-3. The runs of a shard are merge-joined with history. Fingerprint and check must both be equal. Each run gets one bit
-   per entry back: history has it, or another run has it with a smaller doc_id. What is new to history becomes a run of the index.
+3. The runs of a shard are put together and merge-joined with the shard's runs of history, which are read segment by segment where they
+   are and never shuffled. Fingerprint and check must both be equal. Each run gets one bit per entry back: history has
+   it, or another run has it with a smaller doc_id. What is new to history becomes a run of the index.
 4. Blocks mark the words of each window that starts in history or in a document with a smaller doc_id.
 
 The run and its bits are one Parquet folder, written before the manifest names it: a batch that fails
-leaves no trace in the index. A new process finds the index by its folder. `compact` merges all runs into one.
+leaves no trace in the index. A manifest is created exclusively, so of two writers the later one fails instead of losing a run. A
+new process finds the index by its folder. Where `tier` runs of one level have come together, they are merged into one of the next, segment by
+segment, so each entry is written again once a level; `compact` merges all runs into one.
 
 The number of shards is fixed for an index; `dedup` takes it from the number of words, so a shard's runs stay near
 `shard_windows`. `dedup` of a whole table sends it through an index of its own in `batches` batches, by ranges of doc_id
-from the smallest on, so history is just the documents of smaller doc_id; the rows are the same for any number of them.
-One batch moves the fewest bytes, as history is shuffled once for each batch that follows.
+from the smallest on, so history is just the documents of smaller doc_id; the rows are the same for any number of them. All batches are
+appended, and the runs of the first ones are merged on the way.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing; null doc_id counts as
 larger than every other, so it is never a source for other documents of its batch; rows that repeat a doc_id are not
@@ -31,23 +34,32 @@ comes before a batch, whatever the doc_ids.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, table, text_bytes
+from ..sources.folders import Folder
+from .common import free_name, prepare, shared_dir, table, text_bytes
 
-WIDTH, BATCHES = 13, 1
+WIDTH, BATCHES = 13, 3
+#: Runs of a level that are merged into one of the next: of an index, and of a table's own.
+TIER, OWN_TIER = 4, 2
+#: Entries of a run that are read or written at once.
+SEGMENT = 1 << 16
+#: Words whose hashes a worker remembers, and their longest.
+REMEMBERED, LONGEST = 200_000, 32
 BATCH_TEXT = 8 << 20
 SHARD_WINDOWS = 2_000_000
 NO_ID = np.iinfo(np.int64).max
-HISTORY = -1
 #: Bytes of text whose words are hashed at once; bounds a task's memory.
 HASHED = 1 << 20
 
@@ -73,35 +85,57 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [raw[a:b] for a, b in zip((end - sizes).tolist(), end.tolist())]
 
 
-def batches_of(docs: DataFrame) -> DataFrame:
-    """(batch, words, data): documents in compressed blocks of about BATCH_TEXT bytes, checkpointed."""
+def _blocks(docs: DataFrame, step: str) -> DataFrame:
+    """(step, batch, words, data): documents (doc_id, text) of each step in compressed blocks of about BATCH_TEXT bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, texts, size, words, made = [], [], 0, 0, 0
+        made, held = 0, {}
 
-        def out():
+        def out(of: int) -> pa.RecordBatch:
+            nonlocal made
+            ids, texts, _ = held.pop(of)
             number = (TaskContext.get().partitionId() << 32) + made
-            return pa.RecordBatch.from_pydict({"batch": [number], "words": [words], "data": [_pack(ids, texts)]})
+            made += 1
+            words = sum(len(t.split()) for t in texts)
+            return pa.RecordBatch.from_pydict(
+                {"step": pa.array([of], pa.int32()), "batch": [number], "words": [words], "data": [_pack(ids, texts)]}
+            )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ids and size + len(text) > BATCH_TEXT:
-                    yield out()
-                    ids, texts, size, words, made = [], [], 0, 0, made + 1
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-                words += len(text.split())
-        if ids:
-            yield out()
-
-    return (
-        docs.select(F.col("doc_id").cast("long"), text_bytes())
-        .mapInArrow(run, "batch long, words long, data binary")
-        .checkpoint()
-    )
+            for doc_id, text, of in zip(*(c.to_pylist() for c in batch.columns)):
+                if of in held and held[of][2] + len(text) > BATCH_TEXT:
+                    yield out(of)
+                own = held.setdefault(of, [[], [], 0])
+                own[0].append(doc_id)
+                own[1].append(text)
+                own[2] += len(text)
+        for of in sorted(held):
+            yield out(of)
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes(), F.col(step).cast("int"))
+    return rows.mapInArrow(run, "step int, batch long, words long, data binary")
+
+
+class Blocks:
+    """Blocks that are written once, bucketed by their number, so that passes by block move none of them."""
+
+    def __init__(self, docs: DataFrame, folder: str, step: str | None = None):
+        self.spark, self.name = prepare(docs.sparkSession), f"blocks_{uuid.uuid4().hex}"
+        if step is None:
+            step = free_name(docs, "step")
+            docs = docs.withColumn(step, F.lit(0))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        made = _blocks(docs, step).write.bucketBy(buckets, "batch").option("path", f"{folder}/{self.name}")
+        made.format("parquet").saveAsTable(self.name)
+
+    def of(self, step: int | None = None) -> DataFrame:
+        rows = self.spark.table(self.name)
+        return rows if step is None else rows.where(F.col("step") == step)
+
+    def words(self) -> int:
+        return self.of().agg(F.sum("words")).first()[0] or 0
 
 
 # -- windows ------------------------------------------------------------------------------------
@@ -109,19 +143,9 @@ def batches_of(docs: DataFrame) -> DataFrame:
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _random = np.random.default_rng(13)  # the same numbers everywhere
-#: Of each byte value two independent numbers, and odd factors of the polynomials over bytes and over words.
-_BYTES = _random.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_B, _P, _MIX = _random.integers(0, 1 << 63, 3, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_B_BACK = np.uint64(pow(int(_B), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the byte factor and of its inverse modulo 2^64, from 0 to n at least."""
-    if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(20, int(n).bit_length())
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, f, np.uint64)])) for f in (_B, _B_BACK)]
-    return _powers
+#: Odd factors of the polynomials over words and of the mixing.
+_P, _MIX = _random.integers(0, 1 << 63, 2, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_known: dict[bytes, bytes] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,22 +153,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(where each word of a text begins, and two independent hashes of it).
+def _hashes(words: list[bytes]) -> bytes:
+    """16 bytes of a cryptographic hash of each word; a worker remembers those of short words it met first."""
+    out = []
+    for w in words:
+        h = _known.get(w)
+        if h is None:
+            h = hashlib.blake2b(w, digest_size=16).digest()
+            if len(_known) < REMEMBERED and len(w) <= LONGEST:
+                _known[w] = h
+        out.append(h)
+    return b"".join(out)
 
-    A word's hash is its part of a polynomial over all bytes, brought to the same power: no word is looked at singly.
-    """
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word of a text begins, and two independent hashes of it). Each distinct word is hashed once."""
     buf = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[buf]
-    change = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    start, end = change[::2], change[1::2]
-    up, down = _powers_to(len(buf))
-    out = []
-    with np.errstate(over="ignore"):
-        for numbers in _BYTES:
-            total = np.concatenate([[np.uint64(0)], np.cumsum(numbers[buf] * up[: len(buf)])])
-            out.append(_mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
-    return start, *out
+    start = np.flatnonzero(np.diff(np.concatenate([[False], inside]).view(np.int8)) == 1)
+    words = data.split()  # on bytes: space and 0x09-0x0D
+    distinct = list(set(words))
+    place = {w: i for i, w in enumerate(distinct)}
+    hashes = np.frombuffer(_hashes(distinct), "<u8").reshape(-1, 2)
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    return start, hashes[at, 0], hashes[at, 1]
 
 
 class Windows:
@@ -201,17 +233,24 @@ def ordered(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _squeeze(sorted_keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, in as few bytes each as all fit in."""
+    """Differences of sorted keys in a fixed number of bytes each; the few that need more stand apart, with their places."""
     steps = np.diff(sorted_keys, prepend=np.uint64(0))
-    size = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    costs = [(len(steps) * n + 12 * int((steps >= np.uint64(1 << 8 * n)).sum()), n) for n in range(1, 8)]
+    size = min([*costs, (8 * len(steps), 8)])[1]
+    far = np.flatnonzero(steps >= np.uint64(1 << 8 * size)) if size < 8 else np.zeros(0, np.int64)
+    low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    return struct.pack("<BI", size, len(far)) + far.astype("<u4").tobytes() + steps[far].astype("<u8").tobytes() + low
 
 
 def _expand(data: bytes) -> np.ndarray:
-    size = data[0]
-    raw = np.zeros(((len(data) - 1) // size, 8), np.uint8)
-    raw[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
-    return np.cumsum(raw.view("<u8")[:, 0], dtype=np.uint64)
+    size, n = struct.unpack_from("<BI", data)
+    far, wide = np.frombuffer(data, "<u4", n, 5), np.frombuffer(data, "<u8", n, 5 + 4 * n)
+    at = 5 + 12 * n
+    raw = np.zeros(((len(data) - at) // size, 8), np.uint8)
+    raw[:, :size] = np.frombuffer(data, np.uint8, offset=at).reshape(-1, size)
+    steps = raw.view("<u8")[:, 0].astype(np.uint64)
+    steps[far] = wide
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _ids(values: np.ndarray) -> bytes:
@@ -236,8 +275,8 @@ TOLD = "kind string, shard int, batch long, bits binary, keys binary, checks bin
 
 
 def key_bits(words: int) -> int:
-    """Width of a fingerprint: with its check of 32 bits, 17 bits more than the number of pairs has."""
-    return min(62, max(38, 2 * int(words).bit_length() - 15))
+    """Width of a fingerprint: with its check of 32 bits, 20 bits more than the number of pairs has."""
+    return min(62, max(38, 2 * int(words).bit_length() - 12))
 
 
 def _cuts(key: np.ndarray, shards: int, bits: int) -> np.ndarray:
@@ -276,33 +315,99 @@ def runs_of(batches: DataFrame, shards: int, bits: int, width: int = WIDTH) -> D
     return batches.mapInArrow(run, RUN)
 
 
-def _load(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    keys = [_expand(b) for b in table_.column("keys").to_pylist()]
-    checks = [np.frombuffer(b, "<u4") for b in table_.column("checks").to_pylist()]
-    return np.concatenate(keys), np.concatenate(checks), list(map(len, keys))
-
-
-def merge(table_: pa.Table) -> pa.Table:
-    """Merge-join of a shard's runs with history: bits for each block's run, and the run that is new to history."""
-    key, check, sizes = _load(table_)
-    batches = table_.column("batch").to_pylist()
-    # History comes before every document.
-    first = np.iinfo(np.int64).min
-    docs = [np.full(n, first) if b == HISTORY else _ids_back(i) for b, n, i in zip(batches, sizes, table_.column("ids").to_pylist())]
-    doc = np.concatenate(docs)
-    del docs
-    order, head = ordered(key, check)
-    least = np.minimum.reduceat(doc[order], head)
-    earlier = np.empty(len(key), bool)
-    earlier[order] = np.repeat(least, np.diff(np.append(head, len(key)))) < doc[order]
-    new = order[head[least > first]]
-    shard, rows, at = table_.column("shard")[0].as_py(), [], 0
-    for batch, n in zip(batches, sizes):
-        if batch != HISTORY:
+Entries = tuple[np.ndarray, np.ndarray]
+
+
+def _segments(path: str, shard: int) -> Iterator[Entries]:
+    """A stored run of a shard, some entries at a time, in order."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path if urlsplit(path).scheme else "file://" + path)
+    files = where.get_file_info(fs.FileSelector(f"{inner}/kind=run/shard={shard}", allow_not_found=True))
+    for f in sorted((f.path for f in files if f.base_name.endswith(".parquet"))):
+        for batch in pq.ParquetFile(where.open_input_file(f)).iter_batches(batch_size=1, columns=["keys", "checks"]):
+            for keys, checks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield _expand(keys), np.frombuffer(checks, "<u4")
+
+
+def _run_rows(shard: int, segments: Iterator[Entries]) -> Iterator[tuple]:
+    """Rows of TOLD; `batch` counts the segments."""
+    for i, (key, check) in enumerate(segments):
+        yield "run", shard, i, None, _squeeze(key), check.astype("<u4").tobytes()
+
+
+def _cut(key: np.ndarray, check: np.ndarray) -> Iterator[Entries]:
+    return ((key[i : i + SEGMENT], check[i : i + SEGMENT]) for i in range(0, len(key), SEGMENT))
+
+
+def known_to(key: np.ndarray, check: np.ndarray, history: Iterator[Entries]) -> np.ndarray:
+    """Of distinct entries in order, which ones history has."""
+    out = np.zeros(len(key), bool)
+    for k, c in history:
+        left, right = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+        # Entries with equal keys are few, each is compared.
+        for d in range(int((right - left).max(initial=0))):
+            at = left + d
+            some = at < right
+            same = at[some][check[at[some]] == c[some]]
+            out[same] = True
+    return out
+
+
+def merge(history: list[str]):
+    """Merge-join of a batch's runs of a shard with each other and with the runs of history: bits for each run, and the run of
+    what is new to history."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        shard = table_.column("shard")[0].as_py()
+        keys = [_expand(b) for b in table_.column("keys").to_pylist()]
+        sizes = list(map(len, keys))
+        key = np.concatenate(keys)
+        del keys
+        check = np.concatenate([np.frombuffer(b, "<u4") for b in table_.column("checks").to_pylist()])
+        doc = np.concatenate([_ids_back(i) for i in table_.column("ids").to_pylist()])
+        order, head = ordered(key, check)
+        first = order[head]
+        new_key, new_check = key[first], check[first]
+        known = np.zeros(len(head), bool)
+        for path in history:
+            known |= known_to(new_key, new_check, _segments(path, shard))
+        size = np.diff(np.append(head, len(key)))
+        least = np.minimum.reduceat(doc[order], head)
+        earlier = np.empty(len(key), bool)
+        earlier[order] = np.repeat(known, size) | (np.repeat(least, size) < doc[order])
+        rows, at = [], 0
+        for batch, n in zip(table_.column("batch").to_pylist(), sizes):
             rows.append(("answer", shard, batch, np.packbits(earlier[at : at + n]).tobytes(), None, None))
-        at += n
-    rows.append(("run", shard, HISTORY, None, _squeeze(key[new]), check[new].astype("<u4").tobytes()))
-    return pa.Table.from_batches([_rows(rows, TOLD)])
+            at += n
+        rows += _run_rows(shard, _cut(new_key[~known], new_check[~known]))
+        return pa.Table.from_batches([_rows(rows, TOLD)])
+
+    return run
+
+
+def merged(runs: list[Iterator[Entries]]) -> Iterator[Entries]:
+    """One run of several that have no entry in common, in order; of each run one segment is held."""
+    held = [next(r, None) for r in runs]
+    while any(h is not None for h in held):
+        # Up to here every run is known.
+        bound = min(h[0][-1] for h in held if h is not None)
+        parts = []
+        for i, h in enumerate(held):
+            while h is not None:
+                cut = int(np.searchsorted(h[0], bound, "right"))
+                parts.append((h[0][:cut], h[1][:cut]))
+                if cut < len(h[0]):
+                    h = (h[0][cut:], h[1][cut:])
+                    break
+                h = next(runs[i], None)
+                if h is not None and h[0][0] > bound:
+                    break
+            held[i] = h
+        key, check = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+        order = np.lexsort((check, key))
+        yield from _cut(key[order], check[order])
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -357,77 +462,104 @@ def finish(shards: int, bits: int, width: int, with_text: bool):
 
 # -- the index ----------------------------------------------------------------------------------
 
-MANIFEST = "generation long, shards int, bits int, width int, parts array<string>"
+@contextmanager
+def _files_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside are removed when they end, instead of when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 class Index:
-    """Runs in a folder and the manifest of those that count. Runs are never changed once written."""
+    """Runs in a folder and the manifest of those that count. Runs are never changed once written.
 
-    def __init__(self, spark: SparkSession, folder: str, shards: int = 64, bits: int = 62, width: int = WIDTH):
-        """A new index, or the one that the folder has, with its own shards, bits and width."""
-        from pyspark.errors import AnalysisException
+    `parts` are the runs (path, level), the oldest first; no two have an entry in common.
+    """
 
-        self.spark, self.folder = prepare(spark), folder
+    def __init__(
+        self, spark: SparkSession, folder: str, shards: int = 64, bits: int = 62, width: int = WIDTH, tier: int = TIER, private: bool = False
+    ):
+        """A new index, or the one that the folder has, with its own shards, bits and width. Runs that are merged stay for those who
+        read them still, but in a `private` index."""
+        self.spark, self.folder, self.tier, self.private = prepare(spark), folder, tier, private
         self.shards, self.bits, self.width = shards, bits, width
         self.generation, self.parts = 0, []
-        try:
-            last = self.spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("generation")).first()
-        except AnalysisException:  # no manifest yet
-            last = None
-        if last:
-            self.generation, self.parts = last.generation, list(last.parts)
-            self.shards, self.bits, self.width = last.shards, last.bits, last.width
-
-    def _commit(self, parts: list[str]) -> None:
-        self.generation, self.parts = self.generation + 1, parts
-        row = [(self.generation, self.shards, self.bits, self.width, parts)]
-        self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-
-    def runs(self) -> DataFrame | None:
-        """History as runs of the block HISTORY."""
-        if not self.parts:
-            return None
-        paths = [f"{p}/kind=run" for p in self.parts]
-        kept = self.spark.read.schema("shard int, batch long, keys binary, checks binary").parquet(*paths)
-        return kept.withColumn("ids", F.lit(None).cast("binary"))
+        self._manifests = Folder(spark, f"{folder}/manifest")
+        names = [n for n in self._manifests.names() if n.endswith(".json")]
+        if names:
+            last = json.loads(self._manifests.read(names[-1]))
+            self.generation, self.parts = last["generation"], [tuple(p) for p in last["parts"]]
+            self.shards, self.bits, self.width = last["shards"], last["bits"], last["width"]
+
+    def _commit(self, parts: list[tuple[str, int]]) -> None:
+        row = {"generation": self.generation + 1, "shards": self.shards, "bits": self.bits, "width": self.width, "parts": parts}
+        if not self._manifests.create(f"{row['generation']:012d}.json", json.dumps(row)):
+            raise RuntimeError("another writer has changed the index since it was read; read it again")
+        self.generation, self.parts = row["generation"], parts
 
     def dedup(self, docs: DataFrame, with_text: bool = False, append: bool = True) -> DataFrame:
         """OUT of new documents, against history and each other; their windows join the index if `append`."""
-        return self.dedup_blocks(batches_of(docs), with_text, append)
+        return self.dedup_blocks(Blocks(docs, self.folder).of(), with_text, append)
 
     def dedup_blocks(self, blocks: DataFrame, with_text: bool = False, append: bool = True) -> DataFrame:
-        runs, history = runs_of(blocks, self.shards, self.bits, self.width), self.runs()
-        if history is not None:
-            runs = runs.unionByName(history)
-        told = runs.groupBy("shard").applyInArrow(merge, TOLD)
+        told = runs_of(blocks, self.shards, self.bits, self.width).groupBy("shard").applyInArrow(merge([p for p, _ in self.parts]), TOLD)
         if not append:
             told = told.where("kind = 'answer'")
         path = f"{self.folder}/part-{uuid.uuid4().hex}"
-        told.write.partitionBy("kind").parquet(path)
+        with _files_cleaned(self.spark):
+            self._write(told, path)
         answers = self.spark.read.schema(TOLD).parquet(path).where("kind = 'answer'").select("shard", "batch", "bits")
         if append:
-            self._commit([*self.parts, path])
-        by_block = blocks.groupBy("batch").cogroup(answers.groupBy("batch"))
+            self._commit([*self.parts, (path, 0)])
+            self._level()
+        by_block = blocks.select("batch", "data").groupBy("batch").cogroup(answers.groupBy("batch"))
         return by_block.applyInArrow(finish(self.shards, self.bits, self.width, with_text), OUT)
 
+    def _write(self, told: DataFrame, path: str) -> None:
+        # A run's segments stay in order.
+        told.sortWithinPartitions("kind", "shard", "batch").write.partitionBy("kind", "shard").parquet(path)
+
     def append(self, docs: DataFrame) -> None:
         """Add the windows of new documents."""
         self.dedup(docs)
 
+    def _level(self) -> None:
+        """Merge runs while there are `tier` of one level."""
+        level = 0
+        while any(n >= level for _, n in self.parts):
+            own = [p for p, n in self.parts if n == level]
+            if len(own) >= self.tier:
+                self._merge(own, level + 1)
+            level += 1
+
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.parts) > 1:
-            path = f"{self.folder}/part-{uuid.uuid4().hex}"
-            self.runs().groupBy("shard").applyInArrow(_one_run, TOLD).write.partitionBy("kind").parquet(path)
-            self._commit([path])
+            self._merge([p for p, _ in self.parts], 1 + max(n for _, n in self.parts))
 
+    def _merge(self, paths: list[str], level: int) -> None:
+        """Runs of a shard are read and written segment by segment, a task a shard; nothing is shuffled."""
+        shards = self.spark.range(0, self.shards, 1, self.shards)
 
-def _one_run(table_: pa.Table) -> pa.Table:
-    key, check, _ = _load(table_)
-    order, head = ordered(key, check)
-    key, check = key[order[head]], check[order[head]]
-    row = ("run", table_.column("shard")[0].as_py(), HISTORY, None, _squeeze(key), check.astype("<u4").tobytes())
-    return pa.Table.from_batches([_rows([row], TOLD)])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    for row in _run_rows(shard, merged([_segments(p, shard) for p in paths])):
+                        yield _rows([row], TOLD)
+
+        path = f"{self.folder}/part-{uuid.uuid4().hex}"
+        self._write(shards.mapInArrow(run, TOLD), path)
+        self._commit([*((p, n) for p, n in self.parts if p not in paths), (path, level)])
+        if self.private:
+            for p in paths:
+                Folder(self.spark, p).remove("kind=run")
 
 
 def dedup(
@@ -442,13 +574,14 @@ def dedup(
     # Ranges of doc_id, the smallest first; null is in the last.
     number = sum(((F.col("doc_id") > b).cast("int") for b in bounds), F.lit(0))
     number = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(number)
-    blocks = [batches_of(docs.where(number == i)) for i in range(len(bounds) + 1)]
-    words = sum(b.agg(F.sum("words")).first()[0] or 0 for b in blocks)
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    blocks = Blocks(docs.withColumn("step", number), folder, "step")
+    words = blocks.words()
     shards = max(1, -(-words // shard_windows))
-    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", shards, key_bits(words), width)
+    index = Index(spark, folder, shards, key_bits(words), width, OWN_TIER, private=True)
     out = None
-    for i, b in enumerate(blocks):
-        part = index.dedup_blocks(b, with_text, append=i + 1 < len(blocks))
+    for i in range(len(bounds) + 1):
+        part = index.dedup_blocks(blocks.of(i), with_text)
         out = part if out is None else out.union(part)
     return out
 

@@ -70,6 +70,8 @@ def test_kept_text(spark):
 
 def test_squeeze_round_trip():
     r = np.random.default_rng(1)
+    far = np.sort(np.concatenate([np.arange(100, dtype=np.uint64), np.uint64(1 << 40) + np.arange(5, dtype=np.uint64)]))
+    assert (S._expand(S._squeeze(far)) == far).all() and len(S._squeeze(np.zeros(0, np.uint64))) == 5
     for bits in (20, 40, 62):
         key = np.unique(r.integers(0, 1 << bits, 1000, dtype=np.uint64))
         assert (S._expand(S._squeeze(key)) == key).all()
@@ -97,12 +99,98 @@ def test_index(spark, tmp_path, monkeypatch):
         if n == 1:
             index.compact()
             assert len(index.parts) == 1
-    once = spark.createDataFrame([(0, rows[0][1])], "doc_id long, text string")
-    before = S.Index(spark, folder).generation
-    assert S.Index(spark, folder).dedup(once, append=False).first().n_removed in (0, len((rows[0][1] or "").split()))
+    # A copy of what history has loses every word of its windows; a look that is not appended leaves no trace.
+    long = next(t for _, t in rows if t and len(t.split()) > 30)
+    once = spark.createDataFrame([(0, long), (1, "w " * 5), (2, " ".join(f"new{i}" for i in range(40)))], "doc_id long, text string")
+    index = S.Index(spark, folder)
+    before = index.generation
+    assert {x.doc_id: x.n_removed for x in index.dedup(once, append=False).collect()} == {0: len(long.split()), 1: 0, 2: 0}
     assert S.Index(spark, folder).generation == before
 
 
+def test_levels(spark, tmp_path):
+    """Runs of a level are merged as they come together; what is merged has every window once, in order."""
+    r, folder, seen = random.Random(5), f"{tmp_path}/levels", set()
+    index = S.Index(spark, folder, shards=2, bits=20, tier=2)
+    for n in range(5):
+        texts = [" ".join(r.choice("abcd") + r.choice("xy") for _ in range(40)) for _ in range(6)]
+        index.append(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+        seen |= {tuple(t.split()[i : i + 13]) for t in texts for i in range(28)}
+        assert sorted((n for _, n in index.parts), reverse=True) == [[0], [1], [1, 0], [2], [2, 0]][n]
+        entries = [(int(k), int(c)) for p, _ in index.parts for s in (0, 1) for ks, cs in S._segments(p, s) for k, c in zip(ks, cs)]
+        assert len(entries) == len(set(entries)) == len(seen)
+        for p, _ in index.parts:
+            for s in (0, 1):
+                keys = [int(k) for ks, _ in S._segments(p, s) for k in ks]
+                assert keys == sorted(keys)
+    other = S.Index(spark, folder)
+    index.append(spark.createDataFrame([(1, "a " * 20)], "doc_id long, text string"))
+    try:
+        other.append(spark.createDataFrame([(1, "b " * 20)], "doc_id long, text string"))
+        raise AssertionError("a second writer went on from an old manifest")
+    except RuntimeError as e:
+        assert "another writer" in str(e)
+
+
+def test_table_goes_through_its_index(spark, monkeypatch):
+    """Batches of a table are appended one after the other, merged on the way, and no block is moved after it is written."""
+    made = []
+
+    class Seen(S.Index):
+        def __init__(self, *a, **k):
+            super().__init__(*a, **k)
+            made.append(self)
+
+        def _merge(self, paths, level):
+            self.merged = getattr(self, "merged", 0) + 1
+            super()._merge(paths, level)
+
+    monkeypatch.setattr(S, "Index", Seen)
+    rows = corpus()
+    out = S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), shard_windows=500).drop("kept")
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows)
+    index = made[0]
+    assert S.BATCHES >= 2 and index.generation == S.BATCHES + index.merged and index.merged >= 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "data" in plan
+    for part in plan.split("Exchange")[1:]:
+        assert "data#" not in part.split("\n")[1], "blocks are shuffled"
+
+
+def test_merged_runs_and_known_entries(monkeypatch):
+    """Runs are merged and looked up segment by segment, equal fingerprints with unequal checks among them."""
+    monkeypatch.setattr(S, "SEGMENT", 7)
+    r = random.Random(9)
+    entries = sorted({(r.randint(0, 60), r.randint(0, 5)) for _ in range(150)})
+    own = [[e for e in entries if hash(e) % 3 == i] for i in range(3)] + [[]]
+    arrays = lambda es: (np.array([k for k, _ in es], np.uint64), np.array([c for _, c in es], np.uint32))
+    made = list(S.merged([S._cut(*arrays(es)) for es in own]))
+    assert [(int(k), int(c)) for ks, cs in made for k, c in zip(ks, cs)] == entries and all(len(k) <= 7 for k, _ in made)
+    asked = sorted({(r.randint(0, 60), r.randint(0, 5)) for _ in range(150)})
+    known = S.known_to(*arrays(asked), S._cut(*arrays(entries)))
+    assert known.tolist() == [a in set(entries) for a in asked] and 0 < known.sum() < len(asked)
+    assert list(S.merged([])) == [] and not S.known_to(*arrays([]), S._cut(*arrays(entries))).any()
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_polynomials_confuse(spark):
+    """The two words of 1,024 letters have equal polynomials modulo 2^64 for any odd factor; no word is shared here."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([f"w{k}" for k in range(12)] + [w])) for i, w in enumerate((one, other), 1)]
+    rows += [(3, rows[0][1]), (4, " ".join([one, other] * 10)), (5, " ".join([other, one] * 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.dedup(docs).drop("kept").collect()), key=str) == brute(rows)
+    _, first, second = S.word_hashes(f"{one} {other}".encode())
+    assert first[0] != first[1] and second[0] != second[1]
+
+
 def test_equal_fingerprints_remove_nothing(spark, monkeypatch):
     """With fingerprints of 4 bits most windows collide; their checks tell them apart."""
     monkeypatch.setattr(S, "key_bits", lambda words: 4)
