@@ -1,8 +1,10 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. A seed is an n-gram of a benchmark item's words; all
-count, however frequent, so that what is found in a document does not depend on the other documents. Each
-place where a seed of an item occurs in a document opens a window of twice the item's length on both sides, as
+Words are runs of letters and digits, lower-cased. A seed is an n-gram of a benchmark item's words. Rare seeds, which at most
+`rare` items have, lead to their items at once. A frequent seed leads only to those of its items of which the
+document holds a rare word as well: an alignment that counts leaves at most m - t of an item's m words unmatched (t is the
+least number of matches that reaches the threshold), so it matches one of the m - t + 1 rarest. This loses nothing, so what is found in
+a document depends neither on the other documents nor on what is rare. Each place where a seed of an item occurs in a document opens a window of twice the item's length on both sides, as
 no alignment that counts is longer; overlapping windows of the same item join. The item is aligned with
 each window by Smith-Waterman (match +2, mismatch -1, gap -1), and a document is contaminated by an item
 whose best score reaches `threshold` of the score of an exact copy.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, text_or_empty, without_ids
 
-N, SHORT, THRESHOLD = 3, 12, 0.5
+N, SHORT, THRESHOLD, RARE = 3, 12, 0.5, 64
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
 #: Words whose hashes, and bytes of windows whose alignments, a task remembers.
 REMEMBERED_WORDS, REMEMBERED = 100_000, 8_000_000
@@ -121,8 +123,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 class Seeds:
     """The n-grams of a block of items by their hashes, and which items have them."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, short: int = SHORT):
-        words = Words()
+    def __init__(self, items: list[tuple[int, str]], n: int, short: int = SHORT, threshold: float = THRESHOLD, rare: int = RARE):
+        words, self.rare = Words(), rare
         self.ids = [i for i, _ in items]
         self.words = [words.hashes(words_of(t)) for _, t in items]
         self.distinct = [np.unique(w) for w in self.words]
@@ -131,28 +133,69 @@ class Seeds:
             size = min(len(own), n if len(own) >= short else 2)
             if size:
                 by_size.setdefault(size, []).append((np.unique(grams(own, size)), k))
-        #: size -> (sorted hashes, where the owners of each begin, owners)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, parts in by_size.items():
-            key = np.concatenate([g for g, _ in parts])
-            owner = np.repeat([k for _, k in parts], [len(g) for g, _ in parts]).astype(np.int32)
-            order = np.argsort(key, kind="stable")
-            distinct, first = np.unique(key[order], return_index=True)
-            self.tables[size] = distinct, np.append(first, len(key)), owner[order]
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place) of every seed in a sequence of hashes."""
+        #: size -> hashes in order, where the owners of each begin, and the owners.
+        self.tables = {size: self._table(parts) for size, parts in by_size.items()}
+        frequent = [owner[np.repeat(np.diff(first) > rare, np.diff(first))] for _, first, owner in self.tables.values()]
+        #: The rarest words of the items that have frequent seeds, in the same form.
+        self.rarest = self._rarest(np.unique(np.concatenate(frequent)) if frequent else np.zeros(0, np.int32), threshold)
+
+    @staticmethod
+    def _table(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in parts)])
+        owner = np.repeat([k for _, k in parts], [len(g) for g, _ in parts]).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        distinct, first = np.unique(key[order], return_index=True)
+        return distinct, np.append(first, len(key)), owner[order]
+
+    def _rarest(self, items: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word, first, _ = self._table([(self.distinct[k], k) for k in items.tolist()])
+        having, parts = np.diff(first), []
+        for k in items.tolist():
+            own = self.words[k]
+            count = having[np.searchsorted(word, own)]
+            most = len(own) - int(np.ceil(threshold * len(own))) + 1
+            parts.append((np.unique(own[np.lexsort((own, count))[:most]]), k))
+        return self._table(parts)
+
+    @staticmethod
+    def _find(key: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in hashes that a sorted table has, where it has them)."""
+        if not len(key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(key, hashes), len(key) - 1)
+        hit = np.flatnonzero(key[at] == hashes)
+        return hit, at[hit]
+
+    @staticmethod
+    def _owners(first: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owners of the entries `at`, which entry each is of)."""
+        count = first[at + 1] - first[at]
+        of = np.repeat(np.arange(len(at)), count)
+        return owner[first[at][of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]], of
+
+    def places(self, hashes: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of the seeds in a sequence of hashes, by item; `present` are its distinct words in order."""
         items, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        some = None
         for size, (key, first, owner) in self.tables.items():
-            here = grams(hashes, size)
-            at = np.minimum(np.searchsorted(key, here), len(key) - 1)
-            hit = np.flatnonzero(key[at] == here)
-            low = first[at[hit]]
-            count = first[at[hit] + 1] - low
-            total = int(count.sum())
-            items.append(owner[np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)])
-            places.append(np.repeat(hit, count))
-        return np.concatenate(items), np.concatenate(places)
+            hit, at = self._find(key, grams(hashes, size))
+            rare = first[at + 1] - first[at] <= self.rare
+            found, of = self._owners(first, owner, at[rare])
+            items.append(found)
+            places.append(hit[rare][of])
+            often = at[~rare]
+            if len(often) and some is None:
+                key_, first_, owner_ = self.rarest
+                some = np.unique(self._owners(first_, owner_, self._find(key_, present)[1])[0])
+            for g in np.unique(often).tolist():
+                # The owners of a seed are in order.
+                mine = np.intersect1d(owner[first[g] : first[g + 1]], some, assume_unique=True)
+                here = hit[~rare][often == g]
+                items.append(np.repeat(mine, len(here)))
+                places.append(np.tile(here, len(mine)))
+        item, place = np.concatenate(items), np.concatenate(places)
+        order = np.argsort(item, kind="stable")
+        return item[order], place[order]
 
 
 def windows(places: list[int], reach: int, total: int) -> list[tuple[int, int]]:
@@ -204,21 +247,21 @@ def matches(aligner: Aligner, text: str, threshold: float) -> list[tuple]:
     """(item_id, score, start word, end word, item words) of the items found in a text."""
     seeds = aligner.seeds
     hashes = aligner.words.hashes(words_of(text))
-    items, places = seeds.places(hashes)
+    present = np.unique(hashes)
+    items, places = seeds.places(hashes, present)
+    head = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])) if len(items) else np.zeros(0, np.int64)
     out = []
-    for k in np.unique(items).tolist():
+    for k, low, high in zip(items[head].tolist(), head.tolist(), np.append(head, len(items))[1:].tolist()):
         m, own = len(seeds.words[k]), seeds.distinct[k]
-        coded = aligner.code(k, hashes)
         # Each word that the item has twice may match twice.
-        spare = m - len(own)
-        if len(np.unique(coded[coded >= 0])) + spare < threshold * m:
+        if len(seeds._find(present, own)[0]) + m - len(own) < threshold * m:
             continue
-        held = np.concatenate([[0], np.cumsum(coded >= 0)])
         best = (0, 0, 0)
-        for a, b in windows(places[items == k].tolist(), 2 * m, len(hashes)):
-            if held[b] - held[a] < threshold * m:
+        for a, b in windows(places[low:high].tolist(), 2 * m, len(hashes)):
+            coded = aligner.code(k, hashes[a:b])
+            if np.count_nonzero(coded >= 0) < threshold * m:
                 continue
-            score, s, e = aligner.score(k, coded[a:b], threshold)
+            score, s, e = aligner.score(k, coded, threshold)
             if score > best[0]:
                 best = (score, a + s, a + e)
         share = best[0] / (MATCH * m)
@@ -241,7 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     spark = prepare(docs.sparkSession)
     found = None
     for items in _blocks(benchmark):
-        seeds = Seeds(items, n)
+        seeds = Seeds(items, n, threshold=threshold)
         if not seeds.tables:
             continue
         shared = spark.sparkContext.broadcast(seeds)

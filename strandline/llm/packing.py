@@ -4,10 +4,15 @@ A document's tokens are its text's ids and a closing id. Documents longer than a
 full pieces and a last, possibly shorter one; nothing else is cut. Each piece goes where the sum of the
 squared numbers of open sequences per residual gap becomes smallest.
 
-Pieces are dealt evenly over tasks, each of which packs its own (state: one counter per gap). What a
-task leaves less than `full` filled is dealt again over a 16th of the tasks, and so on down to one task;
-a task leaves at most one such sequence per gap and round, so the rows of a round are bounded by tasks
-times capacity whatever the input's size. A final decreasing best-fit of those leftovers closes the rest.
+That is so until half of the sequences that the tokens need at least are open; from then on a new one is opened only
+for a piece that fits in none.
+
+Pieces are dealt evenly over tasks of at most `task_pieces` pieces, each of which packs its own, the largest first (state: one counter per
+gap). A sequence less than `full` filled may go round again, dealt anew over as many tasks as such pieces need, but only if one of all
+such pieces fits into its gap, or its own smallest piece into the largest of their gaps; else no round could change it. This is decided
+by two numbers over all of them. Rounds end with one task, or when a round has not settled a tenth of its pieces. So no task
+ever gets more than `task_pieces` pieces, whatever their sizes and number; with more than one task a few sequences more than
+the fewest may be made.
 
 Defined cases: null and empty texts are the closing id alone; repeated rows are packed each on its own;
 null doc_id is kept; the strings of the vocabulary's added tokens become these tokens, as its own encoder has
@@ -31,6 +36,8 @@ from .common import prepare, table, text_or_empty
 CAPACITY, CLOSING, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Pieces that one task packs in the first round, and the share of a sequence that counts as full.
 TASK_PIECES, FULL = 50_000, 0.995
+#: The share of the sequences needed at least up to which a new one may be opened though a piece fits in an open one.
+FREE = 0.5
 #: Words, and parts of words, whose ids a worker remembers; those it met first.
 REMEMBERED = 400_000
 
@@ -154,10 +161,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, pa
 
 
 class Packer:
-    """Online sum-of-squares packing."""
+    """Online sum-of-squares packing. Once `free` sequences are open, a new one is opened only for what fits in none."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, free: float = float("inf")):
+        self.capacity, self.free = capacity, free
         self.count = np.zeros(capacity + 1, np.int64)  # open sequences by gap; gaps 0 and capacity don't count
         self.open: dict[int, list[int]] = defaultdict(list)
         self.next = 0
@@ -173,7 +180,8 @@ class Packer:
         change[0] = 1 - 2 * count[size]  # closes a sequence
         change[count[size : self.capacity] == 0] = np.iinfo(np.int64).max
         best = int(change.argmin()) if room else 0
-        if room and change[best] <= 2 * count[room] + 1:
+        fits = room and change[best] < np.iinfo(np.int64).max
+        if fits and (change[best] <= 2 * count[room] + 1 or self.next >= self.free):
             gap = best + size
             sequence = self.open[gap].pop()
             count[gap] -= 1
@@ -186,37 +194,17 @@ class Packer:
         return sequence, self.capacity - gap
 
 
-def pack_sizes(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def pack_sizes(sizes: list[int], capacity: int, free: float = float("inf")) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece, the largest placed first."""
-    packer = Packer(capacity)
+    packer = Packer(capacity, free)
     sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     for i in np.argsort(-np.asarray(sizes), kind="stable").tolist():
         sequence[i], offset[i] = packer.place(sizes[i])
     return sequence, offset
 
 
-def best_fit(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Decreasing best fit, for what sum-of-squares packing leaves over."""
-    by_gap: dict[int, list[int]] = defaultdict(list)
-    filled = np.zeros(capacity + 1, bool)
-    sequence, offset, made = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
-    for i in np.argsort(-np.asarray(sizes), kind="stable").tolist():
-        fits = np.flatnonzero(filled[sizes[i] :])
-        gap = sizes[i] + int(fits[0]) if len(fits) else capacity
-        if len(fits):
-            sequence[i] = by_gap[gap].pop()
-            filled[gap] = bool(by_gap[gap])
-        else:
-            sequence[i], made = made, made + 1
-        offset[i] = capacity - gap
-        if gap > sizes[i]:
-            by_gap[gap - sizes[i]].append(int(sequence[i]))
-            filled[gap - sizes[i]] = True
-    return sequence, offset
-
-
-def _round(cut: DataFrame, tasks: int, capacity: int, full: float, number: int) -> DataFrame:
-    """Pack each task's pieces; `loose` marks those of sequences that are not full and go round again."""
+def _round(cut: DataFrame, tasks: int, capacity: int, number: int) -> DataFrame:
+    """Pack each task's pieces; `gap` is what their sequence has left, `least` its smallest piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -224,21 +212,17 @@ def _round(cut: DataFrame, tasks: int, capacity: int, full: float, number: int)
         whole = pa.Table.from_batches(list(batches))
         if not len(whole):
             return
-        sizes = whole.column("length").to_pylist()
-        packed = pack_sizes(sizes, capacity)
-        if tasks == 1:
-            # The last round may place the pieces either way; the fewer sequences count.
-            other = best_fit(sizes, capacity)
-            packed = min(packed, other, key=lambda x: x[0].max())
-        sequence, offset = packed
-        fill = np.bincount(sequence, weights=sizes)
-        loose = (fill[sequence] < full * capacity) & (tasks > 1)
+        sizes = np.array(whole.column("length").to_pylist(), np.int64)
+        sequence, offset = pack_sizes(sizes.tolist(), capacity, FREE * sizes.sum() / capacity)
+        gap = capacity - np.bincount(sequence, weights=sizes).astype(np.int64)
+        least = np.full(len(gap), capacity, np.int64)
+        np.minimum.at(least, sequence, sizes)
         first = (number << 56) | (TaskContext.get().partitionId() << 32)
-        columns = [*whole.columns[:5], pa.array(first + sequence), pa.array(offset), pa.array(loose)]
-        names = [*whole.column_names[:5], "sequence_id", "offset", "loose"]
+        columns = [*whole.columns[:5], *map(pa.array, (first + sequence, offset, gap[sequence], least[sequence]))]
+        names = [*whole.column_names[:5], "sequence_id", "offset", "gap", "least"]
         yield from pa.Table.from_arrays(columns, names).combine_chunks().to_batches(max_chunksize=10_000)
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, gap long, least long"
     return cut.repartition(tasks).mapInArrow(run, ddl).checkpoint()
 
 
@@ -246,16 +230,23 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECE
     """`pieces` with sequence_id and offset."""
     prepare(cut.sparkSession)
     cut = cut.checkpoint()
-    tasks = -(-cut.count() // task_pieces)
-    done, number = [], 0
-    while tasks >= 1:
-        packed = _round(cut, tasks, capacity, full, number)
-        done.append(packed.where("not loose").drop("loose"))
-        cut = packed.where("loose").drop("loose", "sequence_id", "offset")
-        tasks, number = (0 if tasks == 1 else -(-tasks // 16)), number + 1
+    left, done, number = cut.count(), [], 0
+    more = ("gap", "least", "sequence_id", "offset")
+    while left:
+        tasks = -(-left // task_pieces)
+        packed = _round(cut, tasks, capacity, number)
+        # What may still change: in one task nothing does.
+        loose = F.col("gap") > (1 - full) * capacity if tasks > 1 else F.lit(False)
+        edge = packed.where(loose).agg(F.min("least"), F.max("gap")).first()
+        loose = loose & ((F.col("gap") >= F.lit(edge[0])) | (F.col("least") <= F.lit(edge[1]))) if edge[0] is not None else F.lit(False)
+        before, left = left, packed.where(loose).count()
+        if left > 0.9 * before:
+            left, loose = 0, F.lit(False)
+        done.append(packed.where(~loose).drop("gap", "least"))
+        cut, number = packed.where(loose).drop(*more), number + 1
     out = done[0] if done else cut.selectExpr("*", "0L AS sequence_id", "0L AS offset")
-    for more in done[1:]:
-        out = out.union(more)
+    for rows in done[1:]:
+        out = out.union(rows)
     return out
 
 

@@ -20,9 +20,9 @@ of its component within the unit.
 `similar_documents`, which the pipeline uses, links documents whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. Fingerprints alone cannot tell this: at 0.8 some 10 of 64 bits differ. So
 its shards are keyed by bands of min-hashes (10 of 3, of which two texts share one at 0.8 in 99.9 %), the trees are
-followed within 20 bits, and what they give is checked with the shingle sets: whole up to 512 shingles, beyond
-them by the 512 smallest hashes, whose standard error at 0.8 is under 0.018. Pairs that are in one component
-already are not checked again, so a large group costs about one check a document.
+followed within 20 bits, and what they give is checked with the whole shingle sets, 32 bits of hash a shingle. Pairs that are
+in one component already are not checked again, so a large group costs about one check a document. Shards are dealt into chunks
+by the bytes of their sets as well, so that long texts need more tasks instead of more memory.
 
 Nodes of the graph are the smallest doc_ids of equal fingerprints, or of equal shingle sets, so a component's
 smallest node is its id. Defined cases: null text is empty; a text without words has fingerprint zero, which
@@ -47,10 +47,10 @@ from .common import components, prepare, text_bytes, union_labels, without_ids
 SHARD_ROWS = 4096
 #: Pairs of a probe and a node that are looked at together; bounds a task's memory.
 FRONTIER = 1 << 18
-#: Of `similar_documents`: shingle size, similarity, bands, min-hashes in each, radius, hashes kept of a set.
-SIZE, SIMILARITY, BANDS, BAND_ROWS, RADIUS, SKETCH = 5, 0.8, 10, 3, 20, 512
-#: Rows with sketches that a unit takes of a shard.
-SKETCH_ROWS = 1024
+#: Of `similar_documents`: shingle size, similarity, bands, min-hashes in each, radius.
+SIZE, SIMILARITY, BANDS, BAND_ROWS, RADIUS = 5, 0.8, 10, 3, 20
+#: Rows with sets that a unit takes of a shard, and bytes of their sets.
+SET_ROWS, SET_BYTES = 1024, 16 << 20
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def _forest_edges(radius: int, rows: int, checks: Callable[[pa.Table], Check] |
         for batch in batches:
             held.append(batch)
             n += len(batch)
-            if n < rows:
+            if n < rows and (not checks or sum(b.nbytes for b in held) < SET_BYTES):
                 continue
             whole = pa.Table.from_batches(held)
             unit = whole.column("unit").to_numpy()
@@ -206,12 +206,10 @@ def _forest_edges(radius: int, rows: int, checks: Callable[[pa.Table], Check] |
 def _edges(sharded: DataFrame, radius: int, shard_rows: int, checks=None) -> DataFrame:
     """Edges (a, b) between nodes from rows (shard, fp, node, ...): hot shards are dealt into pairs of chunks."""
     more = [c for c in sharded.columns if c != "shard"]
-    hot = (
-        sharded.groupBy("shard")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > shard_rows)
-        .select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("chunks"))
-    )
+    chunks = F.ceil(F.count("*") / shard_rows)
+    if checks:
+        chunks = F.greatest(chunks, F.ceil(F.sum(F.octet_length("hashes")) / SET_BYTES))
+    hot = sharded.groupBy("shard").agg(chunks.cast("int").alias("chunks")).where("chunks > 1")
     dealt = sharded.join(hot, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp", "node"), F.col("chunks")).cast("int")
     unit = dealt.select("shard", *more, mine.alias("mine"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
@@ -289,11 +287,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, blocks: int
 
 # -- similarity of shingle sets -----------------------------------------------------------------
 
-_SKETCHED = "doc_id long, fp long, key string, bands array<long>, n long, sketch binary"
+_SETS = "doc_id long, fp long, key string, bands array<long>, n long, hashes binary"
 
 
-def sketches(docs: DataFrame, size: int, bands: int, band_rows: int, kept: int) -> DataFrame:
-    """_SKETCHED: key is a digest of a text's shingle set, n its size, sketch the high halves of its smallest hashes."""
+def shingle_sets(docs: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
+    """_SETS: key is a digest of a text's shingle set, n its size, hashes the high halves of its hashes in order."""
     # Odd factors, each of which gives another order of the hashes.
     odd = (np.random.default_rng(7).integers(0, 1 << 63, bands * band_rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -310,31 +308,26 @@ def sketches(docs: DataFrame, size: int, bands: int, band_rows: int, kept: int)
                     if len(own):
                         least[i : i + 4] = (own * odd[i : i + 4, None]).min(axis=1)
                 keys = [xxhash.xxh64_intdigest(least[i : i + band_rows].tobytes(), i) for i in range(0, len(odd), band_rows)]
-                row = (
-                    majority(values), xxhash.xxh3_128_hexdigest(own.tobytes()), np.array(keys, np.uint64).view(np.int64),
-                    len(own), (own[:kept] >> np.uint64(32)).astype("<u4").tobytes(),
-                )
+                half = np.unique((own >> np.uint64(32)).astype("<u4"))
+                row = (majority(values), xxhash.xxh3_128_hexdigest(own.tobytes()), np.array(keys, np.uint64).view(np.int64), len(half), half.tobytes())
                 for column, value in zip(out, row):
                     column.append(value)
             fp = pa.array(np.array(out[0], np.uint64).view(np.int64))
             rest = [pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *rest], ["doc_id", "fp", "key", "bands", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *rest], ["doc_id", "fp", "key", "bands", "n", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, _SKETCHED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, _SETS)
 
 
-def jaccard(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, kept: int) -> float:
-    """Similarity of two sets, of which the smallest `kept` hashes are given: exact if that is all of them."""
-    both = np.intersect1d(a, b)
-    if n_a <= kept and n_b <= kept:
-        return len(both) / max(1, n_a + n_b - len(both))
-    least = np.union1d(a, b)[:kept]
-    return np.count_nonzero(both <= least[-1]) / len(least)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, given in order."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
-def _set_check(similarity: float, kept: int):
+def _set_check(similarity: float):
     def checks(part: pa.Table) -> Check:
-        sets = [np.frombuffer(x, "<u4") for x in part.column("sketch").to_pylist()]
+        sets = [np.frombuffer(x, "<u4") for x in part.column("hashes").to_pylist()]
         n = part.column("n").to_numpy()
 
         def check(probe: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -342,7 +335,7 @@ def _set_check(similarity: float, kept: int):
             linked = low >= similarity * high
             for i in np.flatnonzero(linked).tolist():
                 p, q = probe[i], node[i]
-                linked[i] = jaccard(sets[p], n[p], sets[q], n[q], kept) >= similarity
+                linked[i] = not n[p] or jaccard(sets[p], sets[q]) >= similarity
             return linked
 
         return check
@@ -353,7 +346,7 @@ def _set_check(similarity: float, kept: int):
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, key, component_id): component_id is the smallest doc_id reachable over links of similar texts."""
     prepare(docs.sparkSession)
-    each = sketches(docs, size, BANDS, BAND_ROWS, SKETCH).checkpoint()
+    each = shingle_sets(docs, size, BANDS, BAND_ROWS).checkpoint()
     distinct = each.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     # Equal sets have equal bands, so any row's will do.
     past = F.conv(F.substring("key", 1, 15), 16, 10).cast(_NODE)
@@ -361,10 +354,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int
     sharded = distinct.select("key", "fp", "node", F.explode("bands").alias("shard"))
     shared = sharded.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
     sharded = sharded.join(shared.select("shard"), "shard").checkpoint()
-    # Sketches move only for texts that share a band with another.
+    # Sets move only for texts that share a band with another.
     wanted = sharded.select("key").distinct()
-    sets = each.select("key", "n", "sketch").join(wanted, "key").dropDuplicates(["key"])
-    edges = _edges(sharded.join(sets, "key").drop("key"), radius, SKETCH_ROWS, _set_check(similarity, SKETCH))
+    sets = each.select("key", "n", "hashes").join(wanted, "key").dropDuplicates(["key"])
+    edges = _edges(sharded.join(sets, "key").drop("key"), radius, SET_ROWS, _set_check(similarity))
     return _classes(each.select("doc_id", "key"), distinct, edges, "key").select("doc_id", "key", "component_id")
 
 

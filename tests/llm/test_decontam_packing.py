@@ -119,6 +119,42 @@ def test_recall_of_edited_copies(spark):
         assert len({(d, i) in got for d in mine}) == 1
 
 
+def test_frequent_seeds_lose_nothing(monkeypatch):
+    """Whatever counts as rare, the same items are found with the same scores: in texts of items and their parts."""
+    r = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 8, 20])))) for i in range(300)]
+    texts = []
+    for _ in range(150):
+        own = r.choice(items)[1].split()
+        part = [w if r.random() > 0.2 else r.choice(vocabulary) for w in own]
+        texts.append(" ".join([r.choice(vocabulary) for _ in range(r.randint(0, 30))] + part + ["other"] * 5))
+    found = []
+    for rare in (0, 3, 64, 10**6):
+        aligner = D.Aligner(D.Seeds(items, D.N, rare=rare))
+        found.append([D.matches(aligner, t, D.THRESHOLD) for t in texts])
+    assert found[0] == found[1] == found[2] == found[3] and sum(map(len, found[0])) > 300
+
+
+def test_a_common_pair_of_many_items():
+    """50,000 short items share a pair that a long document says over and over; two of them are in it."""
+    import time
+
+    r = random.Random(32)
+    own = lambda i: [f"a{i}x{k}" for k in range(4)] + ["common", "pair"] + [f"b{i}x{k}" for k in range(4)]
+    items = [(i, " ".join(own(i))) for i in range(50_000)]
+    aligner = D.Aligner(D.Seeds(items, D.N))
+    text = []
+    for i in range(500):
+        text += ["common", "pair"] + [f"z{r.randint(0, 3000)}" for _ in range(18)]
+    text[300:300] = own(77)
+    text[4000:4000] = own(40_000)[2:9]
+    t = time.perf_counter()
+    got = D.matches(aligner, " ".join(text), D.THRESHOLD)
+    assert time.perf_counter() - t < 5
+    assert [(x[0], x[1]) for x in got] == [(77, 1.0), (40_000, 0.7)]
+
+
 ODD = ["ΑΣ ΣΑΣ. İstanbul", "it's I'LL can't. don't,x", "a\x1cb  c d　e", "x́ 한국어 12a3 ½ ǅ", "<|endoftext|> <|x|", "", "..,, |a| a| ||", "ﬀ ŉ ß ẞ", "a​b ﻿"]
 
 
@@ -164,6 +200,63 @@ def test_sum_of_squares():
             assert [o for o, _ in mine] == np.cumsum([0] + [s for _, s in mine])[:-1].tolist() and sum(s for _, s in mine) <= 20
 
 
+def best_fit(sizes, capacity):
+    """Sequences that decreasing best fit makes."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - s)
+    return len(gaps)
+
+
+def test_a_new_sequence_only_for_what_fits_nowhere():
+    """Beyond the free ones: among open sequences the rule is the same, and the packing is as good as best fit's."""
+    r = random.Random(6)
+    for free in (0, 5):
+        p, gaps = P.Packer(30, free), []
+        for _ in range(300):
+            size = r.randint(1, 20)
+            opened = p.next
+            p.place(size)
+            if p.next > opened >= free:
+                assert all(g < size for g in gaps)
+            gaps = [g for g in range(1, 30) for _ in range(p.count[g])]
+    sizes = [min(2048, max(1, int(r.lognormvariate(6.5, 0.9)))) for _ in range(3000)]
+    bound = -(-sum(sizes) // 2048)
+    made = int(P.pack_sizes(sizes, 2048, P.FREE * bound)[0].max()) + 1
+    assert made <= best_fit(sizes, 2048) + 1
+
+
+def test_fewest_sequences(spark):
+    """Over the whole table of documents, as few sequences as there can be."""
+    got = P.op6(spark, "/root/testdata/sf0.01")
+    n, total = got.select(P.F.count_distinct("sequence_id"), P.F.sum("length")).first()
+    assert n == -(-total // 2048)
+
+
+def test_no_task_gets_more_than_its_share(spark, monkeypatch):
+    """Pieces that nothing can be put beside, and pieces of all sizes: rounds of at most `task_pieces` a task."""
+    seen, round_ = [], P._round
+    monkeypatch.setattr(P, "_round", lambda cut, tasks, *a: (seen.append((cut.count(), tasks)), round_(cut, tasks, *a))[1])
+    r = random.Random(7)
+    kinds = {"alone": lambda: 1500, "wide": lambda: r.randint(1100, 2030), "mixed": lambda: min(2048, max(1, int(r.lognormvariate(6.8, 0.7))))}
+    for name, size in kinds.items():
+        for n in (2000, 8000):
+            seen.clear()
+            rows = [(i, 0, 0, size(), 0) for i in range(n)]
+            cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+            got = P.pack(cut, task_pieces=500).toPandas()
+            assert len(got) == n and got.doc_id.is_unique and got.groupby("sequence_id").length.sum().max() <= 2048
+            assert all(rows <= 500 * tasks for rows, tasks in seen), seen
+            made = got.sequence_id.nunique()
+            if name == "mixed":
+                assert made <= 1.02 * -(-got.length.sum() // 2048)
+            else:
+                assert made == n and len(seen) == 1
+
+
 def test_pack(spark):
     r = random.Random(5)
     rows = [(i, " ".join(words(r, r.choice([0, 3, 60, 300])))) for i in range(90)] + [(None, None), (5, "same"), (5, "same"), (99, "long " * 5000)]
@@ -175,7 +268,7 @@ def test_pack(spark):
         assert total.max() <= 2048
         g = got.sort_values(["sequence_id", "offset"])
         assert (g.groupby("sequence_id").length.cumsum() - g.length == g.offset).all()
-        fewest = int(P.best_fit(got.length.tolist(), 2048)[0].max()) + 1
+        fewest = best_fit(got.length.tolist(), 2048)
         assert len(total) <= fewest + 1
     e = P.Encoder(P.vocabulary_path())
     ids = np.array(e.whole.encode("long " * 5000, add_special_tokens=False).ids + [0], "<u4")
