@@ -1,19 +1,20 @@
 """Retrieval: windows joined with corpus lines by prefix, containment, sub-key and phrase, and the cascade.
 
-`queries` has (qid, letters, text); `corpus` has (work_id, line_idx, source, text, letters). Every strategy
+`queries` has (qid, letters, text); `corpus` is a DataFrame of lines (work_id, line_idx, source, text, letters), whose
+postings are then made in the plan, or a stored index (`sources.index.StoredIndex`) that has them. Every strategy
 gives (qid, work_id, line_idx, source, text, letters, pos): pos counts the hits kept for a query, in the
 order (work_id, line_idx).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from .keep import keep
 
 _LINE = ("work_id", "line_idx", "source", "text", "letters")
 
@@ -39,13 +40,20 @@ def _asked(postings: DataFrame, q: DataFrame) -> DataFrame:
     return postings.join(F.broadcast(keys), "k", "left_semi") if few else postings
 
 
-def prefix(queries: DataFrame, corpus: DataFrame, limit: int = C.PREFIX_LIMIT) -> DataFrame:
+def _stored(corpus) -> bool:
+    return not isinstance(corpus, DataFrame)
+
+
+def prefix(queries: DataFrame, corpus, limit: int = C.PREFIX_LIMIT) -> DataFrame:
     """The query's letters begin the line's: an equi-join on the shortest key, then the rest."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
         "qid", F.col("letters").alias("query"), F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")
     )
-    c = _line(corpus, F.left("letters", F.lit(C.MIN_LETTERS)).alias("k"))
-    return _top(c.join(q, "k").where(F.startswith("letters", "query")).select("qid", *_LINE), limit)
+    if _stored(corpus):
+        found = corpus.hits("heads", q.select("qid", "query", F.array("k").alias("keys")))
+    else:
+        found = _line(corpus, F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")).join(q, "k")
+    return _top(found.where(F.startswith("letters", "query")).select("qid", *_LINE), limit)
 
 
 def grams(text: Column, n: int) -> Column:
@@ -56,17 +64,19 @@ def grams(text: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def contains(queries: DataFrame, corpus: DataFrame, limit: int = C.CONTAINS_LIMIT) -> DataFrame:
-    """The query's letters occur in the line's: an equi-join of the query's first three letters with the
-    lines' postings of three letters, then the rest."""
-    q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
-        "qid", F.col("letters").alias("query"), F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")
-    )
-    c = _asked(_line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k")), q)
-    return _top(c.join(q, "k").where(F.contains("letters", "query")).select("qid", *_LINE), limit)
+def contains(queries: DataFrame, corpus, limit: int = C.CONTAINS_LIMIT) -> DataFrame:
+    """The query's letters occur in the line's: an equi-join of three letters of the query with the lines' postings of
+    three letters, then the rest. A stored index takes the query's rarest three letters, a plan the first."""
+    q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select("qid", F.col("letters").alias("query"))
+    if _stored(corpus):
+        found = corpus.hits("grams", q.withColumn("keys", grams(F.col("query"), C.MIN_LETTERS)))
+    else:
+        q = q.withColumn("k", F.left("query", F.lit(C.MIN_LETTERS)))
+        found = _asked(_line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k")), q).join(q, "k")
+    return _top(found.where(F.contains("letters", "query")).select("qid", *_LINE), limit)
 
 
-def subkey(queries: DataFrame, corpus: DataFrame, limit: int = C.SUBKEY_LIMIT) -> DataFrame:
+def subkey(queries: DataFrame, corpus, limit: int = C.SUBKEY_LIMIT) -> DataFrame:
     """Prefix joins of a query's first and last four letters; adds `part`."""
     parts = queries.where(F.char_length("letters") > C.SUBKEY).select(
         "qid",
@@ -92,17 +102,21 @@ def word_pairs(folded: Column) -> Column:
 
 
 def phrase(
-    queries: DataFrame, corpus: DataFrame, limit: int = C.PHRASE_LIMIT, start_mode: bool = False, script: T.Script = T.LATIN
+    queries: DataFrame, corpus, limit: int = C.PHRASE_LIMIT, start_mode: bool = False, script: T.Script = T.LATIN
 ) -> DataFrame:
     """Each phrase of the transcript occurs in the line as whole words; adds `part`, the phrase's number."""
     q = queries.select("qid", F.posexplode(T.phrases(F.col("text"), start_mode, script)).alias("part", "phrase"))
-    q = q.withColumn("k", F.substring_index("phrase", " ", 2))
-    folded = T.script_fold(F.col("text"), script).alias("_folded")
-    c = _line(corpus, folded).select(*_LINE, "_folded", F.explode(word_pairs(F.col("_folded"))).alias("k"))
-    c = _asked(c, q)
+    q = q.select(F.struct("qid", "part").alias("qid"), "phrase")
+    if _stored(corpus):
+        found = corpus.hits("pairs", q.withColumn("keys", word_pairs(F.col("phrase"))))
+        found = found.withColumn("_folded", T.script_fold(F.col("text"), script))
+    else:
+        q = q.withColumn("k", F.substring_index("phrase", " ", 2))
+        folded = T.script_fold(F.col("text"), script).alias("_folded")
+        c = _line(corpus, folded).select(*_LINE, "_folded", F.explode(word_pairs(F.col("_folded"))).alias("k"))
+        found = _asked(c, q).join(q, "k")
     inside = F.contains(F.concat(F.lit(" "), "_folded", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    hits = c.join(q, "k").where(inside)
-    hits = hits.select(F.struct("qid", "part").alias("qid"), *_LINE)
+    hits = found.where(inside).select("qid", *_LINE)
     return _top(hits, limit).select(F.col("qid.part").alias("part"), F.col("qid.qid").alias("qid"), *_LINE, "pos")
 
 
@@ -129,7 +143,7 @@ def _tagged(hits: DataFrame, ord_: Column, tag: str) -> DataFrame:
     return hits.select("qid", *_LINE, ord_.alias("ord"), "pos", F.lit(tag).alias("tag"))
 
 
-def cascade(queries: DataFrame, corpus: DataFrame, start_mode: bool = False, script: T.Script = T.LATIN) -> DataFrame:
+def cascade(queries: DataFrame, corpus, start_mode: bool = False, script: T.Script = T.LATIN) -> DataFrame:
     """All strategies with their conditions, merged.
 
     Containment runs for queries with fewer than three works so far (none, in start mode), sub-keys for fewer
@@ -140,10 +154,10 @@ def cascade(queries: DataFrame, corpus: DataFrame, start_mode: bool = False, scr
     q = queries
     if start_mode:
         q = q.withColumn("letters", F.left("letters", F.lit(C.START_LETTERS)))
-    first = _tagged(prefix(q, corpus), F.lit(0), "type0").persist(StorageLevel.MEMORY_AND_DISK)
+    first = keep(_tagged(prefix(q, corpus), F.lit(0), "type0"))
     n0 = first.groupBy("qid").agg(F.countDistinct("work_id").alias("n"))
     few = q.join(n0.where(F.col("n") >= (1 if start_mode else 3)).select("qid"), "qid", "left_anti")
-    second = _tagged(contains(few, corpus), F.lit(1), "type1").persist(StorageLevel.MEMORY_AND_DISK)
+    second = keep(_tagged(contains(few, corpus), F.lit(1), "type1"))
     n01 = first.union(second).groupBy("qid").agg(F.countDistinct("work_id").alias("n"))
     fewer = q.join(n01.where("n >= 2").select("qid"), "qid", "left_anti")
     third = subkey(fewer, corpus)

@@ -28,6 +28,16 @@ def slide(levels: DataFrame, blocks: int) -> DataFrame:
     return levels.select("session", "window_idx", F.round(rms, 6).alias("rms"), F.max(F.abs("level")).over(w).alias("peak"))
 
 
+def slide_by_time(
+    levels: DataFrame, length: str, step: str, offset: str, watermark: str | None = None, key: str = "session", at: str = "t", value: str = "level"
+) -> DataFrame:
+    """Sliding windows of event time (key, window_end, n, level). A stream needs a `watermark`: a window comes out, once, when it has
+    passed the window's end, and rows that are later than it are left out."""
+    rows = levels.withWatermark(at, watermark) if watermark else levels
+    w = rows.groupBy(key, F.window(at, length, step, offset).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("level"))
+    return w.select(key, F.col("w.end").alias("window_end"), "n", "level")
+
+
 def vocal_breaks(levels: DataFrame) -> DataFrame:
     """Length of the running silence, and the windows that end one and start the boost."""
     order = W.partitionBy("session").orderBy("window_idx")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,18 +14,29 @@ from ..operators import align as A
 from ..operators import rank as K
 from ..operators import retrieve as R
 from ..sources import views as V
+from ..sources.folders import shared_dir
+from ..sources.index import StoredIndex
 from .registry import query
 from .text_queries import LONG_WORDS, PHRASES
 
 
-def corpus(spark, sf_dir):
-    """All keyed lines, with the priority source marked: the corpus index.
+_stored: dict[tuple[str, str], StoredIndex] = {}
+
 
-    Every strategy reads the index, so it is kept (on disk where memory is short) and shared by all
-    queries of a session. A stored corpus is written once by `write_index`.
-    """
-    marked = F.when(F.col("source") == "src0", "G").otherwise(F.col("source"))
-    return V.lines(spark, sf_dir).withColumn("source", marked).persist(StorageLevel.MEMORY_AND_DISK)
+def index(spark, sf_dir):
+    """The stored index of all keyed lines, with the priority source marked; it is made once for a session and its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        made = StoredIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        marked = F.when(F.col("source") == "src0", "G").otherwise(F.col("source"))
+        made.add(V.lines(spark, sf_dir).withColumn("source", marked))
+        _stored[key] = made
+    return _stored[key]
+
+
+def corpus(spark, sf_dir):
+    """All lines of the index."""
+    return V.spread(index(spark, sf_dir).lines())
 
 
 def queries(spark, sf_dir):
@@ -60,12 +72,12 @@ _SPOKEN = "k AS (SELECT session * 1000 + window_idx AS qid, letters FROM replay_
 
 @query(V.with_(V.LINES, _CORPUS, V.REPLAY_W, _SPOKEN, _hits("h", "k", _PREFIX_ON, C.PREFIX_LIMIT)) + f"SELECT {_HIT} FROM h")
 def join_prefix(spark, sf_dir):
-    return R.prefix(spoken(spark, sf_dir), corpus(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
+    return R.prefix(spoken(spark, sf_dir), index(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
 
 
 @query(V.with_(V.LINES, _CORPUS, V.REPLAY_W, _SPOKEN, _hits("h", "k", _CONTAINS_ON, C.CONTAINS_LIMIT)) + f"SELECT {_HIT} FROM h")
 def join_contains(spark, sf_dir):
-    return R.contains(spoken(spark, sf_dir), corpus(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
+    return R.contains(spoken(spark, sf_dir), index(spark, sf_dir)).select("qid", "work_id", "line_idx", "pos")
 
 
 def _subkeys(source: str) -> str:
@@ -78,7 +90,7 @@ _SUBKEY_HITS = _hits("hs", "sub", _PREFIX_ON, C.SUBKEY_LIMIT, "q.qid, q.part", "
 
 @query(V.with_(*_BASE, _subkeys("q"), _SUBKEY_HITS) + f"SELECT CAST(part AS INTEGER) AS part, {_HIT} FROM hs")
 def join_subkey(spark, sf_dir):
-    return R.subkey(queries(spark, sf_dir), corpus(spark, sf_dir)).select("part", "qid", "work_id", "line_idx", "pos")
+    return R.subkey(queries(spark, sf_dir), index(spark, sf_dir)).select("part", "qid", "work_id", "line_idx", "pos")
 
 
 _PHRASES = f"""ph0 AS (SELECT qid, {PHRASES.format('ws')} AS ps FROM (SELECT qid, {LONG_WORDS.format('lower(text)')} AS ws FROM q)),
@@ -91,7 +103,7 @@ _PHRASE_HITS = _hits(
 
 @query(V.with_(*_BASE, _PHRASES, _PHRASE_HITS) + f"SELECT CAST(part AS INTEGER) AS part, {_HIT} FROM hp")
 def join_phrase(spark, sf_dir):
-    return R.phrase(queries(spark, sf_dir), corpus(spark, sf_dir)).select("part", "qid", "work_id", "line_idx", "pos")
+    return R.phrase(queries(spark, sf_dir), index(spark, sf_dir)).select("part", "qid", "work_id", "line_idx", "pos")
 
 
 _LINE = "qid, work_id, line_idx, source, text, letters"
@@ -116,7 +128,7 @@ _CASCADE = (
 
 @query(V.with_(*_CASCADE) + "SELECT qid, work_id, line_idx, array_to_string(tags, ',') AS tags, CAST(place AS INTEGER) AS place FROM merged")
 def retrieve_all(spark, sf_dir):
-    found = R.cascade(queries(spark, sf_dir), corpus(spark, sf_dir))
+    found = R.cascade(queries(spark, sf_dir), index(spark, sf_dir))
     return found.select("qid", "work_id", "line_idx", F.array_join("tags", ",").alias("tags"), "place")
 
 
@@ -130,7 +142,7 @@ def retrieve_all(spark, sf_dir):
 )
 def dedup_merge(spark, sf_dir):
     """Union of two strategies by work: first line, all tags."""
-    hits = R.subkey(queries(spark, sf_dir), corpus(spark, sf_dir))
+    hits = R.subkey(queries(spark, sf_dir), index(spark, sf_dir))
     tagged = hits.withColumns({"ord": F.col("part"), "tag": F.concat(F.lit("part"), "part")})
     return R.merge(tagged).select("qid", "work_id", "line_idx", F.array_join("tags", ",").alias("tags"), "place")
 
@@ -187,7 +199,7 @@ _SCORED = (
 
 def scored(spark, sf_dir):
     q = queries(spark, sf_dir)
-    return K.score_candidates(q, R.cascade(q, corpus(spark, sf_dir)))
+    return K.score_candidates(q, R.cascade(q, index(spark, sf_dir)))
 
 
 def _scored_query(columns: str) -> str:
@@ -208,7 +220,7 @@ def seq_ratio(spark, sf_dir):
 def lcs_ratio(spark, sf_dir):
     """The longest common run in array functions alone; long keys, where frequent letters don't count, by the matcher."""
     q = queries(spark, sf_dir)
-    pairs = R.cascade(q, corpus(spark, sf_dir)).join(q.select("qid", F.col("letters").alias("query")), "qid")
+    pairs = R.cascade(q, index(spark, sf_dir)).join(q.select("qid", F.col("letters").alias("query")), "qid")
     long = F.char_length("letters") >= FREQUENT_FROM
     run = longest_run(F.col("query"), F.col("letters")).cast("int").alias("run")
     compared = A.with_similarity(pairs.where(long), "query", "letters").select("qid", "work_id", "query", "run")

@@ -10,22 +10,24 @@ from ..functions import text as T
 from ..sources import views as V
 from .registry import query
 
-# Rows of mixed scripts for both engines; the test tables hold no Indic text.
-SCRIPTS = (
-    (1, "ਸੋਚੈ ਸੋਚਿ ਨ ਹੋਵਈ ਜੇ ਸੋਚੀ ਲਖ ਵਾਰ"),
-    (2, "सोचै सोचि न होवई"),
-    (3, "ਆਦਿ ਇਕ ਈਸ਼ ਏਕ ਐਸਾ ਉਸ ਊਚ ਔਰ"),
-    (4, "hello ਨਾਨਕ, world! नानक 123"),
-    (5, "plain latin words only"),
-    (6, ""),
-    (7, "।। ੧੨੩ ੴ ਸਤਿ"),
-    (8, "سلام ਸਤਿ"),
-)
-_VALUES = "scripts(id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SCRIPTS) + ")"
+#: Letters of three scripts for those of the alphabet: the test tables hold no Indic text, so documents are written in it.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+GURMUKHI = "ਆਬਚਦਏਫਗਹਇਜਕਲਮਨਔਪਖਰਸਤਉਵੳਅਯਝ"
+DEVANAGARI = "".join(chr(ord(c) - 0x100) for c in GURMUKHI)
+ARABIC = "".join(map(chr, range(0x0628, 0x0628 + 18))) + "فقكلمنهو"
+#: By doc_id modulo 5: which letters become which; the others stay. The third mixes two scripts, the last keeps its own.
+WRITTEN = ((LATIN, GURMUKHI), (LATIN, DEVANAGARI), (LATIN[:13], GURMUKHI[:13]), (LATIN, ARABIC))
+
+_WRITTEN = " ".join(f"WHEN {i} THEN translate(lower(text), '{a}', '{b}')" for i, (a, b) in enumerate(WRITTEN))
+_SCRIPTS = f"scripts AS (SELECT doc_id AS id, CASE doc_id % 5 {_WRITTEN} ELSE text END AS text FROM documents)"
 
 
-def scripts(spark):
-    return spark.createDataFrame(list(SCRIPTS), "id long, text string")
+def scripts(spark, sf_dir):
+    """(id, text): documents written in several scripts."""
+    text, kind = F.col("text"), F.col("doc_id") % 5
+    for i, (a, b) in enumerate(WRITTEN):
+        text = F.when(kind == i, F.translate(F.lower("text"), a, b)).otherwise(text)
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
 
 
 def _sql_translate(column: str, pair: tuple[str, str]) -> str:
@@ -42,24 +44,24 @@ def first_letters(spark, sf_dir):
 
 
 @query(
-    V.with_(_VALUES)
+    V.with_(_SCRIPTS)
     + f"""SELECT CAST(id AS BIGINT) AS id, array_to_string(list_filter(list_transform(string_split_regex({_FOLDED}, '\\s+'),
     lambda w: {_sql_translate("regexp_extract(w, '[" + T.INDIC.letter + "]')", T.INDIC.canon)}), lambda x: x <> ''), '') AS first_letters
     FROM scripts"""
 )
 def first_letters_indic(spark, sf_dir):
-    return scripts(spark).select("id", T.first_letters(F.col("text"), T.INDIC).alias("first_letters"))
+    return scripts(spark, sf_dir).select("id", T.first_letters(F.col("text"), T.INDIC).alias("first_letters"))
 
 
 @query(
-    V.with_(_VALUES)
+    V.with_(_SCRIPTS)
     + f"""SELECT CAST(id AS BIGINT) AS id, lower(translate(array_to_string(list_filter(list_transform(string_split_regex({_FOLDED}, '\\s+'),
     lambda w: {_sql_translate("regexp_extract(w, '[" + T.INDIC.letter + "]')", T.INDIC.canon)}), lambda x: x <> ''), ''), '{T.ROMAN[0]}', '{T.ROMAN[1]}')) AS roman
     FROM scripts"""
 )
 def roman_letters(spark, sf_dir):
     """Keys as searches by romanised first letters have them."""
-    return scripts(spark).select("id", T.roman_letters(T.first_letters(F.col("text"), T.INDIC)).alias("roman"))
+    return scripts(spark, sf_dir).select("id", T.roman_letters(T.first_letters(F.col("text"), T.INDIC)).alias("roman"))
 
 
 @query(
@@ -74,16 +76,16 @@ def first_letters_corpus(spark, sf_dir):
 
 
 @query(
-    V.with_(_VALUES)
+    V.with_(_SCRIPTS)
     + f"""SELECT CAST(id AS BIGINT) AS id,
     trim(regexp_replace({_FOLDED}, '[^{T.INDIC.word}]+', ' ', 'g')) AS folded FROM scripts"""
 )
 def script_fold(spark, sf_dir):
-    return scripts(spark).select("id", T.script_fold(F.col("text")).alias("folded"))
+    return scripts(spark, sf_dir).select("id", T.script_fold(F.col("text")).alias("folded"))
 
 
 @query(
-    V.with_(_VALUES)
+    V.with_(_SCRIPTS)
     + """, decided AS (SELECT *, regexp_extract(text, '[਀-੿ऀ-ॿ؀-ۿA-Za-z]') AS c FROM scripts)
     SELECT CAST(id AS BIGINT) AS id, regexp_matches(text, '[਀-੿]') AS gurmukhi, regexp_matches(text, '[ऀ-ॿ]') AS devanagari,
     CASE WHEN c = '' THEN 'unknown' WHEN regexp_matches(c, '[਀-੿]') THEN 'gurmukhi'
@@ -92,7 +94,7 @@ def script_fold(spark, sf_dir):
 )
 def script_detect(spark, sf_dir):
     text = F.col("text")
-    return scripts(spark).select(
+    return scripts(spark, sf_dir).select(
         "id",
         T.has_gurmukhi(text).alias("gurmukhi"),
         T.has_devanagari(text).alias("devanagari"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -9,6 +10,7 @@ from ..functions import score as S
 from ..functions import signal as G
 from ..operators import windows as O
 from ..sources import views as V
+from ..streaming import chunks as K
 from .registry import query
 
 _LEVEL = V.with_(V.LEVEL_W)
@@ -28,6 +30,31 @@ def tumble_count(spark, sf_dir):
     return O.tumble(V.level_w(spark, sf_dir), C.BLOCKS_PER_STEP)
 
 
+def blocks_w(spark, sf_dir):
+    """Embeddings as blocks of samples: a session for each label, its blocks in the order of vec_id."""
+    order = W.partitionBy("label").orderBy("vec_id")
+    e = V.table(spark, sf_dir, "embeddings").withColumn("block_idx", F.row_number().over(order) - 1)
+    return e.select(F.col("label").alias("session"), "block_idx", F.col("embedding").alias("samples"))
+
+
+_SAMPLES = 64
+
+
+@query(
+    f"""WITH b AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings),
+    c AS (SELECT CAST(label AS BIGINT) AS session, i // {C.BLOCKS_PER_STEP} AS chunk_idx, count(*) AS n, min(i) AS first_block,
+      flatten(list(embedding ORDER BY i)) AS x FROM b GROUP BY ALL HAVING count(*) = {C.BLOCKS_PER_STEP})
+    SELECT session, chunk_idx, CAST(n AS INTEGER) AS n_blocks, first_block, round(sqrt(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE) * v)) / len(x)), 6) AS rms,
+      list_max(list_transform(x, lambda v: abs(v))) AS peak FROM c"""
+)
+def block_chunks(spark, sf_dir):
+    """The chunks that a live session makes of its blocks, and their levels."""
+    made = K.chunks(blocks_w(spark, sf_dir), C.BLOCKS_PER_STEP * _SAMPLES, 0)
+    x = F.col("samples")
+    rms = F.round(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v) / F.size(x)), 6)
+    return made.select("session", "chunk_idx", "n_blocks", "first_block", rms.alias("rms"), F.array_max(F.transform(x, F.abs)).alias("peak"))
+
+
 @query(
     _LEVEL
     + f"""SELECT session, window_idx, round(sqrt(sum(level * level) OVER w / {C.BLOCKS_PER_WINDOW}), 6) AS rms,
@@ -47,11 +74,8 @@ def slide_rows(spark, sf_dir):
 )
 def slide_time(spark, sf_dir):
     """Ten hours every three, whose ends fall on the multiples of three hours."""
-    e = V.table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    w = e.groupBy(F.col("user_id").alias("session"), F.window("t", "10 hours", "3 hours", "2 hours").alias("w"))
-    return w.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("level")).select(
-        "session", F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "level"
-    )
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("level"))
+    return O.slide_by_time(e, "10 hours", "3 hours", "2 hours").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
 @query(

@@ -68,7 +68,7 @@ COMMAND_SCHEMA = "type string, shabad_id bigint, direction string, controller_pi
 
 
 def parse_commands(messages: DataFrame, column: str = "message") -> DataFrame:
-    """Command rows (command, arg) of JSON messages; unknown types are dropped."""
+    """Rows with (command, arg) of JSON messages, their other columns kept; messages of unknown types, or that do not parse, are dropped."""
     m = messages.withColumn("m", F.from_json(column, COMMAND_SCHEMA)).where(F.col("m.type").isin(*COMMANDS))
     arg = F.coalesce(F.col("m.shabad_id").cast("string"), "m.direction", "m.controller_pin", "m.mode")
     return m.select("*", F.col("m.type").alias("command"), arg.alias("arg")).drop("m")

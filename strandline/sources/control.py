@@ -101,8 +101,8 @@ class Controller:
         return self._show(work, 0)
 
     def navigate(self, direction: str = "next") -> bool:
-        if self.work is None:
-            return False
+        if self.work is None or not self.line_ids(self.work):
+            return False  # without lines there is nowhere to go
         return self._show(self.work, self.at - 1 if direction == "prev" else self.at + 1)
 
 
