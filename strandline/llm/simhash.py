@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, prepare, text_bytes, union_labels, without_ids
+from .substring import _expand, _squeeze
 
 SHARD_ROWS = 4096
 #: Pairs of a probe and a node that are looked at together; bounds a task's memory.
@@ -291,7 +292,8 @@ _SETS = "doc_id long, fp long, key string, bands array<long>, n long, hashes bin
 
 
 def shingle_sets(docs: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
-    """_SETS: key is a digest of a text's shingle set, n its size, hashes the high halves of its hashes in order."""
+    """_SETS: key is a digest of a text's shingle set, n its size, hashes the high halves of its hashes in order, as
+    differences."""
     # Odd factors, each of which gives another order of the hashes.
     odd = (np.random.default_rng(7).integers(0, 1 << 63, bands * band_rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -309,7 +311,7 @@ def shingle_sets(docs: DataFrame, size: int, bands: int, band_rows: int) -> Data
                         least[i : i + 4] = (own * odd[i : i + 4, None]).min(axis=1)
                 keys = [xxhash.xxh64_intdigest(least[i : i + band_rows].tobytes(), i) for i in range(0, len(odd), band_rows)]
                 half = np.unique((own >> np.uint64(32)).astype("<u4"))
-                row = (majority(values), xxhash.xxh3_128_hexdigest(own.tobytes()), np.array(keys, np.uint64).view(np.int64), len(half), half.tobytes())
+                row = (majority(values), xxhash.xxh3_128_hexdigest(own.tobytes()), np.array(keys, np.uint64).view(np.int64), len(half), _squeeze(half.astype(np.uint64)))
                 for column, value in zip(out, row):
                     column.append(value)
             fp = pa.array(np.array(out[0], np.uint64).view(np.int64))
@@ -327,7 +329,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _set_check(similarity: float):
     def checks(part: pa.Table) -> Check:
-        sets = [np.frombuffer(x, "<u4") for x in part.column("hashes").to_pylist()]
+        sets = [_expand(x).astype("<u4") for x in part.column("hashes").to_pylist()]
         n = part.column("n").to_numpy()
 
         def check(probe: np.ndarray, node: np.ndarray) -> np.ndarray:
