@@ -173,8 +173,8 @@ class Seeds:
         of = np.repeat(np.arange(len(at)), count)
         return owner[first[at][of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]], of
 
-    def places(self, hashes: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place) of the seeds in a sequence of hashes, by item; `present` are its distinct words in order."""
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of the seeds in a sequence of hashes, by item."""
         items, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         some = None
         for size, (key, first, owner) in self.tables.items():
@@ -186,7 +186,7 @@ class Seeds:
             often = at[~rare]
             if len(often) and some is None:
                 key_, first_, owner_ = self.rarest
-                some = np.unique(self._owners(first_, owner_, self._find(key_, present)[1])[0])
+                some = np.unique(self._owners(first_, owner_, self._find(key_, np.unique(hashes))[1])[0])
             for g in np.unique(often).tolist():
                 # The owners of a seed are in order.
                 mine = np.intersect1d(owner[first[g] : first[g + 1]], some, assume_unique=True)
@@ -247,10 +247,11 @@ def matches(aligner: Aligner, text: str, threshold: float) -> list[tuple]:
     """(item_id, score, start word, end word, item words) of the items found in a text."""
     seeds = aligner.seeds
     hashes = aligner.words.hashes(words_of(text))
-    present = np.unique(hashes)
-    items, places = seeds.places(hashes, present)
-    head = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])) if len(items) else np.zeros(0, np.int64)
-    out = []
+    items, places = seeds.places(hashes)
+    if not len(items):
+        return []
+    present, out = np.unique(hashes), []
+    head = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
     for k, low, high in zip(items[head].tolist(), head.tolist(), np.append(head, len(items))[1:].tolist()):
         m, own = len(seeds.words[k]), seeds.distinct[k]
         # Each word that the item has twice may match twice.
