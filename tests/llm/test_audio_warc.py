@@ -125,3 +125,43 @@ def test_archive(spark, tmp_path, monkeypatch):
     assert manifest.count() == len(rows) and {x.records for x in manifest.collect()} == {1}
     assert sorted(map(str, K.read(manifest).collect())) == sorted(map(str, back))
     assert base64.b32decode(K.b32(b"x")[5:]).hex() == hashlib.sha1(b"x").hexdigest()
+
+
+def plain_features(x):
+    """Length, peak, mean square, sign changes, mean square of the differences, mean squares of the quarters; by loops."""
+    mean = lambda v: sum(a * a for a in v) // max(1, len(v))
+    sizes = [len(x) // 4 + (i < len(x) % 4) for i in range(4)]
+    quarters = [x[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(4)]
+    steps = [b - a for a, b in zip(x, x[1:])]
+    changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return ":".join(map(str, [len(x), max(map(abs, x)), mean(x), changes, mean(steps), *map(mean, quarters)]))
+
+
+def plain_mulaw(c):
+    c = ~c & 255
+    size = (((c & 15) * 2 + 33) << (c >> 4 & 7)) * 4 - 132
+    return -size if c & 128 else size
+
+
+def plain_alaw(c):
+    c ^= 0x55
+    e, m = c >> 4 & 7, c & 15
+    size = (2 * m + 1) * 8 if e == 0 else (2 * m + 33) * 8 << (e - 1)
+    return size if c & 128 else -size
+
+
+def test_features_like_plain_loops(spark, tmp_path):
+    """The whole query over a small table: payloads, digests and the features of all three codecs by loops over samples."""
+    texts = [(1, "hello world, this is a text " * 9), (2, None), (3, "é😀"), (None, "x" * 64), (5, "".join(map(chr, range(1, 500))))]
+    spark.createDataFrame(texts, "doc_id long, text string").withColumn("feature", A.F.lit(0)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in A.op3(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        data = (text or "").encode()
+        payload = data + b"\0" * (64 * max(1, -(-len(data) // 64)) - len(data))
+        u = [plain_mulaw(c) for c in payload]
+        doubled = [v for a, b in zip(u, [*u[1:], u[-1]]) for v in (a, (a + b) >> 1)]
+        want = "|".join(map(plain_features, (doubled, [plain_alaw(c) for c in payload], slow_ima(payload, 64))))
+        x = got[doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
+        assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.feature == want

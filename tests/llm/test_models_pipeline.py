@@ -190,6 +190,32 @@ def test_every_informative_word_counts(spark):
     assert sum(w.startswith("bad") and v > 0 for w, v in model.weights.items()) >= 600
 
 
+def test_scored_rows_by_definition(spark, monkeypatch):
+    """Every column of every row, from a given model, by the formulas of a cumulative link."""
+    import math
+    import re
+
+    weights, theta = {"foul": 1.5, "mean*": 0.7, "kind": -2.0, "ß": 0.4}, np.array([0.3, 1.0, 2.5])
+    monkeypatch.setattr(T, "train", lambda *a, **k: T.Model(weights, theta))
+    r = random.Random(3)
+    words = ["foul", "FOUL,", "meanest", "meaning!", "mean", "kind", "ß", "x", "unkind", "foul_kind"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 9)))) for i in range(300)] + [(None, None), (1, "foul"), (1, "foul")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grade", T.F.lit("clash"))
+    got = [tuple(x) for x in T.severity(docs, None).collect()]
+    want = []
+    for doc_id, text in rows:
+        own = set(re.findall(r"[^\W_]+", (text or "").lower()))
+        own |= {w[:5] + "*" for w in own if len(w) > 5}
+        x = sum(weights.get(w, 0.0) for w in own)
+        p = [1.0] + [1 / (1 + math.exp(t - x)) for t in theta] + [0.0]
+        each = [a - b for a, b in zip(p, p[1:])]
+        want.append((doc_id, sum(p[1:-1]), each.index(max(each)), p[1], int(p[1] >= T.TOXIC_AT)))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=str), sorted(want, key=str)):
+        assert (g[0], g[2], g[4]) == (w[0], w[2], w[4]) and abs(g[1] - w[1]) < 1e-12 and abs(g[3] - w[3]) < 1e-12
+    assert {g[2] for g in got} >= {0, 1, 3} and {g[4] for g in got} == {0, 1}
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     docs, labels, bench = make(2, 300)

@@ -47,6 +47,17 @@ def test_empty(spark):
     assert found.count() == 0 and ledger.count() == 0
 
 
+def test_no_python_in_the_scan(spark, tmp_path):
+    """The plans as they run: of the scan itself, with and without a ledger, and of what joins findings to paths."""
+    docs = spark.createDataFrame([(1, "token=abcdefghij"), (2, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    versions = S.history(spark.read.parquet(f"{tmp_path}/docs"))
+    ledger = S.scan(versions)
+    for df in (versions, ledger, S.scan(versions, ledger), S.findings(versions, ledger)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" in plan and not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD")), plan
+
+
 def test_no_python_on_the_main_path(spark):
     found, _ = S.update(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     plan = found._jdf.queryExecution().executedPlan().toString()
