@@ -8,9 +8,14 @@ order (work_id, line_idx).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import config as C
 from ..functions import text as T
@@ -44,6 +49,44 @@ def _stored(corpus) -> bool:
     return not isinstance(corpus, DataFrame)
 
 
+#: Patterns up to this number and size go through the lines as one automaton; more meet them by postings.
+SCANNED, SCANNED_CHARS = 2_000, 200_000
+
+
+def _patterns(q: DataFrame, column: str) -> list[str] | None:
+    """The distinct values of a column, if they are few and short enough for one automaton."""
+    found = [r[0] for r in q.select(column).distinct().limit(SCANNED + 1).collect()]
+    return found if len(found) <= SCANNED and sum(map(len, found)) <= SCANNED_CHARS else None
+
+
+def scan(lines: DataFrame, text: Column, patterns: list[str]) -> DataFrame:
+    """(the lines' columns, `pattern`) of every pattern that occurs in a line's text: one pass over the lines by an Aho-Corasick
+    automaton of all patterns, which each task makes once."""
+    names = lines.columns
+    schema = StructType([*lines.schema.fields, StructField("pattern", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in patterns:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, text_ in enumerate(batch.column(len(names)).to_pylist()):
+                own = {p for _, p in automaton.iter(text_)} if text_ else ()
+                rows += [i] * len(own)
+                found += own
+            kept = batch.select(names).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string())], schema=arrow)
+
+    if not patterns:
+        return lines.where("false").withColumn("pattern", F.lit(None).cast("string"))
+    return lines.select(*names, text.alias("_scanned")).mapInArrow(run, schema)
+
+
 def prefix(queries: DataFrame, corpus, limit: int = C.PREFIX_LIMIT) -> DataFrame:
     """The query's letters begin the line's: an equi-join on the shortest key, then the rest."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
@@ -65,11 +108,13 @@ def grams(text: Column, n: int) -> Column:
 
 
 def contains(queries: DataFrame, corpus, limit: int = C.CONTAINS_LIMIT) -> DataFrame:
-    """The query's letters occur in the line's: an equi-join of three letters of the query with the lines' postings of
-    three letters, then the rest. A stored index takes the query's rarest three letters, a plan the first."""
+    """The query's letters occur in the line's. A stored index looks up the query's rarest three letters. Over lines alone a few
+    queries go through them as one automaton; more are an equi-join of their first three letters with the lines' postings."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select("qid", F.col("letters").alias("query"))
     if _stored(corpus):
         found = corpus.hits("grams", q.withColumn("keys", grams(F.col("query"), C.MIN_LETTERS)))
+    elif (patterns := _patterns(q, "query")) is not None:
+        found = scan(_line(corpus), F.col("letters"), patterns).join(q, F.col("pattern") == F.col("query"))
     else:
         q = q.withColumn("k", F.left("query", F.lit(C.MIN_LETTERS)))
         found = _asked(_line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k")), q).join(q, "k")
@@ -110,6 +155,10 @@ def phrase(
     if _stored(corpus):
         found = corpus.hits("pairs", q.withColumn("keys", word_pairs(F.col("phrase"))))
         found = found.withColumn("_folded", T.script_fold(F.col("text"), script))
+    elif (patterns := _patterns(q, "phrase")) is not None:
+        padded = F.concat(F.lit(" "), T.script_fold(F.col("text"), script), F.lit(" "))
+        found = scan(_line(corpus), padded, [f" {p} " for p in patterns])
+        found = found.join(q, F.col("pattern") == F.concat(F.lit(" "), "phrase", F.lit(" "))).withColumn("_folded", F.col("phrase"))
     else:
         q = q.withColumn("k", F.substring_index("phrase", " ", 2))
         folded = T.script_fold(F.col("text"), script).alias("_folded")

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..sources import views as V
 from .registry import query
 
+RANDOM_SEED = 7
 #: Letters of three scripts for those of the alphabet: the test tables hold no Indic text, so documents are written in it.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 GURMUKHI = "ਆਬਚਦਏਫਗਹਇਜਕਲਮਨਔਪਖਰਸਤਉਵੳਅਯਝ"
@@ -234,6 +235,19 @@ def work_lines(spark, sf_dir):
     return lines.select("work_id", "line_idx", "line_id", "text", "letters")
 
 
+@query(
+    V.with_(V.LINES)
+    + f"""SELECT work_id, line_idx, line_id, text, letters FROM lines
+    WHERE work_id = (SELECT work_id FROM lines GROUP BY work_id ORDER BY md5('{RANDOM_SEED}:' || work_id), work_id LIMIT 1)"""
+)
+def random_work(spark, sf_dir):
+    """The lines of a work drawn by a seed: the smallest of the seed's digests, so every work is as likely."""
+    lines = V.lines(spark, sf_dir)
+    drawn = F.md5(F.concat(F.lit(f"{RANDOM_SEED}:"), F.col("work_id").cast("string")).cast("binary"))
+    one = lines.select("work_id").distinct().orderBy(drawn, "work_id").limit(1)
+    return lines.join(F.broadcast(one), "work_id").select("work_id", "line_idx", "line_id", "text", "letters")
+
+
 @query(
     V.with_(V.LINES)
     + """SELECT doc_id AS work_id, coalesce(first_id, 1) AS first_id, coalesce(n, 0) AS n_lines, coalesce(ids, '') AS line_ids

@@ -37,9 +37,9 @@ from .folders import Folder
 LINE = "work_id long, line_idx int, line_id long, source string, text string, letters string"
 POSTING = "k string, work_id long, line_idx int, b int"
 KINDS = ("heads", "grams", "pairs")
-#: Keys or works up to this number are filters of a scan, and so many places found are held; keys up to the last number, at most some 30 MB,
-#: are broadcast.
-FEW, PLACES, BROADCAST_KEYS = 1_000, 10_000, 1_000_000
+#: Works up to this number are a filter of a scan; so many keys of queries, or places found, are held; keys up to the last number, at most
+#: some 30 MB, are broadcast.
+FEW, HELD, BROADCAST_KEYS = 1_000, 10_000, 1_000_000
 #: Values of one pushed-down list; longer lists are pushed as a range. So many lists at most, as each is evaluated for each row.
 _LIST, _LISTS = 10, 5
 
@@ -181,20 +181,21 @@ class StoredIndex:
     def hits(self, kind: str, queries: DataFrame) -> DataFrame:
         """(the columns of `queries`, the line's): lines with the rarest of each query's keys, of queries (qid, keys, ...)."""
         asked = queries.select("qid", F.explode(F.array_distinct("keys")).alias("k"))
-        rows = asked.limit(FEW + 1).collect()
-        if len(rows) <= FEW:
-            places = self._few_places(kind, [tuple(r) for r in rows], queries.schema["qid"])
+        rows = asked.limit(HELD + 1).collect()
+        if len(rows) <= HELD:
+            places, works = self._few_places(kind, [tuple(r) for r in rows], queries.schema["qid"])
         else:
             counted = self._of(self._counts(kind), asked).groupBy("k").agg(F.sum("n").alias("n"))
             by = asked.join(counted, "k", "left").groupBy("qid")
             rare = by.agg(F.min_by("k", F.struct("n", "k")).alias("k"), F.count_if(F.col("n").isNull()).alias("unknown"))
             rare = rare.where("unknown = 0").select("qid", "k")
-            places = self._of(self.postings(kind), rare).join(rare, "k").select("qid", "work_id", "line_idx")
-        found = self.lines_of(places).join(places, ["work_id", "line_idx"])
+            places, works = self._of(self.postings(kind), rare).join(rare, "k").select("qid", "work_id", "line_idx"), None
+        lines = self.lines_of(places) if works is None else self.lines().where(any_of("work_id", works))
+        found = lines.join(places, ["work_id", "line_idx"])
         return found.join(queries.drop("keys"), "qid")
 
-    def _few_places(self, kind: str, asked: list[tuple], qid: StructField) -> DataFrame:
-        """(qid, work_id, line_idx) of a few keys (qid, k)."""
+    def _few_places(self, kind: str, asked: list[tuple], qid: StructField) -> tuple[DataFrame, list[int] | None]:
+        """(qid, work_id, line_idx) of a few keys (qid, k), and the works, if these are few."""
         counts = self._with(self._counts(kind), sorted({k for _, k in asked})).groupBy("k").agg(F.sum("n")).collect()
         n, keys = dict(map(tuple, counts)), {}
         for q, k in asked:
@@ -205,7 +206,10 @@ class StoredIndex:
             having.setdefault(k, []).append(q)
         postings = self._with(self.postings(kind), sorted(having)).select("k", "work_id", "line_idx")
         schema = StructType([qid, StructField("k", StringType())])
-        if sum(n[k] * len(qs) for k, qs in having.items()) > PLACES:
-            return postings.join(self.spark.createDataFrame(list(rare.items()), schema), "k").select("qid", "work_id", "line_idx")
+        if sum(n[k] * len(qs) for k, qs in having.items()) > HELD:
+            asked_ = self.spark.createDataFrame(list(rare.items()), schema)
+            return postings.join(asked_, "k").select("qid", "work_id", "line_idx"), None
         schema = StructType([qid, StructField("work_id", LongType()), StructField("line_idx", IntegerType())])
-        return self.spark.createDataFrame([(q, w, i) for k, w, i in postings.collect() for q in having[k]], schema)
+        found = [(q, w, i) for k, w, i in postings.collect() for q in having[k]]
+        works = sorted({w for _, w, _ in found})
+        return self.spark.createDataFrame(found, schema), works if len(works) <= FEW else None

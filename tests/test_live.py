@@ -163,7 +163,7 @@ def test_commands_and_windows_meet_by_arrival(spark, tmp_path):
     rows = []
     for x in told.collect():
         body = {"type": x.command} | ({name[x.command]: x.arg} if x.command in name else {})
-        at = 3 * x.window_idx - 1
+        at = 3.0 * x.window_idx - 1
         rows.append((x.session, at, json.dumps(body)))
         if x.command == "pause":  # several commands between two windows keep their order
             rows += [(x.session, at + 0.2, '{"type": "resume"}'), (x.session, at + 0.4, '{"type": "pause"}'), (x.session, at + 0.5, "{no json"), (x.session, at + 0.6, '{"type": "dance"}')]

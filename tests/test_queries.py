@@ -116,3 +116,48 @@ def test_controller(spark):
     lines = spark.createDataFrame([(4, 1, "b"), (4, 0, "a"), (5, 0, "x")], "work_id long, line_idx int, text string")
     assert K.read_lines(lines, 4).first().lines == ["a", "b"] and K.read_lines(lines, 6).first().lines == []
     assert K.stop_all(spark) == 0
+
+
+def test_text_deoverlap_like_the_plain_model(spark):
+    """Every window of every session of the smallest tables, cleaned one after the other."""
+    import plain_tracker as P
+
+    from strandline.queries import QUERIES
+    from strandline.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    sessions = {}
+    for x in V.transcript_w(spark, sf).collect():
+        sessions.setdefault(x.session, []).append((x.window_idx, x.text))
+    want = {}
+    for s, windows in sessions.items():
+        heard = P.Tracker(P.Corpus([])).heard
+        for i, text in sorted(windows):
+            want[s, i] = P.clean(text, heard)
+    got = {(x.session, x.window_idx): x.text for x in QUERIES["text_deoverlap"](spark, sf).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_work_records_by_a_loop_over_events(spark):
+    """Records of all locks of all sessions of the smallest tables, from the events one after the other."""
+    from datetime import datetime, timezone
+
+    from strandline.queries import QUERIES
+    from strandline.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    works = {}
+    for x in V.lines(spark, sf).orderBy("work_id", "line_idx").collect():
+        works.setdefault(x.work_id, []).append((x.text, "G" if x.source == "src0" else x.source))
+    events = sorted(QUERIES["commands_replay"](spark, sf).collect(), key=lambda x: (x.session, x.window_idx, x.seq))
+    want, open_ = {}, {}
+    for x in events:
+        if x.type == "locked":
+            at = datetime.fromtimestamp(1_700_000_000 + 3 * x.window_idx, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
+            lines = works.get(x.work_id, [])
+            open_[x.session] = (x.session, x.window_idx, x.seq)
+            want[open_[x.session]] = [x.work_id, *(lines[0] if lines else (None, "G")), 0, len(lines), at]
+        elif x.type == "state" and x.session in open_ and want[open_[x.session]][0] == x.work_id:
+            want[open_[x.session]][3] = x.line
+    got = {(x.session, x.window_idx, x.seq): [x.work_id, x.text, x.source, x.current_line, x.total_lines, x.started_at] for x in QUERIES["work_records"](spark, sf).collect()}
+    assert got == want and len(got) > 50 and any(v[3] > 0 for v in got.values())
