@@ -151,7 +151,7 @@ def test_windows_and_commands_as_streams(spark, tmp_path):
     index = corpus(spark, sf)
     windows = V.replay_w(spark, sf).where("session < 8").select("session", "window_idx", "silent", "text", "letters").cache()
     told = replay_commands(spark, sf).where("session < 8").cache()
-    batch = run.track(run.rows(windows, index, told))
+    batch = run.track(run.rows(run.clean(windows), index, told))  # the stream cleans by state
     both = run.with_commands(windows, told)
     for part, where in enumerate(("window_idx <= 4", "window_idx > 4")):
         both.where(where).coalesce(1).write.mode("append").parquet(f"{tmp_path}/said/p{part}")
