@@ -195,7 +195,7 @@ def test_scored_rows_by_definition(spark, monkeypatch):
     import math
     import re
 
-    weights, theta = {"foul": 1.5, "mean*": 0.7, "kind": -2.0, "ß": 0.4}, np.array([0.3, 1.0, 2.5])
+    weights, theta = {"foul": 1.5, "mean*": 0.7, "kind": -2.0, "ß": 0.4}, np.array([-1.0, 1.0, 2.0])
     monkeypatch.setattr(T, "train", lambda *a, **k: T.Model(weights, theta))
     r = random.Random(3)
     words = ["foul", "FOUL,", "meanest", "meaning!", "mean", "kind", "ß", "x", "unkind", "foul_kind"]
