@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..functions.similarity import FREQUENT_FROM, longest_run
 from ..operators import align as A
 from ..operators import rank as K
 from ..operators import retrieve as R
+from ..operators.keep import keep
 from ..sources import views as V
 from ..sources.folders import shared_dir
 from ..sources.index import StoredIndex
@@ -39,6 +41,17 @@ def corpus(spark, sf_dir):
     return V.spread(index(spark, sf_dir).lines())
 
 
+_cascades: dict[tuple[str, str], DataFrame] = {}
+
+
+def cascade(spark, sf_dir):
+    """What all strategies find for the queries; looked up once for a session and its tables, as many queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cascades:
+        _cascades[key] = keep(R.cascade(queries(spark, sf_dir), index(spark, sf_dir)))
+    return _cascades[key]
+
+
 def queries(spark, sf_dir):
     return V.queries_w(spark, sf_dir).withColumnRenamed("item_id", "qid")
 
@@ -128,7 +141,7 @@ _CASCADE = (
 
 @query(V.with_(*_CASCADE) + "SELECT qid, work_id, line_idx, array_to_string(tags, ',') AS tags, CAST(place AS INTEGER) AS place FROM merged")
 def retrieve_all(spark, sf_dir):
-    found = R.cascade(queries(spark, sf_dir), index(spark, sf_dir))
+    found = cascade(spark, sf_dir)
     return found.select("qid", "work_id", "line_idx", F.array_join("tags", ",").alias("tags"), "place")
 
 
@@ -199,7 +212,7 @@ _SCORED = (
 
 def scored(spark, sf_dir):
     q = queries(spark, sf_dir)
-    return K.score_candidates(q, R.cascade(q, index(spark, sf_dir)))
+    return K.score_candidates(q, cascade(spark, sf_dir))
 
 
 def _scored_query(columns: str) -> str:
@@ -220,7 +233,7 @@ def seq_ratio(spark, sf_dir):
 def lcs_ratio(spark, sf_dir):
     """The longest common run in array functions alone; long keys, where frequent letters don't count, by the matcher."""
     q = queries(spark, sf_dir)
-    pairs = R.cascade(q, index(spark, sf_dir)).join(q.select("qid", F.col("letters").alias("query")), "qid")
+    pairs = cascade(spark, sf_dir).join(q.select("qid", F.col("letters").alias("query")), "qid")
     long = F.char_length("letters") >= FREQUENT_FROM
     run = longest_run(F.col("query"), F.col("letters")).cast("int").alias("run")
     compared = A.with_similarity(pairs.where(long), "query", "letters").select("qid", "work_id", "query", "run")
