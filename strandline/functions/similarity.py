@@ -6,6 +6,7 @@ goes level by level over all pairs of a batch at once, as array operations on th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 FREQUENT_FROM = 200
 #: Cells that are looked at together; bounds the memory of a batch.
 CELLS = 1 << 19
+#: Pairs that are compared together.
+PAIRS = 80_000
 
 
 def ratio_and_run(a: str | None, b: str | None) -> tuple[float, int]:
@@ -36,47 +39,66 @@ def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32), start
 
 
+def _small(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of both sides in few bits: those that only one side has are one number; the two highest numbers stay free."""
+    common = np.intersect1d(a, b)
+    kind = np.uint8 if len(common) < 250 else np.uint16 if len(common) < 65_000 else np.int32
+    out = []
+    for x, other in ((a, 1), (b, 2)):
+        at = np.minimum(np.searchsorted(common, x), max(len(common) - 1, 0))
+        hit = common[at] == x if len(common) else np.zeros(len(x), bool)
+        out.append(np.where(hit, at + 3, other).astype(kind))
+    return out[0], out[1]
+
+
 def _longest(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, end in a, end in b) of the longest common run of each row of `at`: a's range, then b's range.
 
-    Of equally long runs the one that ends first in a counts, and of these the one that ends first in b.
+    Of equally long runs the one that ends first in a counts, and of these the one that ends first in b. Pairs lie side by
+    side, letters below each other, so that each step is one operation over all pairs.
     """
-    n, wide = len(at), int((at[:, 3] - at[:, 2]).max())
-    place = np.arange(wide)
-    inside = place < (at[:, 3] - at[:, 2])[:, None]
-    right = np.where(inside, b[np.minimum(at[:, 2:3] + place, len(b) - 1)], -1)
-    run = np.zeros((n, wide + 1), np.int16)
-    size, end_a, end_b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    high = at[:, 1] - at[:, 0]
-    for i in range(int(high.max())):
-        left = np.where(i < high, a[np.minimum(at[:, 0] + i, len(a) - 1)], -2)
-        run[:, 1:] = np.where(right == left[:, None], run[:, :-1] + 1, 0)
-        best = run.max(axis=1)
+    high, wide = at[:, 1] - at[:, 0], at[:, 3] - at[:, 2]
+    n, tall, broad = len(at), int(high.max()), int(wide.max())
+    down, along = np.arange(tall)[:, None], np.arange(broad)[:, None]
+    # What lies beyond a pair's ranges equals nothing: 0 is no letter, and 1 is none of b's.
+    left = np.where(down < high, a[np.minimum(at[:, 0] + down, len(a) - 1)], 1).astype(a.dtype)
+    right = np.where(along < wide, b[np.minimum(at[:, 2] + along, len(b) - 1)], 0).astype(b.dtype)
+    run = np.zeros((broad + 1, n), np.uint8)  # runs are shorter than FREQUENT_FROM
+    size, end_a, end_b = np.zeros(n, np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(tall):
+        run[1:] = (run[:-1] + np.uint8(1)) * (right == left[i])
+        best = run.max(axis=0)
         more = np.flatnonzero(best > size)
         if len(more):
             size[more], end_a[more] = best[more], at[more, 0] + i + 1
-            end_b[more] = at[more, 2] + run[more].argmax(axis=1)
-    return size, end_a, end_b
+            end_b[more] = at[more, 2] + run[:, more].argmax(axis=0)
+    return size.astype(np.int64), end_a, end_b
+
+
+def _groups(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the pairs, where groups begin): pairs of about the same two lengths are looked at together."""
+    step = lambda n: np.ceil(np.log2(n)).astype(np.int64)
+    group = step(at[:, 1] - at[:, 0]) * 100 + step(at[:, 3] - at[:, 2])
+    order = np.argsort(group, kind="stable")
+    return order, np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
 
 
 def compare(keys_a: list[str], keys_b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ratio, run) of pairs of keys that are not empty and whose second ones are shorter than FREQUENT_FROM."""
     a, from_a = _codes(keys_a)
     b, from_b = _codes(keys_b)
+    a, b = _small(a, b)
     matched, run = np.zeros(len(keys_a), np.int64), np.zeros(len(keys_a), np.int64)
     pair = np.arange(len(keys_a))
     at = np.column_stack([from_a[:-1], from_a[1:], from_b[:-1], from_b[1:]])
     first = True
     while len(pair):
-        # Rows of about the same size are looked at together.
-        order = np.lexsort((at[:, 1] - at[:, 0], at[:, 3] - at[:, 2]))
+        order, begins = _groups(at)
         pair, at = pair[order], at[order]
-        wide = at[:, 3] - at[:, 2]
-        found, begin = [], 0
-        while begin < len(pair):
-            end = min(len(pair), begin + max(1, CELLS // int(wide[min(len(pair), begin + CELLS // int(wide[begin])) - 1])))
-            found.append(_longest(a, b, at[begin:end]))
-            begin = end
+        found = []
+        for begin, end in zip(begins[:-1], begins[1:]):
+            rows = max(1, CELLS // int((at[begin:end, 3] - at[begin:end, 2]).max()))
+            found += [_longest(a, b, at[k : min(end, k + rows)]) for k in range(begin, end, rows)]
         size, end_a, end_b = (np.concatenate(x) for x in zip(*found))
         np.add.at(matched, pair, size)
         if first:
@@ -108,9 +130,21 @@ def ratios_and_runs(keys_a: list[str | None], keys_b: list[str | None]) -> tuple
 
 
 @pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("run", IntegerType())]))
-def similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    ratio, run = ratios_and_runs(a.tolist(), b.tolist())
-    return pd.DataFrame({"ratio": ratio, "run": run.astype(np.int32)})
+def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Batches are gathered, as a step over many pairs costs hardly more than one over few."""
+
+    def compared(held: list[tuple[pd.Series, pd.Series]]) -> pd.DataFrame:
+        ratio, run = ratios_and_runs(*([x for side in sides for x in side] for sides in zip(*held)))
+        return pd.DataFrame({"ratio": ratio, "run": run.astype(np.int32)})
+
+    held: list[tuple[pd.Series, pd.Series]] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(len(x) for x, _ in held) >= PAIRS:
+            yield compared(held)
+            held = []
+    if held:
+        yield compared(held)
 
 
 def longest_run(a: Column, b: Column) -> Column:

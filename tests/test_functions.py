@@ -146,3 +146,23 @@ def test_time_is_linear(spark):
     text.select(F.size(F.split(T.dedup_words(F.col("text")), " ")), F.size(bigrams(F.col("text"))), T.is_valid(F.col("text"))).collect()
     block.select(G.peak(G.auto_gain(F.col("x")))).collect()
     assert time.perf_counter() - t < 20  # quadratic forms take minutes
+
+
+def test_pairs_of_unequal_lengths_are_compared_in_few_steps(monkeypatch):
+    """A long key among many short ones does not make all of them as many steps (and cells) as it has letters."""
+    from strandline.functions import similarity as S_
+
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    pairs = [(key(6), key(6)) for _ in range(3000)] + [(key(199), key(199))]
+    cells, longest = [], S_._longest
+
+    def counted(a, b, at):
+        cells.append(len(at) * int((at[:, 1] - at[:, 0]).max()) * int((at[:, 3] - at[:, 2]).max()))
+        return longest(a, b, at)
+
+    monkeypatch.setattr(S_, "_longest", counted)
+    ratio, run = S_.ratios_and_runs(*zip(*pairs))
+    assert list(zip(ratio, run)) == [S_.ratio_and_run(x, y) for x, y in pairs]
+    # 3,000 x 36 cells and 199 x 199, twice that for the rests; one frame for all took 3,000 x 199 x 199.
+    assert sum(cells) < 1_000_000

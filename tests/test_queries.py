@@ -161,3 +161,13 @@ def test_work_records_by_a_loop_over_events(spark):
             want[open_[x.session]][3] = x.line
     got = {(x.session, x.window_idx, x.seq): [x.work_id, x.text, x.source, x.current_line, x.total_lines, x.started_at] for x in QUERIES["work_records"](spark, sf).collect()}
     assert got == want and len(got) > 50 and any(v[3] > 0 for v in got.values())
+
+
+def test_alignment_and_queries_make_no_index(spark):
+    """What asks every line once reads the lines alone: no postings of the whole corpus are stored for it."""
+    from strandline.plans import match_queries as M
+
+    sf = "/root/testdata/./sf0.001"
+    for name in ("best_line", "best_line_stitched", "align_lines"):
+        assert QUERIES[name](spark, sf).count() > 0
+    assert not [key for key in M._stored if key[1] == sf]
