@@ -168,6 +168,6 @@ def test_alignment_and_queries_make_no_index(spark):
     from strandline.plans import match_queries as M
 
     sf = "/root/testdata/./sf0.001"
-    for name in ("best_line", "best_line_stitched", "align_lines"):
+    for name in ("best_line", "best_line_stitched", "align_lines", "retrieve_all", "dedup_merge", "join_phrase", "join_subkey"):
         assert QUERIES[name](spark, sf).count() > 0
     assert not [key for key in M._stored if key[1] == sf]
