@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import config as C
 from ..functions import text as T
+from .heads import head, meeting
 from .keep import keep
 
 _LINE = ("work_id", "line_idx", "source", "text", "letters")
@@ -87,13 +88,36 @@ def scan(lines: DataFrame, text: Column, patterns: list[str]) -> DataFrame:
     return lines.select(*names, text.alias("_scanned")).mapInArrow(run, schema)
 
 
-def prefix(queries: DataFrame, corpus, limit: int = C.PREFIX_LIMIT) -> DataFrame:
-    """The query's letters begin the line's: an equi-join on the shortest key, then the rest."""
+def _many(q: DataFrame, lines: DataFrame, limit: int, anywhere: bool, parts: tuple[int, ...]) -> DataFrame:
+    """The first hits of many queries (qid, query). Equal ones are asked once; `parts` are the last works of all parts of the lines but
+    the last, and a query that has its hits is not asked of the next part."""
+    asked = keep(q.select("query").distinct().withColumn("k", head("query")))
+    inside = F.contains("letters", "query") if anywhere else F.startswith("letters", "query")
+    found, open_, after = None, asked, None
+    for last in (*parts, None):
+        own = lines if after is None else lines.where(F.col("work_id") > after)
+        own, after = own if last is None else own.where(F.col("work_id") <= last), last
+        met = meeting(own, open_, anywhere).join(open_, "k").where(inside).select("query", *_LINE)
+        hits = _top(met, limit, "query").drop("pos")
+        if parts:
+            hits = keep(hits)
+        found = hits if found is None else found.union(hits)
+        if last is not None:
+            full = found.groupBy("query").count().where(F.col("count") >= limit)
+            open_ = asked.join(full, "query", "left_anti")
+    return _top(found, limit, "query").join(q, "query").select("qid", *_LINE, "pos")
+
+
+def prefix(queries: DataFrame, corpus, limit: int = C.PREFIX_LIMIT, parts: tuple[int, ...] = ()) -> DataFrame:
+    """The query's letters begin the line's: an equi-join on the shortest key, then the rest. Many queries meet lines by
+    their heads."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
         "qid", F.col("letters").alias("query"), F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")
     )
     if _stored(corpus):
         found = corpus.hits("heads", q.select("qid", "query", F.array("k").alias("keys")))
+    elif _patterns(q, "query") is None:
+        return _many(q.drop("k"), _line(corpus), limit, False, parts)
     else:
         found = _line(corpus, F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")).join(q, "k")
     return _top(found.where(F.startswith("letters", "query")).select("qid", *_LINE), limit)
@@ -107,17 +131,16 @@ def grams(text: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def contains(queries: DataFrame, corpus, limit: int = C.CONTAINS_LIMIT) -> DataFrame:
+def contains(queries: DataFrame, corpus, limit: int = C.CONTAINS_LIMIT, parts: tuple[int, ...] = ()) -> DataFrame:
     """The query's letters occur in the line's. A stored index looks up the query's rarest three letters. Over lines alone a few
-    queries go through them as one automaton; more are an equi-join of their first three letters with the lines' postings."""
+    queries go through them as one automaton; more meet them by their heads."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select("qid", F.col("letters").alias("query"))
     if _stored(corpus):
         found = corpus.hits("grams", q.withColumn("keys", grams(F.col("query"), C.MIN_LETTERS)))
     elif (patterns := _patterns(q, "query")) is not None:
         found = scan(_line(corpus), F.col("letters"), patterns).join(q, F.col("pattern") == F.col("query"))
     else:
-        q = q.withColumn("k", F.left("query", F.lit(C.MIN_LETTERS)))
-        found = _asked(_line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k")), q).join(q, "k")
+        return _many(q, _line(corpus), limit, True, parts)
     return _top(found.where(F.contains("letters", "query")).select("qid", *_LINE), limit)
 
 

@@ -171,3 +171,28 @@ def test_alignment_and_queries_make_no_index(spark):
     for name in ("best_line", "best_line_stitched", "align_lines", "retrieve_all", "dedup_merge", "join_phrase", "join_subkey"):
         assert QUERIES[name](spark, sf).count() > 0
     assert not [key for key in M._stored if key[1] == sf]
+
+
+def test_many_queries_like_brute_force(spark, monkeypatch):
+    """Prefix and containment by heads, with the lines in parts: keys of all lengths, copies, letters beyond Latin; no join on three letters."""
+    import random
+
+    from strandline.operators import retrieve as R
+
+    rng = random.Random(3)
+    key = lambda low, high: "".join(rng.choice("abਸ𝄞") for _ in range(rng.randint(low, high)))
+    lines = [(w, i, "s", f"t{w}", key(0, 24)) for w in range(150) for i in range(3)] + [(w, 9, None, None, "abab" * 5) for w in range(40)]
+    corpus = spark.createDataFrame(lines, "work_id long, line_idx int, source string, text string, letters string").repartition(5)
+    asked = [(i, key(1, 20)) for i in range(120)] + [(200 + i, lines[i * 4][4]) for i in range(100)] + [(400, "abab" * 4), (401, "abab" * 4), (402, "")]
+    queries = spark.createDataFrame(asked, "qid long, letters string")
+    monkeypatch.setattr(R, "SCANNED", 0)
+    for f, holds, limit in ((R.prefix, str.startswith, 4), (R.contains, str.__contains__, 5)):
+        want = set()
+        for qid, q in asked:
+            hits = sorted((w, i) for w, i, _, _, k in lines if len(q) >= 3 and holds(k, q))[:limit]
+            want |= {(qid, w, i, n + 1) for n, (w, i) in enumerate(hits)}
+        for parts in ((), (3, 20), (-1.0, 500.0)):
+            found = f(queries, corpus, limit, parts=parts)
+            assert {(r.qid, r.work_id, r.line_idx, r.pos) for r in found.collect()} == want and len(want) > 100
+    met = R.meeting(corpus, queries.where("qid = 400").select(R.head("letters").alias("k")), True)
+    assert 40 <= met.count() < 60
