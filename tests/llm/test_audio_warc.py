@@ -165,3 +165,24 @@ def test_features_like_plain_loops(spark, tmp_path):
         x = got[doc_id]
         assert (x.n_bytes, x.payload_bytes, x.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
         assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.feature == want
+
+
+def test_resampled_pcm_is_stored(spark):
+    """The query leaves media and PCM in its folder, and its digests are those of the stored PCM."""
+    from strandline.sources import folders as D
+
+    r = np.random.default_rng(8)
+    for n in (0, 1, 2, 7, 4000):
+        pcm = r.integers(-32768, 32768, n).astype("<i2")
+        rate, back = A.unpack(A.pack(16000, pcm))
+        assert rate == 16000 and back.tolist() == pcm.tolist()
+    before = set(D.Folder(spark, A.shared_dir(spark)).names())
+    got = {x.doc_id: x for x in A.op3(spark, "/root/testdata/sf0.001").collect()}
+    (made,) = (n for n in set(D.Folder(spark, A.shared_dir(spark)).names()) - before if n.startswith("media-"))
+    stored = spark.read.parquet(f"{A.shared_dir(spark)}/{made}").collect()
+    assert len(stored) == len(got) == 200
+    for x in stored:
+        rate, pcm = A.unpack(x.packed)
+        whole = A.wav(A.PCM, rate, pcm.tobytes())
+        assert hashlib.sha256(whole).hexdigest() == got[x.doc_id].pcm_sha256 and len(whole) == got[x.doc_id].pcm_bytes
+        assert pcm.tolist() == A.resample(A.expand(x.media)[1], 8000, 16000).tolist()
