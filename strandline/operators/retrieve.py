@@ -99,8 +99,7 @@ def _many(q: DataFrame, lines: DataFrame, limit: int, anywhere: bool, parts: tup
         own, after = own if last is None else own.where(F.col("work_id") <= last), last
         met = meeting(own, open_, anywhere).join(open_, "k").where(inside).select("query", *_LINE)
         hits = _top(met, limit, "query").drop("pos")
-        if parts:
-            hits = keep(hits)
+        hits = keep(hits)
         found = hits if found is None else found.union(hits)
         if last is not None:
             full = found.groupBy("query").count().where(F.col("count") >= limit)
@@ -109,14 +108,14 @@ def _many(q: DataFrame, lines: DataFrame, limit: int, anywhere: bool, parts: tup
 
 
 def prefix(queries: DataFrame, corpus, limit: int = C.PREFIX_LIMIT, parts: tuple[int, ...] = ()) -> DataFrame:
-    """The query's letters begin the line's: an equi-join on the shortest key, then the rest. Many queries meet lines by
-    their heads."""
+    """The query's letters begin the line's: an equi-join on the shortest key, then the rest. Where `parts` of
+    the lines are named, many queries meet these by their heads."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select(
         "qid", F.col("letters").alias("query"), F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")
     )
     if _stored(corpus):
         found = corpus.hits("heads", q.select("qid", "query", F.array("k").alias("keys")))
-    elif _patterns(q, "query") is None:
+    elif parts and _patterns(q, "query") is None:
         return _many(q.drop("k"), _line(corpus), limit, False, parts)
     else:
         found = _line(corpus, F.left("letters", F.lit(C.MIN_LETTERS)).alias("k")).join(q, "k")
@@ -133,14 +132,18 @@ def grams(text: Column, n: int) -> Column:
 
 def contains(queries: DataFrame, corpus, limit: int = C.CONTAINS_LIMIT, parts: tuple[int, ...] = ()) -> DataFrame:
     """The query's letters occur in the line's. A stored index looks up the query's rarest three letters. Over lines alone a few
-    queries go through them as one automaton; more meet them by their heads."""
+    queries go through them as one automaton; more meet them by their heads where `parts` are named, and are else an equi-join of their first three
+    letters with the lines' postings."""
     q = queries.where(F.char_length("letters") >= C.MIN_LETTERS).select("qid", F.col("letters").alias("query"))
     if _stored(corpus):
         found = corpus.hits("grams", q.withColumn("keys", grams(F.col("query"), C.MIN_LETTERS)))
     elif (patterns := _patterns(q, "query")) is not None:
         found = scan(_line(corpus), F.col("letters"), patterns).join(q, F.col("pattern") == F.col("query"))
-    else:
+    elif parts:
         return _many(q, _line(corpus), limit, True, parts)
+    else:
+        q = q.withColumn("k", F.left("query", F.lit(C.MIN_LETTERS)))
+        found = _asked(_line(corpus, F.explode(grams(F.col("letters"), C.MIN_LETTERS)).alias("k")), q).join(q, "k")
     return _top(found.where(F.contains("letters", "query")).select("qid", *_LINE), limit)
 
 
