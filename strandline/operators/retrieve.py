@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import config as C
 from ..functions import text as T
+from . import meet as M
 from .heads import head, meeting
 from .keep import keep
 
@@ -195,18 +196,19 @@ def phrase(
     return _top(hits, limit).select(F.col("qid.part").alias("part"), F.col("qid.qid").alias("qid"), *_LINE, "pos")
 
 
-def merge(hits: DataFrame) -> DataFrame:
+def merge(hits: DataFrame, *keys: str) -> DataFrame:
     """Union of strategies by work: the first line retrieved stays, tags are collected, `place` orders the works.
 
-    `hits` has (qid, work_id, ..., ord, pos, tag); ord and pos give the order of retrieval.
+    `hits` has (qid, work_id, ..., ord, pos, tag); ord and pos give the order of retrieval. Other `keys` than qid may be named.
     """
+    keys = keys or ("qid",)
     line = F.struct("ord", "pos", *_LINE[1:])
-    works = hits.groupBy("qid", "work_id").agg(
+    works = hits.groupBy(*keys, "work_id").agg(
         F.min_by(line, F.struct("ord", "pos")).alias("first"), F.sort_array(F.collect_set("tag")).alias("tags")
     )
-    order = W.partitionBy("qid").orderBy("first.ord", "first.pos")
+    order = W.partitionBy(*keys).orderBy("first.ord", "first.pos")
     return works.select(
-        "qid",
+        *keys,
         "work_id",
         *[f"first.{c}" for c in _LINE[1:]],
         "tags",
@@ -222,10 +224,13 @@ def cascade(queries: DataFrame, corpus, start_mode: bool = False, script: T.Scri
     """All strategies with their conditions, merged.
 
     Containment runs for queries with fewer than three works so far (none, in start mode), sub-keys for fewer
-    than two and more than four letters; phrases always. The conditions are anti-joins on counted works, so
+    than two and more than four letters; phrases always. Lines alone meet all of it in one pass (`cascades`). Of an index the
+    conditions are anti-joins on counted works, so
     the dear joins see only the queries that need them. The hits that conditions count are kept, at most
     ten rows a query and strategy: they are read several times.
     """
+    if not _stored(corpus):
+        return cascades(queries.withColumn("start", F.lit(start_mode)), corpus, (start_mode,), script).drop("start")
     q = queries
     if start_mode:
         q = q.withColumn("letters", F.left("letters", F.lit(C.START_LETTERS)))
@@ -240,3 +245,57 @@ def cascade(queries: DataFrame, corpus, start_mode: bool = False, script: T.Scri
     last = phrase(q.where(T.strip(F.col("text")) != ""), corpus, C.PHRASE_LIMIT, start_mode, script)
     last = _tagged(last, F.col("part") + 4, "type2")
     return merge(first.unionByName(second).unionByName(third).unionByName(last))
+
+
+def _asks(queries: DataFrame, start_mode: bool, script: T.Script) -> DataFrame:
+    """(qid, start, ord, kind, ask, k): all that the strategies may ask for each query; `ord` is the strategy's place in the cascade."""
+    letters = F.left("letters", F.lit(C.START_LETTERS)) if start_mode else F.col("letters")
+    whole = F.when(F.char_length(letters) >= C.MIN_LETTERS, letters)
+    part = F.when(F.char_length(letters) > C.SUBKEY, letters)
+    keys = F.array(whole, whole, F.left(part, F.lit(C.SUBKEY)), F.right(part, F.lit(C.SUBKEY)))
+    phrases = F.coalesce(T.phrases(F.col("text"), start_mode, script), F.array().cast("array<string>"))
+    each = queries.select("qid", F.lit(start_mode).alias("start"), F.posexplode(F.concat(keys, phrases)).alias("ord", "ask"))
+    kind = F.when(F.col("ord") == 1, M.INSIDE).when(F.col("ord") < 4, M.PREFIX).otherwise(M.PHRASE)
+    return each.where("ask IS NOT NULL").withColumn("kind", kind)
+
+
+def cascades(queries: DataFrame, lines: DataFrame, modes: tuple[bool, ...] = (False, True), script: T.Script = T.LATIN) -> DataFrame:
+    """The cascade of one or both search modes over lines alone: merged works by (qid, start). `queries` has (qid, letters, text, start); those
+    without `start` are not searched in start mode.
+
+    Everything that may be asked goes through the lines in one pass (`operators.meet`); each ask keeps its first hits once, however many queries
+    have it, and the conditions then choose among the strategies' hits. Rows of a query lie together from then on.
+    """
+    asks = [_asks(queries.where("start") if mode else queries, mode, script) for mode in modes]
+    asked = asks[0] if len(asks) == 1 else asks[0].union(asks[1])
+    asked = keep(asked.withColumn("k", M.key("ask", "kind")))
+    folded = T.script_fold(F.col("text"), script)
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    distinct = keep(asked.select("k", "kind", "ask").distinct())
+    inside = (
+        F.when(F.col("kind") == M.PREFIX, F.startswith("letters", "ask"))
+        .when(F.col("kind") == M.INSIDE, F.contains("letters", "ask"))
+        .otherwise(F.contains(pad(folded), pad(F.col("ask"))))
+    )
+    hits = M.meeting(_line(lines), folded, distinct).join(distinct, "k").where(inside)
+    order = W.partitionBy("k", "ask").orderBy("work_id", "line_idx")
+    hits = hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= max(_LIMITS))
+    # The hash is the key, and that of equal texts differs by kind; that the texts are equal is left to a condition, so that nothing is dealt anew.
+    hits = hits.withColumnRenamed("ask", "_ask").drop("kind")
+    same = F.startswith("_ask", "ask") & F.startswith("ask", "_ask")
+    limit = F.element_at(F.array(*map(F.lit, _LIMITS)), F.least(F.col("ord"), F.lit(len(_LIMITS) - 1)) + 1)
+    own = hits.join(asked, "k").where(same & (F.col("pos") <= limit))
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), F.least(F.col("ord"), F.lit(len(_TAGS) - 1)) + 1)
+    own = own.select("qid", "start", "ord", tag.alias("tag"), "pos", *_LINE).repartition("qid")
+    by = W.partitionBy("qid", "start")
+    works = lambda last: F.size(F.collect_set(F.when(F.col("ord") <= last, F.col("work_id"))).over(by))
+    few = F.col("_n0") < F.when(F.col("start"), 1).otherwise(3)
+    fewer = F.when(few, F.col("_n1")).otherwise(F.col("_n0")) < 2
+    own = own.withColumns({"_n0": works(0), "_n1": works(1)})
+    own = own.where((F.col("ord") == 0) | (F.col("ord") >= 4) | F.when(F.col("ord") == 1, few).otherwise(fewer)).drop("_n0", "_n1")
+    return merge(own, "qid", "start")
+
+
+#: By the strategy's place in the cascade; the last is that of all phrases.
+_LIMITS = (C.PREFIX_LIMIT, C.CONTAINS_LIMIT, C.SUBKEY_LIMIT, C.SUBKEY_LIMIT, C.PHRASE_LIMIT)
+_TAGS = ("type0", "type1", "type0_sub", "type0_sub", "type2")
