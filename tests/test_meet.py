@@ -65,3 +65,31 @@ def test_cascade_reads_the_lines_once(spark, lines, tmp_path):
     queries = spark.createDataFrame([(1, "abaabb", "ab ba ab bab ab"), (2, "bbb", "a ab"), (3, "zzzzzz", "")], "qid long, letters string, text string")
     R.cascade(queries, corpus).collect()
     assert read.value == len(lines)
+
+
+def test_batch_events_like_rows_without_an_index(spark):
+    """Whole sessions in batch give the events that the rows of a stream give, over more windows than one block, with repeats and commands; no
+    query of the tracker makes an index of the corpus."""
+    from strandline.plans import match_queries as Q
+    from strandline.queries import QUERIES
+    from strandline.streaming import batch, run
+
+    rng = random.Random(7)
+    vocab = ["river", "stone", "amber", "light", "garden", "ocean", "valley", "under", "every", "nested", "quiet", "bright"]
+    said = [(w, i, "src1" if w % 2 else "G", " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 12)))) for w in range(8) for i in range(6)]
+    corpus = spark.createDataFrame(said, "work_id long, line_idx int, source string, text string").withColumn("letters", T.first_letters(F.col("text")))
+    windows = []
+    for session in (1, 2):
+        for i in range(70):
+            silent = rng.random() < 0.15
+            windows.append((session, i, silent, "" if silent else said[(i // 7 * 6 + rng.randint(0, 5)) % len(said)][3]))
+    windows = run.clean(spark.createDataFrame(windows, "session long, window_idx long, silent boolean, text string"))
+    told = [(1, 3, "manual_select", "5"), (1, 9, "force_unlock", None), (2, 66, "recall", "1"), (2, 20, "manual_select", "99"), (2, 30, "set_confidence_mode", "fast")]
+    told = spark.createDataFrame(told, "session long, window_idx long, command string, arg string")
+    for commands in (None, told):
+        want = sorted(map(tuple, run.track(run.rows(windows, corpus, commands)).collect()), key=str)
+        got = sorted(map(tuple, batch.events(windows, corpus, commands).collect()), key=str)
+        assert got == want and {"locked", "navigate", "switched"} <= {e[3] for e in got}
+    sf = "/root/testdata/././sf0.001"
+    assert QUERIES["track_fold"](spark, sf).count() > 0
+    assert not [key for key in Q._stored if key[1] == sf]
