@@ -38,6 +38,30 @@ def test_track_fold_leaves_one_step_on_disk(spark):
     assert not files and not kept and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["work_records", "silence_autolock", "hyp_evidence"])
+def test_other_queries_keep_nothing(spark, name):
+    """Before, what was kept stayed, with the files of all steps behind it."""
+    df, files, kept = left_behind(spark, lambda: QUERIES[name](spark, SF))
+    assert not files and not kept and df.columns
+
+
+def test_commands_are_made_once(spark):
+    """Before, they were made for the works that they name and for the fold again, from the whole replay."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(arg):
+        read.add(1)
+        return arg
+
+    said = spark.createDataFrame([(1, i, False, t) for i, t in enumerate(["ab cd ef gh", "ij kl mn op"])], "session long, window_idx long, silent boolean, text string")
+    windows = said.withColumn("letters", T.first_letters(F.col("text")))
+    lines = windows.select(F.lit(5).cast("long").alias("work_id"), F.col("window_idx").cast("int").alias("line_idx"), F.lit("s").alias("source"), "text", "letters")
+    told = spark.createDataFrame([(1, 1, "manual_select", "5")], "session long, window_idx long, command string, arg string").repartition(2)
+    found = batch.events(windows, lines, told.withColumn("arg", seen.asNondeterministic()("arg"))).where("type = 'locked'").collect()
+    assert read.value == 1 and {x.work_id for x in found} == {5}
+
+
 @pytest.mark.parametrize("both", [False, True])
 def test_places_like_lines(spark, both):
     """The slim cascade finds what the cascade over whole lines finds, by the same lines, with works that come twice and lines without a key."""
